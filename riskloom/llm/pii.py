@@ -90,16 +90,41 @@ def _proposed(kind: str, match: Column, strict: bool) -> Column:
     return F.lit(not strict or kind == "email")
 
 
-def running_totals(steps: Column) -> Column:
-    """Sums of the first 1, 2, ... items of a long array, by blocks of about the root of its size."""
-    n = F.size(steps)
-    block = F.ceil(F.sqrt(n)).cast("int")
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
-    blocks = F.transform(F.sequence(F.lit(0), ((n - 1) / block).cast("int")), lambda b: total(F.slice(steps, b * block + 1, block)))
-    before = F.transform(blocks, lambda _, i: total(F.slice(blocks, F.lit(1), i)))
-    return F.when(
-        n > 0, F.transform(steps, lambda _, i: before[(i / block).cast("int")] + total(F.slice(steps, (i / block).cast("int") * block + 1, i % block + 1)))
-    ).otherwise(F.array().cast("array<bigint>"))
+def _once(name: str, use: Column) -> Column:
+    """``use`` reads column ``name`` inside a lambda. The second mention keeps the optimizer from writing the column's
+    definition into the lambda, where it would be evaluated for every element."""
+    return F.when(F.col(name).isNotNull(), use)
+
+
+def with_running_totals(frame: DataFrame, names: dict[str, str]) -> DataFrame:
+    """For each (steps, totals) a column of the sums of the first 1, 2, ... items of the long array ``steps``, by blocks of
+    about the root of its size."""
+
+    def total(items: Column) -> Column:
+        return F.aggregate(items, F.lit(0).cast("long"), lambda x, y: x + y)
+
+    def block(steps: str) -> Column:
+        return F.ceil(F.sqrt(F.size(steps))).cast("int")
+
+    def sums(steps: str) -> Column:
+        count = ((F.size(steps) - 1) / block(steps)).cast("int")
+        every = F.transform(F.sequence(F.lit(0), count), lambda b: total(F.slice(F.col(steps), b * F.col(f"{steps}_n") + 1, F.col(f"{steps}_n"))))
+        return F.when(F.size(steps) > 0, every).otherwise(F.array().cast("array<bigint>"))
+
+    def before(steps: str) -> Column:
+        return _once(f"{steps}_s", F.transform(f"{steps}_s", lambda _, i: total(F.slice(F.col(f"{steps}_s"), F.lit(1), i))))
+
+    def totals(steps: str) -> Column:
+        n, start = F.col(f"{steps}_n"), F.col(f"{steps}_b")
+        within = F.transform(
+            steps, lambda _, i: start[(i / n).cast("int")] + total(F.slice(F.col(steps), (i / n).cast("int") * n + 1, i % n + 1))
+        )
+        return _once(f"{steps}_b", _once(f"{steps}_n", within))
+
+    frame = frame.withColumns({f"{x}_n": block(x) for x in names})
+    frame = frame.withColumns({f"{x}_s": sums(x) for x in names})
+    frame = frame.withColumns({f"{x}_b": before(x) for x in names})
+    return frame.withColumns({out: totals(x) for x, out in names.items()})
 
 
 def _vote(yes: Column, no: Column | None = None) -> Column:
@@ -137,33 +162,36 @@ def proposals(docs: DataFrame) -> DataFrame:
         return F.transform(f"_match{i}", lambda m, k: (F.length(F.col(f"_piece{i}")[k]) + F.length(m)).cast("long"))
 
     frame = frame.withColumns({f"_step{i}": steps(i) for i in range(len(sources))})
-    frame = frame.withColumns({f"_end{i}": running_totals(F.col(f"_step{i}")) for i in range(len(sources))})
+    frame = with_running_totals(frame, {f"_step{i}": f"_end{i}" for i in range(len(sources))})
 
     def spans(i: int, kind: str, strict: bool) -> Column:
-        def one(match: Column, k: Column) -> Column:
-            holds = _strictly(kind, match) if strict else F.lit(False)
-            votes = _votes(kind, match, F.right(F.col(f"_piece{i}")[k], F.lit(40)), F.left(F.col(f"_piece{i}")[k + 1], F.lit(1)), holds)
-            end = F.col(f"_end{i}")[k]
+        def placed(match: Column, k: Column) -> Column:
+            piece, end = F.col(f"_piece{i}"), F.col(f"_end{i}")[k]
             return F.struct(
                 (end - F.length(match)).alias("start"),
                 F.lit(KINDS.index(kind)).alias("kind"),
                 end.alias("end"),
-                holds.alias("strict"),
+                (_strictly(kind, match) if strict else F.lit(False)).alias("strict"),
                 _proposed(kind, match, strict).alias("proposed"),
-                votes.alias("votes"),
+                match.alias("match"),
+                F.right(piece[k], F.lit(40)).alias("before"),
+                F.left(piece[k + 1], F.lit(1)).alias("after"),
             )
 
-        return F.filter(F.transform(F.col(f"_match{i}"), one), lambda s: s["strict"] | s["proposed"])
+        def voted(s: Column) -> Column:
+            votes = _votes(kind, s["match"], s["before"], s["after"], s["strict"])
+            return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["strict"].alias("strict"), votes.alias("votes"))
+
+        return F.transform(F.filter(F.transform(F.col(f"_match{i}"), placed), lambda s: s["strict"] | s["proposed"]), voted)
 
     every = F.concat(*[spans(i, kind, strict) for i, (kind, _, strict) in enumerate(sources)])
     frame = frame.select(*kept, every.alias("_every"))
-    strict = F.filter("_every", lambda s: s["strict"])
-    frame = frame.withColumn("_strict", strict)
-    apart = F.filter(
-        "_every",
-        lambda s: s["strict"] | ~F.exists("_strict", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
-    )
-    return frame.select(*kept, F.array_sort(apart).alias("_spans"))
+    frame = frame.withColumn("_strict", F.filter("_every", lambda s: s["strict"]))
+
+    def apart(s: Column) -> Column:
+        return s["strict"] | ~F.exists("_strict", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+
+    return frame.select(*kept, _once("_strict", F.array_sort(F.filter("_every", apart))).alias("_spans"))
 
 
 @dataclass
