@@ -268,8 +268,9 @@ def train(patterns: list[tuple[tuple[int, ...], int]], steps: int = 400, rate: f
 
 def learn(docs: DataFrame) -> SpanClassifier:
     """Vote patterns of all proposals in all rows; at most 3 to the power of the labelers' number reach the driver."""
-    counted = proposals(docs.select("text")).select(F.explode("_spans").alias("s")).groupBy("s.votes").count().collect()
-    return train(sorted((tuple(r.votes), r["count"]) for r in counted))
+    # explode_outer: from a plain explode the optimizer infers a filter and copies all of the above into it
+    counted = proposals(docs.select("text")).select(F.explode_outer("_spans").alias("s")).groupBy("s.votes").count().collect()
+    return train(sorted((tuple(r.votes), r["count"]) for r in counted if r.votes))
 
 
 def found(docs: DataFrame, classifier: SpanClassifier | None = None) -> DataFrame:
