@@ -99,25 +99,25 @@ def t_ppf(p, df: float) -> np.ndarray:
     return x - np.clip((t_cdf(x, df) - p) / np.maximum(t_pdf(x, df), 1e-300), -1e-3, 1e-3)
 
 
-@F.pandas_udf("double")
-def erfc_udf(x: pd.Series) -> pd.Series:
-    return pd.Series(erfc(x.to_numpy(float)), index=x.index)
+def vectorised(function):
+    """A column function from one on arrays, made when it is used: workers import this module too."""
 
+    def apply(column):
+        def each(x: pd.Series) -> pd.Series:
+            return pd.Series(function(x.to_numpy(float)), index=x.index)
 
-@F.pandas_udf("double")
-def ndtri_udf(p: pd.Series) -> pd.Series:
-    return pd.Series(ndtri(p.to_numpy(float)), index=p.index)
+        return F.pandas_udf(each, "double")(column)
 
+    return apply
 
-@F.pandas_udf("double")
-def ndtr_udf(x: pd.Series) -> pd.Series:
-    return pd.Series(ndtr(x.to_numpy(float)), index=x.index)
+
+erfc_column, ndtr_column, ndtri_column = vectorised(erfc), vectorised(ndtr), vectorised(ndtri)
 
 
 def chi2_1_survival(statistic):
     """Column: survival function of a chi-square with one degree of freedom."""
-    return erfc_udf(F.sqrt(statistic / 2))
+    return erfc_column(F.sqrt(statistic / 2))
 
 
 def two_sided_normal(statistic):
-    return erfc_udf(F.abs(statistic) / F.sqrt(F.lit(2.0)))
+    return erfc_column(F.abs(statistic) / F.sqrt(F.lit(2.0)))

@@ -30,12 +30,14 @@ def tail_mean(ascending: Column, level: float) -> Column:
 
 def rolling_forecasts(losses: DataFrame, years: int = 3, least: int = 700, levels: tuple[float, ...] = LEVELS, es_level: float = ES_LEVEL) -> DataFrame:
     """losses (model_id, date, loss) -> value at risk and expected shortfall for each date from the losses of the ``years``
-    calendar years before it, the date itself left out; dates with fewer than ``least`` losses have no forecast. One window
-    partition per model; its rows carry only that model's window."""
+    calendar years before it, the date itself left out; dates with fewer than ``least`` losses have no forecast, and a
+    model has one loss a date. One window partition per model; its rows carry only that model's window."""
     frame = f"OVER (PARTITION BY model_id ORDER BY date RANGE BETWEEN INTERVAL '{12 * years}' MONTH PRECEDING AND CURRENT ROW)"
-    rows = losses.select("model_id", "date", "loss").withColumn("_w", F.expr(f"collect_list(struct(date, loss)) {frame}"))
-    before = F.filter("_w", lambda x: x["date"] < F.col("date"))
-    rows = rows.withColumn("_a", F.array_sort(F.transform(before, lambda x: x["loss"]))).where(F.size("_a") >= least)
+    rows = losses.where("loss is not null").select("model_id", "date", "loss").withColumn("_w", F.expr(f"collect_list(loss) {frame}"))
+    rows = rows.where(F.size("_w") > least).withColumn("_s", F.array_sort("_w"))
+    # the frame ends with the date itself, which has one loss: that one goes
+    own = F.array_position("_s", F.col("loss")).cast("int")
+    rows = rows.withColumn("_a", F.concat(F.slice("_s", F.lit(1), own - 1), F.slice("_s", own + 1, F.size("_s"))))
     return rows.select(
         "model_id",
         "date",
