@@ -73,6 +73,11 @@ def _bits(fps: np.ndarray) -> np.ndarray:
     return np.unpackbits(fps.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which the fingerprints differ; unsigned, as the count of a negative number is that of its size."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 @dataclass
 class Parts:
     """Which bits make each part, with each part's histogram of values."""
@@ -286,7 +291,7 @@ def verified_links(met: DataFrame, threshold: int) -> DataFrame:
                 own, others = fp[s : s + m], fp[s + m : s + m + n]
                 step = max(1, 2_000_000 // n)
                 for k in range(0, m, step):
-                    i, j = np.nonzero(np.bitwise_count(own[k : k + step, None] ^ others[None, :]) <= threshold)
+                    i, j = np.nonzero(differing(own[k : k + step, None], others[None, :]) <= threshold)
                     a, b = own[k + i], others[j]
                     if (keep := a != b).any():
                         a, b = _forest(a[keep], b[keep])
@@ -296,7 +301,7 @@ def verified_links(met: DataFrame, threshold: int) -> DataFrame:
                 rows, k = _expand(pairs[at:till])
                 s, m, n = starts[at:till][rows], members[at:till][rows], probes[at:till][rows]
                 a, b = fp[s + k // n], fp[s + m + k % n]
-                keep = (np.bitwise_count(a ^ b) <= threshold) & (a != b)
+                keep = (differing(a, b) <= threshold) & (a != b)
                 if keep.any():
                     found_a.append(a[keep])
                     found_b.append(b[keep])
