@@ -361,7 +361,8 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD, words: int = SHINGLE_W
     """
     found = materialize(near_duplicates(docs, threshold, words).select("doc_id", "component_id"))
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    named = docs.where("doc_id is not null").join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    # the kept ids grow with the documents, so they are never broadcast; hashing them spares sorting the texts
+    named = docs.where("doc_id is not null").join(kept.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
     if not kept.where("n > 1").isEmpty():  # repeated rows: one of each stays
         named = named.dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null"))
