@@ -1,7 +1,52 @@
-"""Queries of the operators whose kernels are NumPy inside grouped functions."""
+"""Queries of the operators whose kernels are NumPy inside grouped functions; SQL cannot express them."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..operators import cluster, copula, margins
+from ..operators import dependence as dep
+from ..sources import views as v
+
+
+def _pairs(s, d):
+    pairs = dep.pairwise_spearman(v.nation_returns(s, d)).na.fill(0.0, ["spearman"])
+    return pairs.withColumn("year", F.lit(2000))
+
+
+def hierarchical_clusters(s, d):
+    return cluster.cluster_by(_pairs(s, d), "year", "hierarchical", 5)
+
+
+def spectral_clusters(s, d):
+    return cluster.cluster_by(_pairs(s, d), "year", "spectral", 5)
+
+
+def profile_clusters(s, d):
+    return cluster.cluster_by(_pairs(s, d), "year", "pca", 5)
+
+
+def _series(s, d):
+    rows = v.region_returns(s, d).where("simple_return > -1")
+    return rows.select(F.col("security").alias("group_id"), "date", (F.log1p("simple_return") / 100).alias("log_return"))
+
+
+def margin_refits(s, d):
+    return margins.monthly(_series(s, d), "2001-09-01")
+
+
+def margin_daily(s, d):
+    return margins.monthly(_series(s, d), "2001-09-01", out="daily")
+
+
+def gaussian_copula_forecasts(s, d):
+    """Equal weights; the block's own transforms of the month stand for its training ones."""
+    daily, refits = margin_daily(s, d), margin_refits(s, d)
+    counts = daily.groupBy("date").count().where("count = 5").select("date")
+    whole = daily.join(counts, "date").withColumn("refit_date", F.trunc("date", "month")).withColumn("portfolio_weight", F.lit(0.2))
+    fitted = refits.withColumn("refit_date", F.trunc("refit_date", "month")).where("df is not null")
+    return copula.gaussian_forecasts(whole, fitted, whole.select("refit_date", "date", "group_id", "pit"), "M1", draws=20_000)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in (hierarchical_clusters, spectral_clusters, profile_clusters, margin_refits, margin_daily, gaussian_copula_forecasts)}
