@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from .quality import require_unique
 
 EXTREME = 0.40
-_BY_SECURITY = Window.partitionBy("security").orderBy("date")
+
+
+def _by_security():
+    return Window.partitionBy("security").orderBy("date")
 
 
 def map_segments(rows: DataFrame, segments: DataFrame, check: bool = True) -> DataFrame:
@@ -84,7 +87,7 @@ def total_returns(prices: DataFrame, splits: DataFrame, dividends: DataFrame, ma
         + F.coalesce("distributed_value", F.lit(0.0))
     )
     rows = rows.withColumns(
-        {"previous_close": F.lag("close").over(_BY_SECURITY), "previous_ticker": F.lag("ticker").over(_BY_SECURITY), "previous_status": F.lag("status").over(_BY_SECURITY), "consideration": consideration}
+        {"previous_close": F.lag("close").over(_by_security()), "previous_ticker": F.lag("ticker").over(_by_security()), "previous_status": F.lag("status").over(_by_security()), "consideration": consideration}
     )
     ratio = F.col("consideration") / F.col("previous_close")
     gross = F.when((F.col("previous_close") > 0) & (close > 0) & (ratio > 0), ratio)
@@ -114,7 +117,7 @@ def lifecycle_grid(prices: DataFrame, calendar: DataFrame, securities: DataFrame
         .join(prices.select("security", "date", "ticker", "close", "volume"), ["security", "date"], "left")
         .join(halts.select("security", "date", F.lit(True).alias("halted")), ["security", "date"], "left")
     )
-    before = _BY_SECURITY.rowsBetween(Window.unboundedPreceding, -1)
+    before = _by_security().rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("last_close", F.last("close", ignorenulls=True).over(before))
     status = (
         F.when(F.col("date") < F.col("listing"), "pre_inception")
