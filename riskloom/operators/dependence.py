@@ -25,7 +25,7 @@ def pairwise_spearman(panel: DataFrame, least: float = 0.8) -> DataFrame:
 
 def correlation_distance(pairs: DataFrame) -> DataFrame:
     clipped = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("spearman")))
-    return pairs.withColumn("distance", F.sqrt((1 - clipped) / 2))
+    return pairs.withColumn("distance", F.when(F.col("spearman").isNotNull(), F.sqrt((1 - clipped) / 2)))
 
 
 def dependence_gap(pairs: DataFrame, labels: DataFrame) -> DataFrame:
