@@ -188,4 +188,9 @@ SQL = {
         round(max(CASE WHEN group_id = 'ASIA' THEN r END), 8) AS ASIA, round(max(CASE WHEN group_id = 'EUROPE' THEN r END), 8) AS EUROPE, round(max(CASE WHEN group_id = 'MIDDLE EAST' THEN r END), 8) AS "MIDDLE EAST" FROM groups GROUP BY date""",
     "key_differences": "SELECT c_mktsegment AS segment, count(*) AS customers FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY 1",
     "extreme_days_top": f"WITH {RETURNS} SELECT security, date, round(r, 6) AS simple_return FROM (SELECT *, row_number() OVER (PARTITION BY security ORDER BY r DESC, date) AS k FROM returns WHERE r IS NOT NULL) WHERE k <= 5",
+    "stock_shock": f"WITH {NATIONS} SELECT security, date, round(CASE WHEN security = 'NATION_1' AND date = DATE '1996-03-01' THEN 0.5 ELSE r END, 8) AS simple_return FROM panel",
+    "group_shock": f"""WITH {NATIONS}, shocked AS (SELECT security, date, CASE WHEN security = 'NATION_1' AND date = DATE '1996-03-01' THEN 0.5 ELSE r END AS r FROM panel)
+        SELECT date, group_id, round(avg(r), 8) AS simple_return FROM shocked JOIN labels USING (security) GROUP BY 1, 2""",
+    "best_model": f"WITH {MEANS} SELECT model_id, round(average_rank, 6) AS average_rank FROM ranks ORDER BY ranks.average_rank, model_id LIMIT 1",
+    "calibration_expected": f"WITH {SERIES} SELECT model_id, level, count(*) AS days, CAST(sum(hit) AS BIGINT) AS exceptions, round(count(*) * (1 - level), 4) AS expected_exceptions FROM series GROUP BY 1, 2",
 }

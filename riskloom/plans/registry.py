@@ -11,7 +11,7 @@ from ..operators import dependence as dep
 from ..operators import inference as inf
 from ..operators import panel as pan
 from ..operators import portfolio as por
-from ..operators import quality, risk
+from ..operators import quality, risk, scenario
 from ..sources import views as v
 from . import modelling
 from .oracles import SQL
@@ -245,12 +245,31 @@ def extreme_days_top(s, d):
     return _rounded(rows.where("k <= 5").drop("k"), 6, "simple_return")
 
 
+def stock_shock(s, d):
+    return _rounded(scenario.shock_one(v.nation_returns(s, d), "NATION_1", "1996-03-01", 0.5), 8, "simple_return")
+
+
+def group_shock(s, d):
+    panel, labels = v.nation_returns(s, d), v.nation_labels(s, d)
+    rows = scenario.shock_groups(por.group_returns(panel, labels), panel, labels, "NATION_1", "1996-03-01", 0.5)
+    return _rounded(rows, 8, "simple_return").select("date", "group_id", "simple_return")
+
+
+def best_model(s, d):
+    return scenario.best_model(risk.model_summaries(_scores(s, d))).select("model_id", F.round("average_rank", 6).alias("average_rank"))
+
+
+def calibration_expected(s, d):
+    rows = scenario.calibration_table(inf.unconditional_coverage(_series(s, d)))
+    return _rounded(rows, 4, "expected_exceptions").select("model_id", "level", "days", "exceptions", "expected_exceptions")
+
+
 _QUERIES = (
     region_prices, segment_interval_join, split_factors, cash_dividends, total_returns, event_dispositions, superseded_events, numeric_integrity, coverage, early_exits,
     extreme_observations, lifecycle_grid, active_schedule, terminal_cash_carry, share_class_composite, group_returns, portfolio_reconstruction, equal_weight_portfolio,
     evaluation_year_backcast, buy_and_hold, balanced_groups, pairwise_spearman, dependence_gap, adjusted_rand_index, normalized_mutual_information, contingency, rolling_var_es,
     daily_scores, risk_model_summary, unconditional_coverage, transitions, calibration, diebold_mariano, diebold_mariano_p_values, holm_adjustment, calendar_rebalance, reshape_wide,
-    key_differences, extreme_days_top,
+    key_differences, extreme_days_top, stock_shock, group_shock, best_model, calibration_expected,
 )
 
 
