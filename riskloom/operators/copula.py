@@ -107,3 +107,25 @@ def gaussian_forecasts(daily: DataFrame, refits: DataFrame, training: DataFrame,
         return pd.DataFrame(rows, columns=[x.split()[0] for x in FORECAST.split(", ")])
 
     return joined.groupBy("refit_date").cogroup(training.groupBy("refit_date")).applyInPandas(each, FORECAST)
+
+
+VINE = "refit_date date, tree int, a string, b string, under array<string>, family string, rotation int, theta double, df double, fallback_reason string"
+
+
+def vine_refits(training: DataFrame, truncation: int = 3) -> DataFrame:
+    """training (refit_date, date, group_id, pit) -> one row per pair copula of each block's vine, one task per block; where
+    the Gaussian copula must stand in, one row with the reason. Dates that miss a group take no part."""
+    from . import vine
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot(index="date", columns="group_id", values="pit").sort_index(axis=1).dropna()
+        names, refit = list(wide.columns), pdf["refit_date"].iloc[0]
+        trees, reason = vine.vine_or_gaussian(np.clip(wide.to_numpy(float), LOWER, UPPER), truncation)
+        rows = [(refit, 0, None, None, None, None, None, None, None, reason)] if trees is None else [
+            (refit, level, names[e.a], names[e.b], sorted(names[k] for k in e.under), e.pair.family, e.pair.turn, e.pair.theta, e.pair.df or None, None)
+            for level, edges in enumerate(trees, 1)
+            for e in edges
+        ]
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in VINE.split(", ")])
+
+    return training.groupBy("refit_date").applyInPandas(each, VINE)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -25,10 +26,15 @@ def _clip(u: np.ndarray) -> np.ndarray:
     return np.clip(u, LOW, HIGH)
 
 
+@lru_cache(maxsize=64)
+def _table(df: float) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.concatenate([np.geomspace(LOW / 2, 1e-3, 300), np.linspace(1e-3, 1 - 1e-3, 2001)[1:-1], 1 - np.geomspace(1e-3, LOW / 2, 300)])
+    return edge, t_ppf(edge, df)
+
+
 def _quantile(p: np.ndarray, df: float) -> np.ndarray:
     """Student-t quantiles read off a fine table."""
-    edge = np.concatenate([np.geomspace(LOW / 2, 1e-3, 300), np.linspace(1e-3, 1 - 1e-3, 2001)[1:-1], 1 - np.geomspace(1e-3, LOW / 2, 300)])
-    return np.interp(p, edge, t_ppf(edge, df))
+    return np.interp(p, *_table(df))
 
 
 @dataclass(frozen=True)
@@ -110,9 +116,9 @@ class Pair:
 def kendall(x: np.ndarray, y: np.ndarray) -> float:
     """Share of concordant less discordant pairs, by rows."""
     total = 0.0
-    for i in range(1, len(x)):
-        total += float(np.sum(np.sign(x[i] - x[:i]) * np.sign(y[i] - y[:i])))
-    return total / (len(x) * (len(x) - 1) / 2)
+    for at in range(0, len(x), 256):
+        total += float(np.sum(np.sign(x[at : at + 256, None] - x) * np.sign(y[at : at + 256, None] - y)))
+    return total / (len(x) * (len(x) - 1))
 
 
 def _search(f, low: float, high: float, rounds: int = 40) -> float:
@@ -147,7 +153,10 @@ def fit_pair(u: np.ndarray, v: np.ndarray, families: tuple[str, ...] = FAMILIES)
                     value = -float(np.sum(make(t).density(u, v)))  # noqa: B023
                     return value if math.isfinite(value) else 1e12
 
-                theta = math.sin(math.pi / 2 * tau) if family == "student" else _search(miss, *limits[family])
+                if family == "gaussian":
+                    theta = float(np.corrcoef(ndtri(_clip(u)), ndtri(_clip(v)))[0, 1])
+                else:
+                    theta = math.sin(math.pi / 2 * tau) if family == "student" else _search(miss, *limits[family])
                 theta = min(max(theta, limits[family][0]), limits[family][1])
                 ll = -miss(theta)
                 aic = 2 * (2 if family == "student" else 1) - 2 * ll

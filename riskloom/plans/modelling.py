@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import cluster, copula, margins
+from ..operators import bootstrap, cluster, copula, margins
 from ..operators import dependence as dep
 from ..sources import views as v
 
@@ -48,5 +50,30 @@ def gaussian_copula_forecasts(s, d):
     return copula.gaussian_forecasts(whole, fitted, whole.select("refit_date", "date", "group_id", "pit"), "M1", draws=20_000)
 
 
+def vine_pairs(s, d):
+    """Midranks of a year's region returns as transforms, one block a year."""
+    rows = v.region_returns(s, d).where("simple_return is not null").withColumn("refit_date", F.to_date(F.trunc("date", "year")))
+    block = Window.partitionBy("refit_date", "group_id")
+    rank = F.rank().over(block.orderBy("simple_return")) + (F.count("*").over(Window.partitionBy("refit_date", "group_id", "simple_return")) - 1) / 2.0
+    rows = rows.withColumn("group_id", F.col("security"))
+    return copula.vine_refits(rows.withColumn("pit", (rank - 0.5) / F.count("*").over(block)).select("refit_date", "date", "group_id", "pit"))
+
+
+def gap_bootstrap(s, d):
+    """The gap of the regions' labels less that of the nations' first letters of their keys, over years of monthly returns."""
+    wide = v.nation_returns(s, d).toPandas()
+    labels = v.nation_labels(s, d).toPandas().set_index("security")["group_id"]
+    years = {}
+    for year, own in wide.assign(year=[x.year for x in wide["date"]]).groupby("year"):
+        table = own.pivot(index="date", columns="security", values="simple_return").dropna(axis=1)
+        if table.shape[0] >= 6 and table.shape[1] >= 4:
+            codes = labels[table.columns].astype("category").cat.codes.to_numpy()
+            years[int(year)] = (table.to_numpy(float), codes, np.arange(len(codes)) % 3)
+    return bootstrap.paired_gap_bootstrap(s, years, 200, 3)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (hierarchical_clusters, spectral_clusters, profile_clusters, margin_refits, margin_daily, gaussian_copula_forecasts)}
+    return {
+        f.__name__: f
+        for f in (hierarchical_clusters, spectral_clusters, profile_clusters, margin_refits, margin_daily, gaussian_copula_forecasts, vine_pairs, gap_bootstrap)
+    }
