@@ -142,7 +142,8 @@ def label_model(fired: np.ndarray, start: np.ndarray, rounds: int = 25) -> Label
         shared = (left1 * posterior[:, None]).T @ left1 + (left0 * (1 - posterior)[:, None]).T @ left0
         spread = np.sqrt(np.maximum(np.diag(shared), 1e-9))
         correlation = shared / np.outer(spread, spread)
-        voice = 1 / np.maximum(1.0, np.clip(correlation, 0, 1).sum(axis=1))
+        # a discount stays: once the posteriors follow a group of copies, they no longer look correlated
+        voice = np.minimum(voice, 1 / np.maximum(1.0, np.clip(correlation, 0, 1).sum(axis=1)))
         model = LabelModel(toxic, clean, voice, float(np.clip(n1 / len(fired), 1e-3, 1 - 1e-3)))
         posterior = model.posterior(fired)
     return model
