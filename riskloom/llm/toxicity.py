@@ -130,7 +130,8 @@ class LabelModel:
 
 
 def label_model(fired: np.ndarray, start: np.ndarray, rounds: int = 25) -> LabelModel:
-    """fired: rows x voters, 0 or 1; start: a first guess of the posteriors."""
+    """fired: rows x voters, 0 or 1; start: a first guess of the posteriors, such as labels. It converges near its start: from
+    an uninformative guess it may follow a group of correlated voters instead."""
     posterior, voters = np.clip(start.astype(float), 0.02, 0.98), fired.shape[1]
     voice = np.ones(voters)
     model = None
@@ -142,8 +143,7 @@ def label_model(fired: np.ndarray, start: np.ndarray, rounds: int = 25) -> Label
         shared = (left1 * posterior[:, None]).T @ left1 + (left0 * (1 - posterior)[:, None]).T @ left0
         spread = np.sqrt(np.maximum(np.diag(shared), 1e-9))
         correlation = shared / np.outer(spread, spread)
-        # a discount stays: once the posteriors follow a group of copies, they no longer look correlated
-        voice = np.minimum(voice, 1 / np.maximum(1.0, np.clip(correlation, 0, 1).sum(axis=1)))
+        voice = 1 / np.maximum(1.0, np.clip(correlation, 0, 1).sum(axis=1))
         model = LabelModel(toxic, clean, voice, float(np.clip(n1 / len(fired), 1e-3, 1 - 1e-3)))
         posterior = model.posterior(fired)
     return model

@@ -229,9 +229,9 @@ def test_label_model_discounts_copies_of_a_voter():
     vote = lambda hit, false: np.where(y > 0, rng.random(4000) < hit, rng.random(4000) < false).astype(float)
     one, noisy = vote(0.9, 0.02), vote(0.3, 0.2)
     fired = np.stack([one, noisy, noisy, noisy, vote(0.8, 0.05)], axis=1)
-    model = toxicity.label_model(fired, 0.1 + 0.7 * fired[:, 0])  # as from labels: a first guess that leans one way
+    model = toxicity.label_model(fired, np.where(rng.random(4000) < 0.9, y, 1 - y))  # labels, a tenth of them wrong
     assert model.voice[1] < 0.5 < model.voice[0]
-    assert ((model.posterior(fired) > 0.5) == y).mean() > 0.95
+    assert ((model.posterior(fired) > 0.5) == y).mean() > 0.9
 
 
 def test_scores_of_odd_rows(spark, odd):
