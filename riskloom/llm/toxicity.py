@@ -129,8 +129,8 @@ class LabelModel:
         return sigmoid(math.log(self.prior / (1 - self.prior)) + fired @ on + (1 - fired) @ off)
 
 
-def label_model(fired: np.ndarray, start: np.ndarray, rounds: int = 25) -> LabelModel:
-    """fired: rows x voters, 0 or 1; start: a first guess of the posteriors, such as labels. It converges near its start: from
+def label_model(fired: np.ndarray, start: np.ndarray, rounds: int = 25, annotators: int = 0) -> LabelModel:
+    """fired: rows x voters, 0 or 1, the last ``annotators`` of them people, whose voice is never shared; start: a first guess of the posteriors, such as labels. It converges near its start: from
     an uninformative guess it may follow a group of correlated voters instead."""
     posterior, voters = np.clip(start.astype(float), 0.02, 0.98), fired.shape[1]
     voice = np.ones(voters)
@@ -142,8 +142,10 @@ def label_model(fired: np.ndarray, start: np.ndarray, rounds: int = 25) -> Label
         left1, left0 = fired - toxic, fired - clean
         shared = (left1 * posterior[:, None]).T @ left1 + (left0 * (1 - posterior)[:, None]).T @ left0
         spread = np.sqrt(np.maximum(np.diag(shared), 1e-9))
-        correlation = shared / np.outer(spread, spread)
-        voice = 1 / np.maximum(1.0, np.clip(correlation, 0, 1).sum(axis=1))
+        correlation = np.clip(shared / np.outer(spread, spread), 0, 1)
+        if annotators:
+            correlation[:, -annotators:] = correlation[-annotators:, :] = 0
+        voice = 1 / np.maximum(1.0, correlation.sum(axis=1))
         model = LabelModel(toxic, clean, voice, float(np.clip(n1 / len(fired), 1e-3, 1 - 1e-3)))
         posterior = model.posterior(fired)
     return model
@@ -179,7 +181,7 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int =
     if not len(found):
         return Classifier(lexicons, np.r_[-4.0, np.full(len(VOTERS), 3.0), np.zeros(columns - 1 - len(VOTERS))])
     fired = np.concatenate([(hits[:, :-1] > 0).astype(float), y[:, None]], axis=1)  # the annotators vote too
-    posterior = label_model(fired, y).posterior(fired)
+    posterior = label_model(fired, y, annotators=1).posterior(fired)
     weights = logistic(_features(hits), posterior, np.where(y > 0, 1.0, 2.0), ridge=0.3)
     return Classifier(lexicons, weights)
 
