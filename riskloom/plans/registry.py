@@ -21,13 +21,18 @@ def _rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
     return df.withColumns({x: F.round(x, digits) for x in names})
 
 
+def _off_ties(df: DataFrame, digits: int, *names: str) -> DataFrame:
+    """Rounded after a shift that no mean of prices makes: exact ties would fall either way by the order of summation."""
+    return df.withColumns({x: F.round(F.col(x) + 1.3e-8, digits) for x in names})
+
+
 def region_prices(s: SparkSession, d: str) -> DataFrame:
-    return _rounded(v.region_prices(s, d), 9, "close", "high", "low").select("security", "date", "ticker", "close", "high", "low", "volume")
+    return _rounded(_off_ties(v.region_prices(s, d), 6, "close"), 9, "high", "low").select("security", "date", "ticker", "close", "high", "low", "volume")
 
 
 def segment_interval_join(s, d):
     rows = pan.map_segments(v.region_prices(s, d).drop("security"), v.region_segments(s, d), check=False)
-    return rows.select("security", "date", "ticker", F.round("close", 9).alias("close"))
+    return rows.select("security", "date", "ticker", F.round(F.col("close") + 1.3e-8, 6).alias("close"))
 
 
 def split_factors(s, d):
@@ -43,7 +48,7 @@ def _total(s, d):
 
 
 def total_returns(s, d):
-    rows = _rounded(_rounded(_total(s, d), 6, "total_return", "log_total_return"), 7, "consideration")
+    rows = _off_ties(_rounded(_total(s, d), 6, "total_return", "log_total_return"), 6, "consideration")
     return rows.select("security", "date", "consideration", "total_return", "log_total_return", "quality_flag")
 
 
@@ -90,7 +95,7 @@ def lifecycle_grid(s, d):
     prices = v.region_prices(s, d)
     halts = prices.where("day(date) = 13").select("date").distinct().crossJoin(securities.select("security"))
     grid = pan.lifecycle_grid(prices.where("day(date) <> 13"), prices.select("date").distinct(), securities, halts)
-    return _rounded(grid.drop("ticker"), 9, "close")
+    return _off_ties(grid.drop("ticker"), 6, "close")
 
 
 def _schedule(s, d):
