@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import mixing, packing, pii, simhash, toxicity
+from riskloom.llm import mixing, packing, pii, similar, toxicity
 from riskloom.llm.store import materialize
 
 
@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the smallest doc_id stays."""
-    return simhash.keep_one(docs)
+    """Of each group of near copies, by a five-word similarity of 0.8 or more, the row with the smallest doc_id stays."""
+    return similar.keep_one(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -359,7 +359,11 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD, words: int = SHINGLE_W
     All columns of ``docs`` are kept. Rows repeated with one doc_id count as copies, of which one stays; rows with a null
     doc_id cannot be told apart and all stay.
     """
-    found = materialize(near_duplicates(docs, threshold, words).select("doc_id", "component_id"))
+    return first_of_each(docs, materialize(near_duplicates(docs, threshold, words).select("doc_id", "component_id")))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id names its component in ``found`` (doc_id, component_id), once, and those without one."""
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     # the kept ids grow with the documents, so they are never broadcast; hashing them spares sorting the texts
     named = docs.where("doc_id is not null").join(kept.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
