@@ -181,33 +181,45 @@ REFIT = "group_id string, refit_date date, observations int, method string, leve
 DAILY = "group_id string, refit_date date, date date, mean double, volatility double, log_return double, residual double, pit double"
 
 
-def monthly(returns: DataFrame, first_refit: str, years: int = 3, least: int = 700, out: str = "refits") -> DataFrame:
+TRAINING = "group_id string, refit_date date, date date, residual double, pit double"
+ALL = "kind string, group_id string, refit_date date, date date, df double, mean double, volatility double, log_return double, residual double, pit double"
+
+
+def monthly(returns: DataFrame, first_refit: str | None = None, years: int = 3, least: int = 700, out: str = "refits") -> DataFrame:
     """returns (group_id, date, log_return) -> per group and month the margin refitted on the years before the month's first
-    day (``refits``), or the filtered days of the month (``daily``). A group's series is read once, by one task."""
+    day (``refits``), the filtered days of the month (``daily``), the residuals and transforms of the days that the margin
+    was fitted on (``training``), or what forecasts need of the three, told apart by kind (``all``). Every month with
+    ``least`` days to train on has a refit, or those from ``first_refit`` on. A group's series is read once, by one task."""
+    schema = {"refits": REFIT, "daily": DAILY, "training": TRAINING, "all": ALL}[out]
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        dates, r = pd.to_datetime(pdf["date"]), pdf["log_return"].to_numpy(float)
+        dates, r, group = pd.to_datetime(pdf["date"]), pdf["log_return"].to_numpy(float), pdf["group_id"].iloc[0]
         rows = []
         months = dates.dt.to_period("M")
-        for month in sorted(set(months[dates >= pd.Timestamp(first_refit)])):
+        for month in sorted(set(months if first_refit is None else months[dates >= pd.Timestamp(first_refit)])):
             own = (months == month).to_numpy()
             refit = dates[own].min()
             train = ((dates >= refit - pd.DateOffset(years=years)) & (dates < refit)).to_numpy()
             if train.sum() < least:
                 continue
             margin, _ = select_margin(r[train])
+            key = {"group_id": group, "refit_date": refit.date()}
+            if out in ("refits", "all"):
+                rows.append({"kind": "refits", **key, "observations": int(train.sum()), **asdict(margin)})
             if out == "refits":
-                fields = asdict(margin)
-                rows.append({"group_id": pdf["group_id"].iloc[0], "refit_date": refit.date(), "observations": int(train.sum()), **fields})
-            else:
+                continue
+            fitted = residuals(margin, r[train])
+            if out in ("training", "all"):
+                days = dates[train][-len(fitted) :]  # an autoregressive fit has no residual of its first day
+                for d, zz, u in zip(days, fitted, transform(margin, fitted, fitted)):
+                    rows.append({"kind": "training", **key, "date": d.date(), "residual": zz, "pit": u})
+            if out in ("daily", "all"):
                 means, volatility = filter_days(margin, r[own])
                 z = (r[own] - means) / volatility
-                pits = transform(margin, z, residuals(margin, r[train]))
-                for d, m, s, x, zz, u in zip(dates[own], means, volatility, r[own], z, pits):
-                    rows.append({"group_id": pdf["group_id"].iloc[0], "refit_date": refit.date(), "date": d.date(), "mean": m, "volatility": s, "log_return": x, "residual": zz, "pit": u})
-        names = [x.split()[0] for x in (REFIT if out == "refits" else DAILY).split(", ")]
-        return pd.DataFrame(rows, columns=names)
+                for d, m, s, x, zz, u in zip(dates[own], means, volatility, r[own], z, transform(margin, z, fitted)):
+                    rows.append({"kind": "daily", **key, "date": d.date(), "mean": m, "volatility": s, "log_return": x, "residual": zz, "pit": u})
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
 
     rows = returns.where(F.col("log_return").isNotNull()).select("group_id", "date", "log_return")
-    return rows.groupBy("group_id").applyInPandas(each, REFIT if out == "refits" else DAILY)
+    return rows.groupBy("group_id").applyInPandas(each, schema)

@@ -34,11 +34,11 @@ def _series(s, d):
 
 
 def margin_refits(s, d):
-    return margins.monthly(_series(s, d), "2001-09-01")
+    return margins.monthly(_series(s, d))
 
 
 def margin_daily(s, d):
-    return margins.monthly(_series(s, d), "2001-09-01", out="daily")
+    return margins.monthly(_series(s, d), out="daily")
 
 
 def gaussian_copula_forecasts(s, d):

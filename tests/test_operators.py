@@ -159,3 +159,24 @@ def test_constraints(spark):
     assert quality.forecast_issues(f).count() == 2
     with pytest.raises(quality.ConstraintError):
         quality.require_columns(f, ["var_95"], "f")
+
+
+def test_monthly_starts_at_the_first_month_with_enough_days(spark):
+    import numpy as np
+    import pandas as pd
+
+    from riskloom.operators import margins
+    from riskloom.plans import modelling
+
+    days = pd.bdate_range("1995-01-02", "1998-03-31")
+    r = np.random.default_rng(1).standard_t(6, len(days)) * 0.01
+    table = spark.createDataFrame(pd.DataFrame({"group_id": "g", "date": days.date, "log_return": r}))
+    expected = sorted({d.strftime("%Y-%m") for d in days if ((days < days[days.to_period("M") == d.to_period("M")].min()) & (days >= days[days.to_period("M") == d.to_period("M")].min() - pd.DateOffset(years=3))).sum() >= 700})
+    series, modelling._series = modelling._series, lambda s, d: table
+    try:
+        months = [x.refit_date.strftime("%Y-%m") for x in modelling.margin_refits(spark, "").orderBy("refit_date").collect()]
+        daily = modelling.margin_daily(spark, "").toPandas()
+    finally:
+        modelling._series = series
+    assert months == expected and len(months) > 3
+    assert len(daily) == sum(d.strftime("%Y-%m") in expected for d in days)
