@@ -76,11 +76,12 @@ FORECAST = "date date, model_id string, var_95 double, var_975 double, var_99 do
 
 def gaussian_forecasts(daily: DataFrame, refits: DataFrame, training: DataFrame, model_id: str, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
     """daily (refit_date, date, group_id, mean, volatility, pit, log_return, portfolio_weight), refits (refit_date, group_id,
-    df) and training (refit_date, date, group_id, pit) -> the portfolio's forecasts. A month's three inputs meet in one task
-    by cogrouping on refit_date; uniforms are drawn there and never shuffled."""
+    df) and training (refit_date, date, group_id, residual, pit) -> the portfolio's forecasts. The copula is fitted on the
+    training days that have every group; a group without degrees of freedom draws from its own training residuals. A month's
+    three inputs meet in one task by cogrouping on refit_date; uniforms are drawn there and never shuffled."""
     joined = daily.join(refits.select("refit_date", "group_id", "df"), ["refit_date", "group_id"])
     # renamed and back, as both sides may come from one table
-    names = ["refit_date", "date", "group_id", "pit"]
+    names = ["refit_date", "date", "group_id", "residual", "pit"]
     training = training.select(*names).toDF(*(f"_{x}" for x in names)).toDF(*names)
 
     def each(key: tuple, days: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
@@ -92,7 +93,8 @@ def gaussian_forecasts(daily: DataFrame, refits: DataFrame, training: DataFrame,
         refit = pd.Timestamp(key[0])
         uniforms = dependent_uniforms(common_uniforms(refit.year, refit.month, draws, len(groups), seed), correlation)
         df = days.groupby("group_id")["df"].first()
-        z = np.column_stack([innovations(uniforms[:, i], float(df[g])) for i, g in enumerate(groups)])
+        own_residuals = {g: x.to_numpy(float) for g, x in train.groupby("group_id")["residual"]}
+        z = np.column_stack([innovations(uniforms[:, i], None if pd.isna(df[g]) else float(df[g]), own_residuals[g]) for i, g in enumerate(groups)])
         rows = []
         for date, own in days.groupby("date"):
             own = own.set_index("group_id").reindex(groups)

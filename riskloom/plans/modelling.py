@@ -42,12 +42,13 @@ def margin_daily(s, d):
 
 
 def gaussian_copula_forecasts(s, d):
-    """Equal weights; the block's own transforms of the month stand for its training ones."""
-    daily, refits = margin_daily(s, d), margin_refits(s, d)
+    """Equal weights over the five regions; each month's copula is fitted on the days that its margins were fitted on."""
+    month = F.trunc("refit_date", "month").alias("refit_date")
+    fitted = margins.monthly(_series(s, d), out="all").persist()  # three parts of one set of fits
+    daily, refits, training = (fitted.where(F.col("kind") == kind) for kind in ("daily", "refits", "training"))
     counts = daily.groupBy("date").count().where("count = 5").select("date")
-    whole = daily.join(counts, "date").withColumn("refit_date", F.trunc("date", "month")).withColumn("portfolio_weight", F.lit(0.2))
-    fitted = refits.withColumn("refit_date", F.trunc("refit_date", "month")).where("df is not null")
-    return copula.gaussian_forecasts(whole, fitted, whole.select("refit_date", "date", "group_id", "pit"), "M1", draws=20_000)
+    whole = daily.join(counts, "date").select(month, "date", "group_id", "mean", "volatility", "pit", "log_return", F.lit(0.2).alias("portfolio_weight"))
+    return copula.gaussian_forecasts(whole, refits.select(month, "group_id", "df"), training.select(month, "date", "group_id", "residual", "pit"), "M1")
 
 
 def vine_pairs(s, d):

@@ -180,3 +180,48 @@ def test_monthly_starts_at_the_first_month_with_enough_days(spark):
         modelling._series = series
     assert months == expected and len(months) > 3
     assert len(daily) == sum(d.strftime("%Y-%m") in expected for d in days)
+
+
+def test_copula_forecasts_use_training_days_and_empirical_margins(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from riskloom.operators import copula, margins
+    from riskloom.plans import modelling
+
+    days = pd.bdate_range("1997-01-02", "2000-01-31")
+    rng = np.random.default_rng(2)
+    common = rng.standard_normal(len(days))
+    r = {g: 0.01 * (0.8 * common + 0.6 * rng.standard_normal(len(days))) for g in "abcde"}
+    rows = pd.concat([pd.DataFrame({"group_id": g, "date": days.date, "log_return": x}) for g, x in r.items()])
+    table = spark.createDataFrame(rows)
+
+    def fits(x):  # group a, known by its first value, falls back to smoothed variance
+        x = np.asarray(x) * margins.SCALE
+        if np.isin(x[0], r["a"] * margins.SCALE):
+            return margins.ewma(x), []
+        return margins.Margin("garch_t", 2, 0.0, 0.0, 0.05, 0.05, 0.9, 8.0, 1.0, float(x[-1]), 0.0), []
+
+    caught = []  # the grouped function runs here, where the fits are replaced
+    with monkeypatch.context() as patch:
+        patch.setattr(margins, "select_margin", fits)
+        patch.setattr("pyspark.sql.GroupedData.applyInPandas", lambda self, f, schema: caught.append(pd.concat([f(x) for _, x in rows.groupby("group_id")])))
+        margins.monthly(table, out="all")
+    every = caught[0].astype(object).where(caught[0].notna(), None)
+    fitted = spark.createDataFrame(every.to_dict("records"), margins.ALL)
+    monkeypatch.setattr(modelling, "_series", lambda s, d: table)
+    monkeypatch.setattr(margins, "monthly", lambda *a, **k: fitted)
+    found = modelling.gaussian_copula_forecasts(spark, "").toPandas().sort_values("date", ignore_index=True)
+    daily, train = (caught[0][caught[0].kind == k] for k in ("daily", "training"))
+    assert (train.date < train.refit_date).all() and set(found.date) == set(daily.date)
+    month = found.date.map(lambda x: (x.year, x.month)) == (2000, 1)
+    own = train[train.refit_date.map(lambda x: (x.year, x.month)) == (2000, 1)]
+    wide = own.pivot(index="date", columns="group_id", values="pit").dropna()
+    assert len(wide) >= 700
+    correlation, _ = copula.fit_correlation(wide.to_numpy(float))
+    u = copula.dependent_uniforms(copula.common_uniforms(2000, 1, copula.DRAWS, 5), correlation)
+    z = np.column_stack([copula.innovations(u[:, i], None if g == "a" else 8.0, own[own.group_id == g].residual.to_numpy(float)) for i, g in enumerate("abcde")])
+    day = daily[daily.date == found[month].date.iloc[0]].sort_values("group_id")
+    losses = -np.expm1(day["mean"].to_numpy(float) + z * day["volatility"].to_numpy(float)) @ np.full(5, 0.2)
+    (_, _, v99), es = copula.var_es(losses, (0.95, 0.975, 0.99), 0.975)
+    assert np.isclose(found[month].var_99.iloc[0], v99) and np.isclose(found[month].es_975.iloc[0], es)
