@@ -165,8 +165,9 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int =
     """Fit on a bounded sample: at most 2 * bound ids go to the executors and as many rows of voter hits come back."""
     ids = sample_of_classes(labels, "toxic", modulus, remainder, bound)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    whole = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))  # equal whole texts with one label count once
     sample = materialize(
-        texts.join(F.broadcast(ids), "doc_id").groupBy(F.xxhash64(F.substring("text", 1, 200)).alias("start")).agg(F.min(F.struct("doc_id", "text", "y")).alias("x")).select("x.*")
+        texts.join(F.broadcast(ids), "doc_id").groupBy(F.sha2(whole, 256).alias("whole"), "y").agg(F.min(F.struct("doc_id", "text", "y")).alias("x")).select("x.*")
     )
     lexicons = mine(sample)
 

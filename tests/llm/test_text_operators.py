@@ -243,3 +243,14 @@ def test_scores_of_odd_rows(spark, odd):
             assert len(rows) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
     kept = toxicity.without_toxic(odd, none)
     assert kept.columns == odd.columns and kept.count() == len(ROWS)
+
+
+def test_toxicity_learns_from_texts_that_share_a_header(spark):
+    """Labelled texts behind one header of more than 200 characters are different texts; equal ones with one label count once."""
+    header = "this notice is printed above every message of the board " * 5
+    ids = [i for i in range(1, 400)]
+    docs = [(i, header + (f"zorblat person number {i}" if i % 2 else f"kind person number {i}")) for i in ids]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in ids], "doc_id long, quality int, toxic int")
+    assert "zorblat" in toxicity.learn(spark.createDataFrame(docs, "doc_id long, text string"), labels).lexicons.words
+    copies = [(i, header + ("zorblat" if i % 2 else "  Kind")) for i in ids]
+    assert "zorblat" not in toxicity.learn(spark.createDataFrame(copies, "doc_id long, text string"), labels).lexicons.words
