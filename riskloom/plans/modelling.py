@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import bootstrap, cluster, copula, margins
 from ..operators import dependence as dep
 from ..sources import views as v
+from . import protocol
 
 
 def _pairs(s, d):
@@ -61,7 +62,8 @@ def vine_pairs(s, d):
 
 
 def gap_bootstrap(s, d):
-    """The gap of the regions' labels less that of the nations' first letters of their keys, over years of monthly returns."""
+    """The gap of the regions' labels less that of the nations' first letters of their keys, over years of monthly returns.
+    Blocks are of 3 rows, not the protocol's 20 days: a year has at most 12 monthly rows, which one block of 20 would only rotate."""
     wide = v.nation_returns(s, d).toPandas()
     labels = v.nation_labels(s, d).toPandas().set_index("security")["group_id"]
     years = {}
@@ -70,7 +72,7 @@ def gap_bootstrap(s, d):
         if table.shape[0] >= 6 and table.shape[1] >= 4:
             codes = labels[table.columns].astype("category").cat.codes.to_numpy()
             years[int(year)] = (table.to_numpy(float), codes, np.arange(len(codes)) % 3)
-    return bootstrap.paired_gap_bootstrap(s, years, 200, 3)
+    return bootstrap.paired_gap_bootstrap(s, years, protocol.FROZEN["inference"]["replications"], 3)
 
 
 def queries() -> dict:

@@ -225,3 +225,12 @@ def test_copula_forecasts_use_training_days_and_empirical_margins(spark, monkeyp
     losses = -np.expm1(day["mean"].to_numpy(float) + z * day["volatility"].to_numpy(float)) @ np.full(5, 0.2)
     (_, _, v99), es = copula.var_es(losses, (0.95, 0.975, 0.99), 0.975)
     assert np.isclose(found[month].var_99.iloc[0], v99) and np.isclose(found[month].es_975.iloc[0], es)
+
+
+def test_gap_bootstrap_has_the_protocols_replications(spark, monkeypatch):
+    from riskloom.operators import bootstrap
+    from riskloom.plans import modelling, protocol
+
+    monkeypatch.setattr(bootstrap, "paired_gap_bootstrap", lambda s, years, replications, length: (max(len(x[0]) for x in years.values()), replications))
+    rows, replications = modelling.gap_bootstrap(spark, "/root/testdata/sf0.01")
+    assert replications == protocol.FROZEN["inference"]["replications"] == 10_000 and rows <= 12
