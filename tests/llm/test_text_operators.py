@@ -122,6 +122,15 @@ def test_components_of_a_path_and_a_star(spark):
     assert star_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_state_of_edges_cannot_overflow(spark):
+    from riskloom.llm.components import _state
+
+    edges = spark.range(200_000).selectExpr("id as u", "id * 7 as v")
+    plan = edges.agg(F.bit_xor(F.xxhash64("u", "v")))._jdf.queryExecution().toString()
+    assert "sum" not in plan.lower()  # a sum of hashes overflows from some 16 million edges on
+    assert _state(edges)[0] == 200_000 and _state(edges) == _state(edges.repartition(5)) != _state(edges.withColumn("v", F.col("v") + 1))
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -241,6 +250,9 @@ def test_scores_of_odd_rows(spark, odd):
         for found in (quality.quality_scores(odd, labels), toxicity.toxicity_scores(odd, labels)):
             rows = found.collect()
             assert len(rows) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
+    one = spark.createDataFrame([(i, 1, 0) for i in range(1, 9)], "doc_id long, quality int, toxic int")
+    assert len({r.score for r in quality.quality_scores(odd, one).collect()}) == 1
+    assert quality.quality_scores(odd.limit(0), some).count() == toxicity.toxicity_scores(odd.limit(0), some).count() == 0
     kept = toxicity.without_toxic(odd, none)
     assert kept.columns == odd.columns and kept.count() == len(ROWS)
 
