@@ -117,7 +117,10 @@ def one_hot(x: np.ndarray, limits: list[np.ndarray]) -> np.ndarray:
 
 
 def fit(x: np.ndarray, y: np.ndarray, share_bad: float, seed: int = 6) -> Ranking:
-    """x: features of sampled rows; y: their labels; share_bad: label 0's share of all labels."""
+    """x: features of sampled rows; y: their labels; share_bad: label 0's share of all labels. Without rows of both labels all
+    texts have one strength, which passes where no row is bad."""
+    if not len(x):
+        return Ranking([np.zeros(0)] * x.shape[1], np.zeros(0), -2.0)
     limits = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, RANGES + 1)[1:-1])) for k in range(x.shape[1])]
     limits = [np.unique(np.r_[e, np.quantile(x[y == 0, k], (0.25, 0.5, 0.75))]) if (y == 0).any() else e for k, e in enumerate(limits)]
     good, bad = np.nonzero(y == 1)[0], np.nonzero(y == 0)[0]
@@ -142,7 +145,7 @@ def learn(rows: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int =
     sample = sample_of_classes(labels, "quality", modulus, remainder, bound)
     known = labels.where(~held_out(F.col("doc_id"), modulus, remainder) & F.col("quality").isin(0, 1))
     share = known.agg(F.avg(1 - F.col("quality"))).first()[0]
-    found = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "y", "features").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    found = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("features").alias("features")).orderBy("doc_id").collect()
     x = np.array([r.features for r in found], float).reshape(-1, FEATURES)
     return fit(x, np.array([r.y for r in found], int), float(share or 0.0))
 
