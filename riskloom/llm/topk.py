@@ -1,11 +1,12 @@
 """Exact top-k by inner product with no-random-access aggregation.
 
-A block of candidates is read as one sorted list for each component. For a query, a component's list runs from its best end:
-largest values first where the query's component is positive, smallest first where it is negative. After the first d
-entries of every list have been read, a candidate's score lies between what it has shown plus the lists' last values, and
-what it has shown plus the values reached. A query stops once no candidate outside its k best lower bounds can reach them;
-what its remaining candidates have not shown is then read to get their exact scores. All queries of a block are bounded
-together by matrix products over what the lists have shown.
+A block of candidates is read as one sorted list for each component, step by step, from both ends of every list. What a list
+has not shown of a candidate lies between the two values reached, so a candidate's score lies between a lower and an upper
+bound, which close as reading goes on. A query stops as soon as few candidates outside its k best lower bounds can still
+reach them; the scores of those left are then resolved exactly. What a query found in one block is the floor that its bounds
+in the next have to reach. All queries of a block are bounded together: the bounds after a step are the products of the
+queries with the middles, and of their sizes with the half widths, of what the lists leave open. Where nothing can be told
+apart before (equal vectors), the lists are read to their ends, and then the bounds are the scores.
 """
 
 from __future__ import annotations
@@ -21,65 +22,77 @@ from .vectors import BLOCK, best, blocks, cells, queries, ranked, results, unpac
 
 SCALE = 64.0
 K = 20
-#: Shares of the lists after which bounds are computed.
-DEPTHS = (0.25, 0.5)
-QUERY_BLOCK = 1024
+#: Shares of the lists' entries after which the bounds are compared.
+STEPS = (0.7, 0.8, 0.88, 0.94, 0.97, 1.0)
+QUERY_BLOCK = 4096
+#: Queries that are bounded at once, and blocks of candidates that are searched one after the other.
+TOGETHER, STRIP = 512, 4
 
 
 class SortedLists:
-    """A block's integer vectors with each component's list order."""
+    """A block's integer vectors as one list for each component: the values in order, and each candidate's place in it."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         self.ids, self.values = ids, values
         order = np.argsort(values, axis=0, kind="stable")
-        self.rank = np.empty_like(order, dtype=np.int32)
-        np.put_along_axis(self.rank, order, np.arange(len(values), dtype=np.int32)[:, None], axis=0)
+        self.place = np.empty_like(order, dtype=np.int32)
+        np.put_along_axis(self.place, order, np.arange(len(values), dtype=np.int32)[:, None], axis=0)
         self.sorted = np.take_along_axis(values, order, axis=0)
 
-    def shown(self, depth: int, highest: bool) -> tuple[np.ndarray, np.ndarray]:
-        """After ``depth`` entries from one end: values with the reached one, and with the last one, where not yet shown."""
+    def read(self, share: float) -> tuple[np.ndarray, np.ndarray]:
+        """After ``share`` of all entries, half of them from either end: the middle and the half width of what each
+        candidate's component can be; a shown one is its own middle."""
         n = len(self.values)
-        seen = self.rank >= n - depth if highest else self.rank < depth
-        reached = self.sorted[n - depth] if highest else self.sorted[depth - 1]
-        last = self.sorted[0] if highest else self.sorted[n - 1]
-        return np.where(seen, self.values, reached), np.where(seen, self.values, last)
+        top = n if share >= 1 else max(1, int(n * share / 2))
+        bottom = min(top, n - top)
+        if top >= n or top + bottom >= n:
+            return self.values, np.zeros_like(self.values)
+        shown = (self.place < bottom) | (self.place >= n - top)
+        low, high = self.sorted[bottom - 1], self.sorted[n - top]
+        return np.where(shown, self.values, (low + high) / 2), np.where(shown, 0.0, (high - low) / 2)
 
 
-def search(lists: SortedLists, query_ids: np.ndarray, queries: np.ndarray, k: int = K) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, candidate ids, exact integer scores), best first, of each query against the block."""
+def search(lists: SortedLists, query_ids: np.ndarray, asked: np.ndarray, k: int = K, floors: dict | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, float]]:
+    """(query id, candidate ids, exact integer scores best first, share of the entries read) of each query in the block.
+
+    floors: the k best scores of each query so far, brought up to date; what cannot be among them is left out."""
+    floors = {} if floors is None else floors
     n, width = lists.values.shape
-    most = float(np.abs(queries).max(initial=0)) * float(np.abs(lists.values).max(initial=0)) * width
-    kind = np.float32 if most < 2**24 else np.float64
-    exact = most < 2**53
-    up, down = np.maximum(queries, 0).astype(kind), np.minimum(queries, 0).astype(kind)
-    open_ = np.arange(len(queries))
-    for share in (*DEPTHS, 1.0):
+    most = float(np.abs(asked).max(initial=0)) * float(np.abs(lists.values).max(initial=0)) * width
+    kind = np.float32 if most < 2**22 else np.float64
+    slack = 0.0 if most < 2**51 else most * 1e-14
+    place = {int(x): [] for x in query_ids}
+    for at, x in enumerate(lists.ids.tolist()):
+        if x in place:
+            place[x].append(at)
+    whole = lists.values.astype(np.int64)
+    open_ = np.arange(len(asked))
+    for share in STEPS:
         if not len(open_):
             return
-        depth = max(1, int(n * share))
-        if depth >= n or n <= 4 * k:
-            values = lists.values.astype(kind) if exact else lists.values.astype(np.int64)
-            scores = queries[open_].astype(values.dtype) @ values.T
-            for q, row in zip(open_, scores):
-                own = np.nonzero(lists.ids != query_ids[q])[0]
-                top = own[best(lists.ids[own], row[own], k)]
-                yield int(query_ids[q]), lists.ids[top], row[top].astype(np.int64)
-            return
-        (high_upper, high_lower), (low_upper, low_lower) = (tuple(x.astype(kind) for x in lists.shown(depth, h)) for h in (True, False))
-        lower = up[open_] @ high_lower.T + down[open_] @ low_lower.T
-        upper = up[open_] @ high_upper.T + down[open_] @ low_upper.T
-        slack = 0.0 if exact else most * 1e-15
+        middle, width_ = (x.astype(kind) for x in lists.read(share))
         still = []
-        for at, q in enumerate(open_):
-            own = lists.ids != query_ids[q]
-            floor = np.partition(lower[at][own], own.sum() - k)[own.sum() - k] - slack
-            rest = np.nonzero(own & (upper[at] >= floor))[0]
-            if len(rest) > max(8 * k, n // 16):
-                still.append(q)
-                continue
-            scores = lists.values[rest].astype(np.int64) @ queries[q].astype(np.int64)
-            top = best(lists.ids[rest], scores, k)
-            yield int(query_ids[q]), lists.ids[rest[top]], scores[top]
+        for start in range(0, len(open_), TOGETHER):
+            part = open_[start : start + TOGETHER]
+            q = asked[part].astype(kind)
+            mid, half = q @ middle.T, np.abs(q) @ width_.T
+            lower, upper = mid - half, mid + half
+            for i, at in enumerate(part):
+                own = place[int(query_ids[at])]
+                lower[i, own] = upper[i, own] = -np.inf
+            reached = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(part), -np.inf)
+            for i, at in enumerate(part):
+                known = floors.get(int(query_ids[at]))
+                floor = max(float(reached[i]), float(known[0]) if known is not None and len(known) == k else -np.inf)
+                rest = np.nonzero((upper[i] >= floor - slack) & (upper[i] > -np.inf))[0]
+                if len(rest) > max(4 * k, n // 64) and share < 1:
+                    still.append(at)
+                    continue
+                scores = whole[rest] @ asked[at].astype(np.int64)
+                top = best(lists.ids[rest], scores, k)
+                held = scores[top] if known is None else np.concatenate([known, scores[top]])
+                floors[int(query_ids[at])] = np.sort(held)[-k:]
+                yield int(query_ids[at]), lists.ids[rest[top]], scores[top], share
         open_ = np.array(still, np.int64)
 
 
@@ -96,9 +109,14 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 20, scale: float = SCALE,
     asked = materialize(blocks(queries(rows, every), QUERY_BLOCK, scale))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, floors = None, {}
         for batch in batches:
-            for width, c_ids, c_data, q_ids, q_data in zip(*(c.to_pylist() for c in batch.columns)):
+            for row in range(batch.num_rows):
+                q, width, c_ids, c_data, q_ids, q_data = (c[row].as_py() for c in batch.columns)
+                if q != now:
+                    now, floors = q, {}
                 query_ids, vectors = unpack(q_ids, q_data, width)
-                yield from results(list(search(SortedLists(*unpack(c_ids, c_data, width)), query_ids, vectors, k)))
+                found = search(SortedLists(*unpack(c_ids, c_data, width)), query_ids, vectors, k, floors)
+                yield from results([x[:3] for x in found])
 
-    return ranked(cells(candidates, asked).mapInArrow(each, "query_id long, vec_id long, score long"), k)
+    return ranked(cells(candidates, asked, STRIP).mapInArrow(each, "query_id long, vec_id long, score long"), k)

@@ -1,4 +1,4 @@
-"""Blocks of packed vectors, and the grid of query blocks and candidate blocks that searches run over."""
+"""Blocks of packed vectors, and what searches do with them."""
 
 from __future__ import annotations
 
@@ -89,14 +89,17 @@ def queries(rows: DataFrame, every: int) -> DataFrame:
     return rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def cells(candidates: DataFrame, asked: DataFrame) -> DataFrame:
-    """Every block of queries beside every block of candidates of the same width, by joins on numbered pairs of blocks:
-    (width, c_ids, c_data, q_ids, q_data)."""
+def cells(candidates: DataFrame, asked: DataFrame, strip: int) -> DataFrame:
+    """Every block of the stated queries beside every block of candidates of the same width, by joins on numbered pairs of
+    blocks: (q, width, c_ids, c_data, q_ids, q_data). About ``strip`` blocks of candidates follow each other for a block of
+    queries, so that what was found in one bounds the search of the next."""
     c = candidates.select(F.col("block").alias("c"), "width", F.col("ids").alias("c_ids"), F.col("data").alias("c_data"))
     q = asked.select(F.col("block").alias("q"), "width", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    strips = max(1, -(-candidates.count() // strip))
     pairs = c.select("c", "width").join(q.select("q", "width"), "width")
-    met = pairs.join(c.drop("width"), "c").join(q.drop("width"), "q")
-    return met.repartition("c", "q").select("width", "c_ids", "c_data", "q_ids", "q_data")
+    met = pairs.join(c.drop("width"), "c").join(q.drop("width"), "q").withColumn("strip", F.pmod(F.xxhash64("c"), F.lit(strips)))
+    ordered = met.repartition("q", "strip").sortWithinPartitions("q", "strip", "c")
+    return ordered.select("q", "width", "c_ids", "c_data", "q_ids", "q_data")
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:

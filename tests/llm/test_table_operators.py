@@ -47,8 +47,28 @@ def test_top_k_stops_early_and_stays_exact():
     values = np.floor(rng.standard_normal((2000, 4)) * np.array([100, 3, 2, 1]))
     ids = np.arange(2000)
     queries = np.array([[60.0, 1.0, 0.0, 0.0], [-50.0, 2.0, 1.0, 1.0]])
-    for (q, got, scores), query in zip(sorted(topk.search(topk.SortedLists(ids, values), np.array([5, 7]), queries), key=lambda x: x[0]), queries):
-        assert list(zip(got.tolist(), scores.tolist())) == _nearest(ids, (values @ query).astype(np.int64), q)
+    for (q, got, scores, read), query in zip(sorted(topk.search(topk.SortedLists(ids, values), np.array([5, 7]), queries), key=lambda x: x[0]), queries):
+        assert list(zip(got.tolist(), scores.tolist())) == _nearest(ids, (values @ query).astype(np.int64), q) and read < 1
+
+
+def test_top_k_stops_before_the_lists_end_on_embeddings(spark):
+    """Every query of the table stops on its bounds; a floor from another block lets it stop sooner."""
+    ids, rows = _arrays(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"))
+    whole, asked = np.floor(64 * rows), ids % 20 == 0
+    floors = {}
+    first = list(topk.search(topk.SortedLists(ids[:1000], whole[:1000]), ids[asked], whole[asked], 20, floors))
+    second = list(topk.search(topk.SortedLists(ids[1000:], whole[1000:]), ids[asked], whole[asked], 20, floors))
+    assert len(first) == len(second) == asked.sum() and max(x[3] for x in first + second) < 1
+    assert np.mean([x[3] for x in second]) < np.mean([x[3] for x in first])
+    for q, row in zip(ids[asked], whole[asked]):
+        both = [(s, i) for x in first + second if x[0] == q for i, s in zip(x[1].tolist(), x[2].tolist())]
+        assert [(i, s) for s, i in sorted(both, key=lambda x: (-x[0], x[1]))[:20]] == _nearest(ids, (whole @ row).astype(np.int64), q)
+
+
+def test_top_k_reads_ties_to_the_end():
+    ids, values = np.arange(300), np.ones((300, 3))
+    (q, got, scores, read), = topk.search(topk.SortedLists(ids, values), np.array([4]), np.ones((1, 3)))
+    assert got.tolist() == [x for x in range(21) if x != 4] and set(scores.tolist()) == {3}
 
 
 def test_neighbours_reach_recall(vectors):
@@ -64,6 +84,25 @@ def test_neighbours_reach_recall(vectors):
     assert np.mean(recall) >= 0.9
 
 
+def test_neighbours_reach_recall_beyond_the_sample(spark):
+    """The sample holds a tenth of the rows, and the tree has many more leaves than a query visits."""
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    ids, rows = _arrays(vectors)
+    found = ann.neighbours(vectors, bound=400).toPandas()
+    recall = [len(set(found[found.query_id == q].vec_id) & {x for x, _ in _nearest(ids, rows @ rows[ids == q][0], q)}) / 20 for q in ids[ids % 20 == 0]]
+    assert np.mean(recall) >= 0.9
+    tree = ann.fit(ann.usable(vectors, zero=True), len(ids))[64][0]
+    assert tree.leaves >= 16 and tree.visits < tree.leaves
+
+
+def test_neighbours_of_every_length(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.standard_normal(3 if i % 3 else 5)]) for i in range(200)]
+    found = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3, bound=50).collect()
+    asked = {r.query_id for r in found}
+    assert asked == set(range(0, 200, 20)) and all(len(rows[r.query_id][1]) == len(rows[r.vec_id][1]) for r in found)
+
+
 def test_searches_of_odd_rows(spark):
     rows = spark.createDataFrame(VECTORS, "vec_id long, embedding array<float>")
     found = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(rows).collect()}
