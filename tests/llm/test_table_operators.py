@@ -144,6 +144,42 @@ def test_mix_comes_near_its_targets(spark, small):
         assert abs((own["size"] * own.copies).sum() - own.target.iloc[0]) <= own["size"].max()
 
 
+def test_mix_takes_the_smallest_pareto_ratios(spark, small):
+    """Against a plain version: each stratum's places go to the smallest ratios of random odds to inclusion odds."""
+    documents = spark.read.parquet(f"{small}/documents.parquet")
+    measured = mixing._measured(documents, 4)
+    rows = measured.select("id", "name", "stratum", "size", "draw").collect()
+    strata = {(r.name, r.stratum): r for r in mixing._strata(measured.drop("row"), 3, mixing.WEIGHTS, 4).collect()}
+    copies = {r.doc_id: r.copies for r in mixing.allocation(documents).collect()}
+    some = 0
+    for (name, stratum), state in strata.items():
+        own = [r for r in rows if (r.name, r.stratum) == (name, stratum)]
+        assert state.documents == len(own) and state.words == sum(r.size for r in own)
+        usual = sum(r.size**2 for r in own) / max(1, state.words)
+
+        def ratio(r):
+            chance = min(state.fraction * r.size / usual, 1 - 1e-9)
+            return r.draw / (1 - r.draw) / (chance / (1 - chance))
+
+        drawn = [r.id for r in own if copies[r.id] > state.copies]
+        if stratum >= 0:
+            assert set(drawn) == {r.id for r in sorted(own, key=ratio)[: state.places]}
+            some += 0 < state.places < len(own)
+        else:
+            assert all(copies[r.id] == 0 for r in own)
+    assert some > 5
+
+
+def test_mix_draws_in_proportion_to_size(spark):
+    """4,000 documents of one stratum, of 92 or 106 words, and one source that takes a part of them."""
+    rows = [(i, "w " * (92 if i % 2 else 106), "a") for i in range(4000)] + [(10**6 + i, "w " * 200, "b") for i in range(800)]
+    found = mixing.allocation(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1.0,)).collect()
+    share = [np.mean([r.copies for r in found if r.source == "a" and r["size"] == n]) for n in (92, 106)]
+    one = next(r for r in found if r.source == "a")
+    assert 0 < one.target < one.source_size and abs(sum(r.copies * r["size"] for r in found if r.source == "a") - one.target) < 0.01 * one.target
+    assert abs(share[1] / share[0] - 106 / 92) < 0.06
+
+
 def test_mix_of_odd_rows(odd):
     found = mixing.mixed(odd)
     assert found.count() == len(ROWS) and all(r.copies <= 3 for r in found.collect())
