@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -198,14 +199,72 @@ def test_language_held_out_accuracy(documents):
     assert found.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("double"))).first()[0] > 0.95
 
 
-def test_language_model_sums_to_one():
-    keys, counts = np.unique(np.concatenate([k for _, k in langid.sequences(["abracadabra abba", "cab"])]), return_counts=True)
-    letters = len(np.unique(keys & langid._MASKS[1])) + 1
-    levels = langid.kneser_ney(keys, counts, letters)
-    symbols = np.unique(keys & langid._MASKS[1])
-    for context in np.unique(keys >> np.uint64(16)):
-        p = np.exp(langid.log_probability(levels, (context << np.uint64(16)) | symbols, letters)).sum()
-        assert p < 1 + 1e-9 and p > 0.9
+def plain_kneser_ney(texts):
+    """Dictionaries of strings: probability of a letter after up to three before it, as the definition says."""
+    four = Counter()
+    for text in texts:
+        runs = "".join(c if c.isalpha() else " " for c in text.lower())
+        padded = "^^^" + re.sub(" +", " ", runs + " ").removeprefix(" ")
+        four.update(padded[i - 3 : i + 1] for i in range(3, len(padded)))
+    counts = {4: four}
+    for n in (3, 2, 1):
+        counts[n] = Counter(x[1:] for x in counts[n + 1])
+    alphabet = len(counts[1]) + 1
+
+    def p(letter, context):
+        n = len(context) + 1
+        own = counts[n]
+        values = list(own.values())
+        ones, twos = values.count(1), values.count(2)
+        discount = ones / (ones + 2 * twos) if ones and twos else 0.5
+        after = [c for x, c in own.items() if x[:-1] == context]
+        lower = p(letter, context[1:]) if context else 1 / alphabet
+        if not after:
+            return lower
+        return max(own[context + letter] - discount, 0) / sum(after) + discount * len(after) / sum(after) * lower
+
+    return p, counts
+
+
+def test_language_model_matches_plain_kneser_ney(spark):
+    texts = ["Abracadabra, abba!", "a cab; 12 cabs"]
+    rows = spark.createDataFrame([(i, t, "xx") for i, t in enumerate(texts, 100)], "doc_id long, text string, lang string")
+    p, counts = plain_kneser_ney(texts)
+    models = langid.learn(rows, modulus=1, remainder=5)
+    code = lambda x: sum((1 if c == "^" else 0 if c == " " else ord(c)) << (16 * k) for k, c in enumerate(reversed(x)))
+    asked = {code(x): x for x in [*counts[4], "^^^q", "zzab", "abab", "cabr", "brac", "b ab"]}
+    found = langid.log_probabilities(spark.createDataFrame([(k,) for k in asked], "key long"), models).collect()
+    assert len(found) == len(asked)
+    for r in found:
+        assert r.logp == pytest.approx(np.log(p(asked[r.key][-1], asked[r.key][:-1])), abs=1e-9), asked[r.key]
+    symbols = [*counts[1]]
+    for context in ("^^^", "abr", "zzz"):
+        assert sum(p(x, context) for x in symbols) == pytest.approx(1, abs=1 / (len(symbols) + 1))
+    held = {int(k): v for k, v in zip(models.known, models.table[:, 0])}
+    assert set(held) == {code(x) for x in counts[4]} and all(held[r.key] == pytest.approx(r.logp, abs=1e-5) for r in found if r.key in held)
+
+
+def test_language_results_do_not_depend_on_what_tasks_hold(documents):
+    """With room for almost no sequences all others are scored by joins."""
+    some = documents.where("length(text) < 3000").limit(60)
+    whole, bare = ({r.doc_id: r for r in langid.identify(some, table).collect()} for table in (langid.TABLE, 40))
+    assert set(whole) == set(bare)
+    for i, r in whole.items():
+        assert (r.lang_pred, r.rejected) == (bare[i].lang_pred, bare[i].rejected) and r.score == pytest.approx(bare[i].score, abs=1e-4)
+
+
+def test_sequences_of_long_texts_do_not_depend_on_pieces(monkeypatch):
+    text = "The cat, the DOG -- and  the éléphant 12 ran; " * 7
+
+    def by_text():
+        found = list(langid.sequences([text, "x", text]))
+        number, keys = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+        return [keys[number == i].tolist() for i in range(3)]
+
+    whole = by_text()
+    for step in (1, 2, 5, 11, 300):
+        monkeypatch.setattr(langid, "STEP", step)
+        assert by_text() == whole
 
 
 def test_language_odd_rows(spark, odd):
