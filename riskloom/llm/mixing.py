@@ -61,18 +61,18 @@ def _chance(fraction: Column, size: Column, usual: Column) -> Column:
 
 def _stratum(size: Column) -> Column:
     """Quarter octaves of sizes; documents without words are a stratum of their own, which nothing is drawn from."""
-    return F.when(size > 0, F.floor(F.log2(size) * FINE)).otherwise(-1).cast("int")
+    return F.coalesce(F.floor(F.log2(size) * FINE).cast("int"), F.lit(-1))  # never null, so no join filters by it first
 
 
-def _measured(docs: DataFrame, seed: int) -> DataFrame:
+def _measured(docs: DataFrame, seed: int, kept: list[str]) -> DataFrame:
     """Each row's size, source and stratum, a random number in (0, 1) that is the same in every run, and its text hash, which
-    settles ties; ``row`` holds the row itself, so that no name of its columns can clash."""
+    settles ties; ``row`` holds its columns ``kept``, so that no name of them can clash."""
     text, doc_id, source = F.col("text").cast("string"), F.col("doc_id").cast("long"), F.col("source").cast("string")
     mark = F.xxhash64(text)
     draw = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, mark), 12).cast("double") + 0.5) / F.lit(float(1 << 52))
     size = words(text)
     return docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"),
         F.coalesce(doc_id, F.lit(_LEAST)).alias("id"),
         F.coalesce(source, F.lit("")).alias("name"),
         source.isNull().alias("nameless"),
@@ -151,12 +151,9 @@ def _strata(sized: DataFrame, most: int, weights: tuple[float, ...], seed: int)
     return materialize(strata.join(over, group, "left"))
 
 
-def _with_copies(docs: DataFrame, weights: tuple[float, ...], most: int, seed: int) -> DataFrame:
+def _with_copies(measured: DataFrame, strata: DataFrame) -> DataFrame:
     """(row, size, source_size, target, copies)."""
-    measured = _measured(docs, seed)
-    group = [*_SOURCE, "stratum"]
-    strata = _strata(materialize(measured.drop("row")), most, weights, seed)
-    rows = measured.join(strata.withColumnRenamed("words", "all_words"), group)
+    rows = measured.join(strata.withColumnRenamed("words", "all_words"), [*_SOURCE, "stratum"])
     me = F.struct(_key(F.col("draw"), _chance(F.col("fraction"), F.col("size"), F.col("usual"))).alias("key"), F.col("id"), F.col("mark"))
     among = F.coalesce((me < F.col("over")) | (F.col("with_it") & (me == F.col("over"))), F.lit(True))
     sampled = (F.col("places") == F.col("documents")) | ((F.col("places") > 0) & among)
@@ -164,9 +161,16 @@ def _with_copies(docs: DataFrame, weights: tuple[float, ...], most: int, seed: i
     return rows.select("row", "size", "source_size", "target", copies.alias("copies"))
 
 
+def _whole_rows(docs: DataFrame, weights: tuple[float, ...], most: int, seed: int) -> DataFrame:
+    narrow = materialize(_measured(docs, seed, ["doc_id"]).drop("row"))
+    return _with_copies(_measured(docs, seed, docs.columns), _strata(narrow, most, weights, seed))
+
+
 def allocation(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 4) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies): what ``mixed`` decides, without the other columns."""
-    return mixed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source")), weights, most, seed).drop("text")
+    """(doc_id, source, size, source_size, target, copies): what ``mixed`` decides, from one reading of the texts."""
+    narrow = materialize(_measured(docs, seed, ["doc_id", "source"]))
+    found = _with_copies(narrow, _strata(narrow.drop("row"), most, weights, seed))
+    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.source").cast("string").alias("source"), "size", "source_size", "target", "copies")
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 4) -> DataFrame:
@@ -178,11 +182,11 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOS
     """
     new = ("size", "source_size", "target", "copies")
     given = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in new]
-    return _with_copies(docs, weights, most, seed).select(*given, *new)
+    return _whole_rows(docs, weights, most, seed).select(*given, *new)
 
 
 def repeated(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 4) -> DataFrame:
     """The mix itself: the rows of ``docs`` with their own columns, each as often as ``mixed`` repeats it."""
-    found = _with_copies(docs, weights, most, seed).where("copies > 0")
+    found = _whole_rows(docs, weights, most, seed).where("copies > 0")
     again = found.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
     return again.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

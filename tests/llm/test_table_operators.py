@@ -147,7 +147,7 @@ def test_mix_comes_near_its_targets(spark, small):
 def test_mix_takes_the_smallest_pareto_ratios(spark, small):
     """Against a plain version: each stratum's places go to the smallest ratios of random odds to inclusion odds."""
     documents = spark.read.parquet(f"{small}/documents.parquet")
-    measured = mixing._measured(documents, 4)
+    measured = mixing._measured(documents, 4, ["doc_id"])
     rows = measured.select("id", "name", "stratum", "size", "draw").collect()
     strata = {(r.name, r.stratum): r for r in mixing._strata(measured.drop("row"), 3, mixing.WEIGHTS, 4).collect()}
     copies = {r.doc_id: r.copies for r in mixing.allocation(documents).collect()}
