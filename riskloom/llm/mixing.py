@@ -117,7 +117,7 @@ def _strata(sized: DataFrame, most: int, weights: tuple[float, ...], seed: int)
         .withColumn("fraction", rate - F.floor(rate))
         .select(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("nameless"), "source_size", "target", "copies", "fraction")
     )
-    strata = known.withColumn("usual", F.col("squares") / F.col("words")).drop("squares").join(targets, _SOURCE)
+    strata = known.withColumn("usual", F.try_divide("squares", "words")).drop("squares").join(targets, _SOURCE)
     strata = materialize(strata)
     strata = materialize(strata.join(_places(strata, seed), group, "left").withColumn("places", F.coalesce("places", F.lit(0).cast("long"))))
     drawn = strata.where("places > 0 and places < documents").select(*group, "places", "fraction", "usual")
