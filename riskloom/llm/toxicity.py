@@ -1,15 +1,17 @@
 """Toxicity by weak supervision.
 
 Lexicon and pattern voters fire or stay silent on every text. Some lexicons are fixed word lists; others, of words and word
-stems, are mined from the labelled rows that may be learned from. A generative label model estimates how often each voter
-fires in either class, and how correlated the voters are beyond their class, by expectation-maximisation; correlated voters
-share one voice. A linear classifier is then trained on the posterior labels and scores all texts.
+stems, are mined from the labelled rows that may be learned from and dealt into several lexicons, each a voter. No label votes:
+from a first guess halfway between the voters' majority and the labels, a generative label model estimates by expectation-maximisation how often each voter fires in
+either class, and how correlated the voters are beyond their class; correlated voters share their voices in the posterior. A
+linear classifier is then trained on the posterior labels, reads votes and hashed words, and is calibrated to score all texts.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,6 +31,10 @@ LEXICON = 20_000
 #: Standard deviations by which a mined word must prefer toxic texts.
 EVIDENCE = 4.0
 STEM = 5
+#: Rows that the first guess of the posteriors counts as.
+ANCHOR = 200
+#: Voters that the mined words and the mined stems are dealt to, and buckets of hashed words that the classifier reads.
+WORD_LEXICONS, STEM_LEXICONS, BUCKETS = 6, 4, 128
 
 # Word lists of the lexicon voters.
 INSULTS = frozenset("clown cretin dimwit dolt dumb dumbass fool idiot imbecile jerk loser moron nitwit stupid".split())
@@ -45,7 +51,7 @@ ADDRESSED = re.compile(
 )
 FIXED = (INSULTS, DEGRADING, CONTEMPT, PROFANE, OTHER_LANGUAGES)
 _ANY = frozenset().union(*FIXED)
-VOTERS = (*(f"lexicon_{x}" for x in ("insults", "degrading", "contempt", "profane", "other_languages")), "hostile", "addressed", "shouting", "mined_words", "mined_stems")
+VOTERS = (*(f"lexicon_{x}" for x in ("insults", "degrading", "contempt", "profane", "other_languages")), "hostile", "addressed", "shouting", *(f"mined_words_{k}" for k in range(WORD_LEXICONS)), *(f"mined_stems_{k}" for k in range(STEM_LEXICONS)))
 _WORD = re.compile(r"\w+")
 
 
@@ -63,8 +69,20 @@ def stems(words: set[str]) -> set[str]:
     return {w[:STEM] for w in words if len(w) > STEM}
 
 
+def _bucket(word: str, buckets: int) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % buckets
+
+
+def _dealt(found: set[str], lexicons: int) -> list[float]:
+    """How many of the mined entries found belong to each of the lexicons."""
+    out = [0.0] * lexicons
+    for x in found:
+        out[_bucket(x, lexicons)] += 1.0
+    return out
+
+
 def votes(text: str | None, lexicons: Lexicons) -> list[float]:
-    """Hits of each voter, then the number of words; a null text has none of either."""
+    """Hits of each voter, then the number of words, then the distinct words in each bucket; a null text has none of any."""
     found = tokens(text)
     distinct = set(found)
     fixed = distinct & _ANY
@@ -73,18 +91,24 @@ def votes(text: str | None, lexicons: Lexicons) -> list[float]:
     out.append(float(len(HOSTILE.findall(low))) if " " in low else 0.0)
     out.append(float(len(ADDRESSED.findall(low))) if fixed else 0.0)
     out.append(1.0 if text and len(text) > 20 and text.isupper() else 0.0)
-    out.append(float(len(distinct & lexicons.words)))
-    out.append(float(len(stems(distinct) & lexicons.stems)))
+    out += _dealt(distinct & lexicons.words, WORD_LEXICONS) + _dealt(stems(distinct) & lexicons.stems, STEM_LEXICONS)
     out.append(float(len(found)))
-    return out
+    return out + _dealt(distinct, BUCKETS)
+
+
+ROW = len(VOTERS) + 1 + BUCKETS
 
 
 def _features(hits: np.ndarray) -> np.ndarray:
-    """Constant, whether each voter fired, and how often in logs, by itself and for the length of the text."""
-    counts, words = hits[:, :-1], hits[:, -1:]
-    logs = np.log1p(counts)
+    """Constant; whether each voter fired, how often in logs, and how often for the length of the text; the same of all mined
+    words and of all mined stems together; each bucket's share of the distinct words."""
+    counts, words, buckets = hits[:, : len(VOTERS)], hits[:, len(VOTERS) : len(VOTERS) + 1], hits[:, len(VOTERS) + 1 :]
+    first = len(FIXED) + 3
+    mined = [counts[:, a:b].sum(axis=1, keepdims=True) for a, b in ((first, first + WORD_LEXICONS), (first + WORD_LEXICONS, None))]
+    counts = np.concatenate([counts, *mined], axis=1)
     dense = counts / np.maximum(words, 20) * 100
-    return np.concatenate([np.ones((len(hits), 1)), (counts > 0).astype(float), logs, np.minimum(dense, 5)], axis=1)
+    share = np.sqrt(buckets / np.maximum(buckets.sum(axis=1, keepdims=True), 1))
+    return np.concatenate([np.ones((len(hits), 1)), (counts > 0).astype(float), np.log1p(counts), np.minimum(dense, 5), share], axis=1)
 
 
 def mine(sample: DataFrame) -> Lexicons:
@@ -129,10 +153,20 @@ class LabelModel:
         return sigmoid(math.log(self.prior / (1 - self.prior)) + fired @ on + (1 - fired) @ off)
 
 
-def label_model(fired: np.ndarray, start: np.ndarray, rounds: int = 25, annotators: int = 0) -> LabelModel:
-    """fired: rows x voters, 0 or 1, the last ``annotators`` of them people, whose voice is never shared; start: a first guess of the posteriors, such as labels. It converges near its start: from
-    an uninformative guess it may follow a group of correlated voters instead."""
-    posterior, voters = np.clip(start.astype(float), 0.02, 0.98), fired.shape[1]
+def majority(fired: np.ndarray, share: float) -> np.ndarray:
+    """A first guess of the posteriors: the rows that most voters fire on, about ``share`` of all, are likely toxic."""
+    count = fired.sum(axis=1)
+    order = np.sort(count)[::-1]
+    least = max(1.0, float(order[min(len(order) - 1, int(share * len(order)))])) if len(order) else 1.0
+    return np.where(count >= least, 0.9, 0.02)
+
+
+def label_model(fired: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple[LabelModel, np.ndarray]:
+    """The model and the rows' posteriors. fired: rows x voters, 0 or 1; start: a first guess of the posteriors, which counts as
+    much as ANCHOR rows do, so that few rows cannot drift away from it. It converges near its start: from an uninformative
+    guess it may follow a group of correlated voters instead."""
+    start, voters, say = np.clip(start.astype(float), 0.02, 0.98), fired.shape[1], ANCHOR / (ANCHOR + len(fired))
+    posterior = start
     voice = np.ones(voters)
     model = None
     for _ in range(rounds):
@@ -143,12 +177,10 @@ def label_model(fired: np.ndarray, start: np.ndarray, rounds: int = 25, annotato
         shared = (left1 * posterior[:, None]).T @ left1 + (left0 * (1 - posterior)[:, None]).T @ left0
         spread = np.sqrt(np.maximum(np.diag(shared), 1e-9))
         correlation = np.clip(shared / np.outer(spread, spread), 0, 1)
-        if annotators:
-            correlation[:, -annotators:] = correlation[-annotators:, :] = 0
         voice = 1 / np.maximum(1.0, correlation.sum(axis=1))
         model = LabelModel(toxic, clean, voice, float(np.clip(n1 / len(fired), 1e-3, 1 - 1e-3)))
-        posterior = model.posterior(fired)
-    return model
+        posterior = (1 - say) * model.posterior(fired) + say * start
+    return model, posterior
 
 
 @dataclass
@@ -157,7 +189,7 @@ class Classifier:
     weights: np.ndarray
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        hits = np.array([votes(t, self.lexicons) for t in texts], float).reshape(-1, len(VOTERS) + 1)
+        hits = np.array([votes(t, self.lexicons) for t in texts], float).reshape(-1, ROW)
         return sigmoid(_features(hits) @ self.weights)
 
 
@@ -177,14 +209,25 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "y", "hits"])
 
     found = sample.select("doc_id", "text", "y").mapInArrow(each, "doc_id long, y int, hits array<double>").orderBy("doc_id").collect()
-    y, hits = np.array([r.y for r in found], float), np.array([r.hits for r in found], float).reshape(-1, len(VOTERS) + 1)
-    columns = _features(np.zeros((1, len(VOTERS) + 1))).shape[1]
+    y, hits = np.array([r.y for r in found], float), np.array([r.hits for r in found], float).reshape(-1, ROW)
+    columns = _features(np.zeros((1, ROW))).shape[1]
     if not len(found):
         return Classifier(lexicons, np.r_[-4.0, np.full(len(VOTERS), 3.0), np.zeros(columns - 1 - len(VOTERS))])
-    fired = np.concatenate([(hits[:, :-1] > 0).astype(float), y[:, None]], axis=1)  # the annotators vote too
-    posterior = label_model(fired, y, annotators=1).posterior(fired)
-    weights = logistic(_features(hits), posterior, np.where(y > 0, 1.0, 2.0), ridge=0.3)
-    return Classifier(lexicons, weights)
+    fired = (hits[:, : len(VOTERS)] > 0).astype(float)
+    _, posterior = label_model(fired, (majority(fired, float(y.mean())) + np.clip(y, 0.02, 0.98)) / 2)
+    x = _features(hits)
+    weights = logistic(x, posterior, ridge=0.3)
+    return Classifier(lexicons, calibrated(weights, x @ weights, y))
+
+
+def calibrated(weights: np.ndarray, odds: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The classifier's weights, stretched and shifted so that its scores are the labels' chances; its order of texts stays."""
+    if y.min() == y.max():
+        return weights
+    shift, stretch = logistic(np.stack([np.ones(len(odds)), np.clip(odds, -12, 12)], axis=1), y, ridge=0.1)
+    out = weights * max(stretch, 0.1)
+    out[0] += shift
+    return out
 
 
 def scored(docs: DataFrame, classifier: Classifier) -> DataFrame:
@@ -214,7 +257,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with their own columns."""
-    classifier = learn(docs, labels)
-    plain = docs.withColumnRenamed("toxicity", "_own_toxicity")
-    return scored(plain, classifier).where(F.col("toxicity") < threshold).select(plain.columns).withColumnRenamed("_own_toxicity", "toxicity")
+    """The rows of ``docs`` that score below ``threshold``, with their own columns, whatever their names."""
+    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = scored(rows, learn(docs, labels)).where(F.col("toxicity") < threshold)
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -297,10 +297,20 @@ def test_label_model_discounts_copies_of_a_voter():
     vote = lambda hit, false: np.where(y > 0, rng.random(4000) < hit, rng.random(4000) < false).astype(float)
     one, noisy = vote(0.9, 0.02), vote(0.3, 0.2)
     fired = np.stack([one, noisy, noisy, noisy, vote(0.8, 0.05)], axis=1)
-    model = toxicity.label_model(fired, np.where(rng.random(4000) < 0.9, y, 1 - y))  # labels, a tenth of them wrong
+    model, posterior = toxicity.label_model(fired, np.where(rng.random(4000) < 0.9, y, 1 - y))  # a tenth of the guess is wrong
     assert model.voice[1] < 0.5 < model.voice[0]
-    assert ((model.posterior(fired) > 0.5) == y).mean() > 0.9
-
+    assert ((model.posterior(fired) > 0.5) == y).mean() > 0.9 and ((posterior > 0.5) == y).mean() > 0.9
+
+
+def test_label_model_recovers_planted_reliabilities():
+    """From the voters' majority alone, without a label."""
+    rng = np.random.default_rng(4)
+    y = rng.random(20000) < 0.15
+    hit, false = np.array([0.9, 0.7, 0.5, 0.8, 0.6]), np.array([0.02, 0.05, 0.01, 0.1, 0.03])
+    fired = np.where(y[:, None], rng.random((20000, 5)) < hit, rng.random((20000, 5)) < false).astype(float)
+    model, posterior = toxicity.label_model(fired, toxicity.majority(fired, 0.15))
+    assert np.abs(model.toxic - hit).max() < 0.06 and np.abs(model.clean - false).max() < 0.03 and abs(model.prior - 0.15) < 0.02
+    assert ((posterior > 0.5) == y).mean() > 0.97
 
 def test_scores_of_odd_rows(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
