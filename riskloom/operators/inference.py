@@ -57,11 +57,14 @@ def calibration(series: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def loss_differences(scores: DataFrame, pairs: DataFrame, loss: str) -> DataFrame:
-    """(model_id, baseline_id, date, d): each pair's loss difference by date. pairs: (model_id, baseline_id)."""
-    a = scores.select("model_id", "date", F.col(loss).alias("a"))
-    b = scores.select(F.col("model_id").alias("baseline_id"), "date", F.col(loss).alias("b"))
-    return pairs.join(a, "model_id").join(b, ["baseline_id", "date"]).select("model_id", "baseline_id", "date", (F.col("a") - F.col("b")).alias("d"))
+def loss_differences(scores: DataFrame, pairs: DataFrame, loss: str, *by: str) -> DataFrame:
+    """(model_id, baseline_id, by, date, d): each pair's loss difference on the dates that both have. pairs: (model_id,
+    baseline_id). The scores are read once: each goes to the pairs it takes part in, with its sign."""
+    one = pairs.select(F.col("model_id").alias("scored"), "model_id", "baseline_id", F.lit(1.0).alias("sign"))
+    other = pairs.select(F.col("baseline_id").alias("scored"), "model_id", "baseline_id", F.lit(-1.0).alias("sign"))
+    parts = scores.select(F.col("model_id").alias("scored"), *by, "date", F.col(loss).alias("loss")).join(one.unionByName(other), "scored")
+    both = parts.groupBy("model_id", "baseline_id", *by, "date").agg(F.sum(F.col("sign") * F.col("loss")).alias("d"), F.countDistinct("sign").alias("sides"))
+    return both.where("sides = 2").drop("sides")
 
 
 def diebold_mariano(differences: DataFrame, lags: int = 7, *by: str) -> DataFrame:

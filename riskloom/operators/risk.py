@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, insort
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,37 +20,46 @@ def level_name(level: float) -> str:
     return f"{level:.3f}"[2:].rstrip("0")
 
 
-def order_statistic(ascending: Column, level: float) -> Column:
-    """The ceil(n * level)-th smallest, in double arithmetic."""
-    return F.element_at(ascending, F.ceil(F.size(ascending).cast("double") * F.lit(level)).cast("int"))
-
-
-def tail_mean(ascending: Column, level: float) -> Column:
-    """Mean of the worst n * (1 - level) losses, the boundary one in part."""
-    n = F.size(ascending).cast("double")
-    k = F.ceil(n * F.lit(level)).cast("int")
-    above = F.aggregate(F.slice(ascending, k + 1, F.size(ascending)), F.lit(0.0), lambda a, x: a + x)
-    return (above + (k - n * F.lit(level)) * F.element_at(ascending, k)) / (n * (1 - F.lit(level)))
+def empirical_var_es(ascending: list[float], levels: tuple[float, ...], es_level: float) -> list[float]:
+    """Of n losses in order: the ceil(n * level)-th of each level, then the mean of the worst n * (1 - es_level) losses, the
+    boundary one in part."""
+    n = len(ascending)
+    k = math.ceil(n * es_level)
+    tail = 0.0
+    for x in ascending[k:]:
+        tail += x
+    return [ascending[math.ceil(n * c) - 1] for c in levels] + [(tail + (k - n * es_level) * ascending[k - 1]) / (n * (1 - es_level))]
 
 
 def rolling_forecasts(losses: DataFrame, years: int = 3, least: int = 700, levels: tuple[float, ...] = LEVELS, es_level: float = ES_LEVEL) -> DataFrame:
     """losses (model_id, date, loss) -> value at risk and expected shortfall for each date from the losses of the ``years``
     calendar years before it, the date itself left out; dates with fewer than ``least`` losses have no forecast, and a
-    model has one loss a date. One window partition per model; its rows carry only that model's window."""
-    frame = f"OVER (PARTITION BY model_id ORDER BY date RANGE BETWEEN INTERVAL '{12 * years}' MONTH PRECEDING AND CURRENT ROW)"
-    rows = losses.where("loss is not null").select("model_id", "date", "loss").withColumn("_w", F.expr(f"collect_list(loss) {frame}"))
-    rows = rows.where(F.size("_w") > least).withColumn("_s", F.array_sort("_w"))
-    # the frame ends with the date itself, which has one loss: that one goes
-    own = F.array_position("_s", F.col("loss")).cast("int")
-    rows = rows.withColumn("_a", F.concat(F.slice("_s", F.lit(1), own - 1), F.slice("_s", own + 1, F.size("_s"))))
-    return rows.select(
-        "model_id",
-        "date",
-        F.size("_a").alias("observations"),
-        *[order_statistic(F.col("_a"), c).alias(f"var_{level_name(c)}") for c in levels],
-        tail_mean(F.col("_a"), es_level).alias(f"es_{level_name(es_level)}"),
-        F.col("loss").alias("realised_loss"),
-    )
+    model has one loss a date.
+
+    A loss is sent to the calendar years whose windows it can lie in, its own and the ``years`` after, so each model and year
+    is a task of its own with at most ``years`` + 1 years of losses, in which one ordered window moves along the dates."""
+    names = [f"var_{level_name(c)}" for c in levels] + [f"es_{level_name(es_level)}"]
+
+    def each(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        dates, values = pd.to_datetime(pdf["date"]), pdf["loss"].to_numpy(float).tolist()
+        own = np.nonzero((dates.dt.year == key[1]).to_numpy())[0]
+        starts = np.searchsorted(dates.to_numpy(), (dates.iloc[own] - pd.DateOffset(years=years)).to_numpy())
+        window, first, last, rows = [], 0, 0, []
+        for at, start in zip(own.tolist(), starts.tolist()):
+            for x in values[last:at]:
+                insort(window, x)
+            for x in values[first:start]:
+                del window[bisect_left(window, x)]
+            first, last = start, at
+            if len(window) >= least:
+                rows.append((key[0], dates.iloc[at].date(), len(window), *empirical_var_es(window, levels, es_level), values[at]))
+        return pd.DataFrame(rows, columns=["model_id", "date", "observations", *names, "realised_loss"])
+
+    known = losses.where("loss is not null").select("model_id", F.to_date("date").alias("date"), F.col("loss").cast("double").alias("loss"))
+    spread = known.withColumn("year", F.explode(F.sequence(F.year("date"), F.year("date") + years)))
+    schema = "model_id string, date date, observations int, " + ", ".join(f"{x} double" for x in names) + ", realised_loss double"
+    return spread.groupBy("model_id", "year").applyInPandas(each, schema)
 
 
 def daily_scores(forecasts: DataFrame) -> DataFrame:
