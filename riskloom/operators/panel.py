@@ -159,10 +159,12 @@ def extreme_observations(daily: DataFrame, reviews: DataFrame, limit: float = EX
 
 
 def carry_cash(panel: DataFrame, exits: DataFrame) -> DataFrame:
-    """Zero returns from an exit's cash_start until before its remove date."""
+    """Zero returns from an exit's cash_start until before its remove date; a market return in that time fails the run."""
     e = exits.select(F.col("security").alias("_s"), "cash_start", "remove")
     rows = panel.join(e, (F.col("security") == F.col("_s")) & (F.col("date") >= F.col("cash_start")) & (F.col("date") < F.col("remove")), "left")
-    return rows.withColumn("simple_return", F.when(F.col("_s").isNotNull(), F.coalesce("simple_return", F.lit(0.0))).otherwise(F.col("simple_return"))).drop("_s", "cash_start", "remove")
+    overlap = F.raise_error(F.concat_ws(" ", F.lit("cash carry overlaps a market return:"), "security", F.col("date").cast("string"))).cast("double")
+    carried = F.when(F.col("simple_return").isNull(), F.lit(0.0)).otherwise(overlap)
+    return rows.withColumn("simple_return", F.when(F.col("_s").isNotNull(), carried).otherwise(F.col("simple_return"))).drop("_s", "cash_start", "remove")
 
 
 def rebalance_dates(calendar: DataFrame) -> DataFrame:

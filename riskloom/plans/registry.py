@@ -13,7 +13,7 @@ from ..operators import panel as pan
 from ..operators import portfolio as por
 from ..operators import quality, risk, scenario
 from ..sources import views as v
-from . import evaluations, modelling
+from . import assemblies, evaluations, modelling
 from .oracles import SQL
 
 
@@ -279,8 +279,8 @@ _QUERIES = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _QUERIES} | evaluations.queries() | modelling.queries()
+    return {f.__name__: f for f in _QUERIES} | assemblies.queries() | evaluations.queries() | modelling.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | evaluations.oracle_sql()
+    return SQL | assemblies.oracle_sql() | evaluations.oracle_sql()
