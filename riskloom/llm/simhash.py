@@ -54,6 +54,14 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> bytes:
     return np.packbits(counts * 2 > len(bits)).tobytes()
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of unsigned 64-bit hashes as a signed number; of an empty set zero."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _BLOCK):
+        counts += np.unpackbits(hashes[at : at + _BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), signed=True)
+
+
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
 

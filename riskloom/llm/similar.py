@@ -1,8 +1,10 @@
-"""Near copies by the exact similarity of their word sequences.
+"""Near copies by SimHash probing, widened by MinHash bands, and decided by the exact similarity of their word sequences.
 
-A text is the set of its five-word sequences. MinHash bands propose pairs: texts with a similarity of 0.8 share none of the
-bands with a chance of about 3 in a million, of more similar ones hardly ever. Proposed pairs are decided by the exact Jaccard
-similarity of the whole sets, and components are taken over the pairs that pass. Equal sets are one node.
+A text is the set of its five-word sequences; equal sets are one node. The fingerprint operator (``simhash``) proposes pairs of
+nodes whose fingerprints lie within three bits. Near copies at a similarity of 0.8 differ in some ten of 64 bits, which no
+partition of 64 bits can probe without meeting a large part of all pairs, so MinHash bands propose the others: texts with a
+similarity of 0.8 share none of the bands with a chance of about 3 in a million, of more similar ones hardly ever. Proposed
+pairs are decided by the exact Jaccard similarity of the whole sets, and components are taken over the pairs that pass.
 
 A band value shared by many nodes first links each to a few neighbours in node order; then only pairs of nodes that are still
 in different components are compared, all of them, so a large group of near copies never gives all its pairs.
@@ -18,16 +20,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .components import star_components
 from .simhash import SEED, first_of_each
 from .store import materialize
 
 WORDS = 5
 BANDS, BAND_ROWS = 32, 5
-#: Up to so many nodes of a band value all pairs are compared at once; beyond, each node with so many next ones at first.
-SMALL, NEXT = 32, 4
-#: Numbers in one batch of results, about.
-STEP = 1_000_000
+#: Each node of a band value is compared with so many next ones at first.
+NEXT = 2
 
 _rng = np.random.default_rng(SEED)
 _XORS, _FACTORS = (_rng.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) for _ in range(2))
@@ -61,34 +62,27 @@ def bands(own: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, node, shingles, bands): node is the hash of the whole set."""
-
-    def lists(arrays: list[np.ndarray]) -> pa.ListArray:
-        ends = np.cumsum([0, *(len(x) for x in arrays)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(np.int64)))
+def _sketches(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, mark, node, fp, bands): node is the hash of the whole set, fp its fingerprint, mark the hash of the text."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch_of(ids: list, own: list) -> pa.RecordBatch:
-            nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in own], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(nodes), lists(own), lists([bands(x) for x in own])], ["doc_id", "node", "shingles", "bands"]
-            )
-
         for batch in batches:
-            ids, own, size = [], [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids.append(doc_id)
-                own.append(shingles(text.as_py(), words))
-                size += len(own[-1])
-                if size >= STEP:
-                    yield batch_of(ids, own)
-                    ids, own, size = [], [], 0
-            if ids:
-                yield batch_of(ids, own)
+            nodes, prints, values, ends = [], [], [], [0]
+            for text in batch.column(1):
+                own = shingles(text.as_py(), words)
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                prints.append(simhash.majority(own))
+                values.append(bands(own))
+                ends.append(ends[-1] + len(values[-1]))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(np.array(prints, np.int64)), lists], ["doc_id", "mark", "node", "fp", "bands"])
+
+    return _texts(docs).mapInArrow(each, "doc_id long, mark long, node long, fp long, bands array<long>")
 
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return known.mapInArrow(each, "doc_id long, node long, shingles array<long>, bands array<long>")
+
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark")).where("doc_id is not null")
 
 
 def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -108,25 +102,23 @@ def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]
         yield rest
 
 
-def _proposed(rows: DataFrame, small: int) -> DataFrame:
-    """(u, v, cell): pairs u < v without a cell, and the members u of each large cell without v."""
+def _proposed(nodes: DataFrame) -> DataFrame:
+    """(u, v, cell): pairs u < v of neighbours in a cell without the cell, and, where there are more pairs than those, the members
+    u of the cell without v."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell, node in _whole_cells(batches):
-            new = np.r_[True, (cell[1:] != cell[:-1]) | (node[1:] != node[:-1])]
-            cell, node = cell[new], node[new]
             starts = np.nonzero(np.r_[True, cell[1:] != cell[:-1]])[0]
             sizes = np.diff(np.r_[starts, len(cell)])
-            size = np.repeat(sizes, sizes)
-            for d in range(1, min(max(small, NEXT + 1), int(sizes.max()))):
-                keep = np.nonzero((cell[d:] == cell[:-d]) & ((size[d:] <= small) | (d <= NEXT)))[0]
+            for d in range(1, NEXT + 1):
+                keep = np.nonzero(cell[d:] == cell[:-d])[0]
                 if len(keep):
                     yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(node[keep + d]), pa.nulls(len(keep), pa.int64())], ["u", "v", "cell"])
-            if (large := size > small).any():
+            if (large := np.repeat(sizes, sizes) > NEXT + 1).any():
                 own = node[large]
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.nulls(len(own), pa.int64()), pa.array(cell[large])], ["u", "v", "cell"])
 
-    cells = rows.select(F.explode("bands").alias("cell"), "node").repartition("cell").sortWithinPartitions("cell", "node")
+    cells = nodes.select(F.explode("bands").alias("cell"), "node").repartition("cell").sortWithinPartitions("cell", "node")
     return cells.mapInArrow(each, "u long, v long, cell long")
 
 
@@ -148,31 +140,57 @@ def _across(members: DataFrame) -> DataFrame:
     return members.repartition("cell").sortWithinPartitions("cell", "root", "node").mapInArrow(each, "u long, v long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs with a similarity of 0.8 or more: 9 * both >= 4 * (one + other)."""
-    left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
-    right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-    sized = pairs.distinct().join(left, "u").join(right, "v")
-    return sized.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
+def _close_prints(nodes: DataFrame, threshold: int = simhash.THRESHOLD) -> DataFrame:
+    """(u, v), u < v: nodes of equal fingerprints with the first of them, and first nodes of fingerprints that the operator links."""
+    heads = materialize(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    same = nodes.join(heads, "fp").select(F.col("head").alias("u"), F.col("node").alias("v"))
+    total = heads.count()
+    if total > 1:
+        links = simhash.verified_links(simhash.meetings(heads, simhash.plan_parts(heads, total), threshold), threshold)
+        one, other = (heads.select(F.col("fp").alias(n), F.col("head").alias(f"{n}_head")) for n in "uv")
+        far = links.join(one, "u").join(other, "v").select(F.least("u_head", "v_head").alias("u"), F.greatest("u_head", "v_head").alias("v"))
+        same = same.unionByName(far)
+    return same.where("u <> v")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The pairs with a similarity of 0.8 or more, 9 * both >= 4 * (one + other), from the texts themselves: they are shorter than
+    the hashes of their sequences."""
+    left, right = (texts.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("u", "a"), ("v", "b")))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, one = None, None
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (v, a, b) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3))):
+                if v != last:  # rows of one v follow each other
+                    last, one = v, shingles(b.as_py(), words)
+                other = shingles(a.as_py(), words)
+                keep[i] = 9 * len(np.intersect1d(one, other, assume_unique=True)) >= 4 * (len(one) + len(other))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["u", "v"])
+
+    both = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
+    return both.mapInArrow(each, "u long, v long")
 
 
-def near_copies(docs: DataFrame, words: int = WORDS, small: int = SMALL) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, component_id) for every row with a doc_id: the smallest doc_id reachable over texts whose sets of word
     sequences have a Jaccard similarity of 0.8 or more. Blank and null texts are equal. An empty table gives an empty result."""
-    rows = materialize(_sets(docs, words))
-    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    found = materialize(_proposed(rows, small))
-    pairs = found.where("v is not null").select("u", "v")
-    meet = found.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    # one row a node, taken by both ids, so that a large group of equal texts does not meet in one task
-    firsts = nodes.join(meet, "node", "left_semi").select("doc_id", "node")
-    sets = materialize(rows.select("doc_id", "node", "shingles").join(firsts.hint("shuffle_hash"), ["doc_id", "node"], "left_semi").select("node", "shingles").dropDuplicates(["node"]))
-    edges = materialize(_verified(pairs, sets))
+    rows = materialize(_sketches(docs, words))
+    # equal sets are one node before anything meets, so a large group of copies is one row
+    nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("doc_id", "mark", "fp", "bands")).alias("x")).select("node", "x.*"))
+    found = materialize(_proposed(nodes))
+    pairs = materialize(found.where("v is not null").select("u", "v").unionByName(_close_prints(nodes)).distinct())
+    meet = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    firsts = nodes.join(meet, "node", "left_semi").select("doc_id", "mark", "node")
+    texts = materialize(_texts(docs).join(firsts.hint("shuffle_hash"), ["doc_id", "mark"]).select("node", "text").dropDuplicates(["node"]))
+    edges = materialize(_verified(pairs, texts, words))
     roots = star_components(edges)
     large = found.where("v is null").select("cell", F.col("u").alias("node"))
     if not large.isEmpty():
         members = large.join(roots, "node", "left").select("cell", F.coalesce("root", "node").alias("root"), "node")
-        edges = edges.unionByName(materialize(_verified(_across(members), sets)))
+        others = materialize(_across(members).distinct().join(pairs, ["u", "v"], "left_anti"))
+        edges = edges.unionByName(materialize(_verified(others, texts, words)))
         roots = star_components(edges)
     rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc_id")
     lowest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))

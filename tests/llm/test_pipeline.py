@@ -54,7 +54,7 @@ def _similar_pairs(texts: dict) -> set:
     return {p for p, n in both.items() if 5 * n >= 4 * (len(own[p[0]]) + len(own[p[1]]) - n)}
 
 
-def test_near_copies_stage_against_brute_force(spark, small):
+def test_near_copies_stage_against_brute_force(spark, small, monkeypatch):
     """Every pair at 0.8 or more shares a component, and components are those of the brute-force pairs."""
     import random
 
@@ -85,8 +85,9 @@ def test_near_copies_stage_against_brute_force(spark, small):
         a, b = root(a), root(b)
         parent[max(a, b)] = min(a, b)
     docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
-    for limit in (similar.SMALL, 6):
-        found = dict(similar.near_copies(docs, small=limit).collect())
+    for limit in (similar.NEXT, 1):
+        monkeypatch.setattr(similar, "NEXT", limit)
+        found = dict(similar.near_copies(docs).collect())
         assert found == {k: root(k) for k in texts}
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, small).collect()}
     assert kept == {k for k in texts if root(k) == k} and not any({a, b} <= kept for a, b in pairs)
