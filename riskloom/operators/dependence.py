@@ -2,25 +2,91 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pairwise_spearman(panel: DataFrame, least: float = 0.8) -> DataFrame:
-    """(a, b, n, spearman), a < b: ranks with ties averaged over the dates that both have, then their correlation; null
-    where the pair shares fewer than ``least`` of all dates."""
-    rows = panel.where("simple_return is not null").select("security", "date", "simple_return")
-    total = panel.agg(F.countDistinct("date").alias("dates"))
-    a, b = rows.toDF("a", "date", "x"), rows.toDF("b", "date", "y")
-    pairs = a.join(b, "date").where("a < b")
-
-    def ranks(value: str):
-        order, same = Window.partitionBy("a", "b").orderBy(value), Window.partitionBy("a", "b", value)
-        return F.rank().over(order) + (F.count("*").over(same) - 1) / 2.0
-
-    ranked = pairs.withColumns({"rx": ranks("x"), "ry": ranks("y")})
-    found = ranked.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("spearman"))
-    return found.join(total).select("a", "b", "n", F.when(F.col("n") >= F.ceil(F.col("dates") * F.lit(least)), F.col("spearman")).alias("spearman"))
+#: Securities in a block; pairs of blocks are correlated in one task.
+BLOCK = 256
+
+
+def _average_ranks(x: np.ndarray) -> np.ndarray:
+    """By column, ties averaged."""
+    order = np.argsort(x, axis=0, kind="stable")
+    value = np.take_along_axis(x, order, axis=0)
+    out = np.empty(x.shape)
+    place = np.arange(1.0, len(x) + 1)
+    for j in range(x.shape[1]):
+        starts = np.nonzero(np.r_[True, value[1:, j] != value[:-1, j]])[0]
+        sizes = np.diff(np.r_[starts, len(x)])
+        out[order[:, j], j] = np.repeat(np.add.reduceat(place, starts) / sizes, sizes)
+    return out
+
+
+def spearman_matrix(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shared dates, correlation) of every column of ``left`` with every column of ``right``, dates in rows, NaN for none.
+    Columns without gaps are ranked once and meet in one matrix product; pairs with gaps are ranked on the dates they share."""
+    n = np.empty((left.shape[1], right.shape[1]), np.int64)
+    out = np.full(n.shape, np.nan)
+    whole = [np.isfinite(x).all(axis=0) for x in (left, right)]
+    n[:] = np.isfinite(left).T.astype(np.int64) @ np.isfinite(right).astype(np.int64)
+
+    def scaled(x: np.ndarray) -> np.ndarray:
+        r = _average_ranks(x)
+        r -= r.mean(axis=0)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return r / np.sqrt((r * r).sum(axis=0))
+
+    if whole[0].any() and whole[1].any() and len(left):
+        out[np.ix_(*whole)] = scaled(left[:, whole[0]]).T @ scaled(right[:, whole[1]])
+    for i, j in np.argwhere(~np.outer(*whole)):
+        both = np.isfinite(left[:, i]) & np.isfinite(right[:, j])
+        if both.sum() > 1:
+            pair = scaled(np.stack([left[both, i], right[both, j]], axis=1))
+            out[i, j] = pair[:, 0] @ pair[:, 1]
+    return n, np.clip(out, -1, 1)
+
+
+def _block_pairs(pdf: pd.DataFrame, first: int, second: int) -> pd.DataFrame:
+    """(a, b, n, spearman) of all pairs of the two blocks, or of all pairs within one."""
+    wide = pdf.pivot(index="date", columns="security", values="simple_return")
+    block = pdf.groupby("security")["block"].first().reindex(wide.columns).to_numpy()
+    names, sides = wide.columns.to_numpy(), [np.nonzero(block == k)[0] for k in (first, second)]
+    values = wide.to_numpy(float)
+    n, found = spearman_matrix(values[:, sides[0]], values[:, sides[1]])
+    i, j = np.nonzero(n > 0)
+    left, right = names[sides[0][i]], names[sides[1][j]]
+    keep = left < right if first == second else np.ones(len(left), bool)
+    a, b = np.where(left < right, left, right), np.where(left < right, right, left)
+    return pd.DataFrame({"a": a[keep], "b": b[keep], "n": n[i, j][keep], "spearman": found[i, j][keep]})
+
+
+def pairwise_spearman(panel: DataFrame, least: float = 0.8, *by: str) -> DataFrame:
+    """(by, a, b, n, spearman), a < b: ranks with ties averaged over the dates that both have, then their correlation; null
+    where the pair shares fewer than ``least`` of all dates. Securities are dealt into blocks of about BLOCK, a series goes to
+    the block pairs that it takes part in, and each block pair is one task."""
+    keys = list(by)
+    total = panel.groupBy(*keys).agg(F.countDistinct("date").alias("dates"), F.greatest(F.lit(1), F.ceil(F.approx_count_distinct("security") / BLOCK)).cast("int").alias("blocks"))
+    rows = panel.where("simple_return is not null").select(*keys, "security", "date", F.col("simple_return").cast("double").alias("simple_return"))
+    rows = rows.join(F.broadcast(total), keys) if keys else rows.join(F.broadcast(total))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("security"), F.col("blocks")).cast("int"))
+    meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.withColumn("other", meets).withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")})
+
+    def each(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = _block_pairs(pdf, int(key[-2]), int(key[-1]))
+        for name, value in zip(keys, key):
+            out[name] = value
+        return out[[*keys, "a", "b", "n", "spearman"]]
+
+    kinds = dict(panel.dtypes)
+    schema = "".join(f"{k} {kinds[k]}, " for k in keys) + "a string, b string, n long, spearman double"
+    found = rows.select(*keys, "security", "date", "simple_return", "block", "first", "second").groupBy(*keys, "first", "second").applyInPandas(each, schema)
+    found = found.join(F.broadcast(total), keys) if keys else found.join(F.broadcast(total))
+    enough = (F.col("n") >= F.ceil(F.col("dates") * F.lit(least))) & ~F.isnan("spearman")
+    return found.select(*keys, "a", "b", "n", F.when(enough, F.col("spearman")).alias("spearman"))
 
 
 def correlation_distance(pairs: DataFrame) -> DataFrame:
