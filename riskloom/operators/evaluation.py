@@ -36,7 +36,7 @@ class Family:
     models: dict[str, str]
     historical: frozenset[str] = frozenset()
     keys: tuple[str, ...] = ("model_id",)
-    statuses: tuple[str, ...] = ("ok", "ok_with_margin_fallback", "ok_with_gaussian_fallback")
+    statuses: tuple[str, ...] = ("ok", "fallback")
     calibration_tests: int | None = None
     accuracy_tests: int | None = None
     adjustment: str = "holm"

@@ -6,6 +6,7 @@ months in parallel. Returns are scaled by 100.
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import asdict, dataclass
 
@@ -46,18 +47,24 @@ def variance_path(residuals: np.ndarray, omega: float, alpha: float, beta: float
     return h
 
 
-def rejection_reasons(phi: float, omega: float, alpha: float, beta: float, df: float, variance: float) -> list[str]:
-    tests = (
-        (all(map(math.isfinite, (phi, omega, alpha, beta, df, variance))), "nonfinite_parameter"),
-        (abs(phi) < AR_LIMIT, "ar_limit"),
-        (omega > 0, "omega_not_positive"),
-        (alpha >= 0, "alpha_negative"),
-        (beta >= 0, "beta_negative"),
-        (alpha + beta < PERSISTENCE, "persistence_limit"),
-        (df > LEAST_DF, "degrees_of_freedom"),
-        (variance > 0, "forecast_variance"),
-    )
-    return [name for ok, name in tests if not ok]
+# Codes of what a fit can be rejected for, each with what it says.
+REJECTIONS = {
+    "ar_absolute_limit": lambda p: abs(p["phi"]) >= AR_LIMIT,
+    "nonpositive_omega": lambda p: p["omega"] <= 0,
+    "negative_alpha": lambda p: p["alpha"] < 0,
+    "negative_beta": lambda p: p["beta"] < 0,
+    "garch_persistence_limit": lambda p: p["alpha"] + p["beta"] >= PERSISTENCE,
+    "student_t_df_minimum": lambda p: p["df"] <= LEAST_DF,
+    "nonpositive_forecast_variance": lambda p: p["variance"] <= 0,
+}
+NONFINITE = "nonfinite_parameter_or_forecast"
+
+
+def rejection_reasons(**parameters: float) -> list[str]:
+    """Codes for phi, omega, alpha, beta, df and variance; numbers that are not finite are the only reason given."""
+    if not all(map(math.isfinite, parameters.values())):
+        return [NONFINITE]
+    return [code for code, holds in REJECTIONS.items() if holds(parameters)]
 
 
 def _unpack(theta: np.ndarray, autoregressive: bool) -> tuple[float, float, float, float, float, float]:
@@ -115,7 +122,7 @@ def fit_garch(r: np.ndarray, autoregressive: bool, rounds: int, from_regression:
     c, phi, omega, alpha, beta, df = _unpack(theta, autoregressive)
     e = r[1:] - c - phi * r[:-1]
     ahead = float(variance_path(e, omega, alpha, beta, float(np.var(e)))[-1])
-    reasons = rejection_reasons(phi, omega, alpha, beta, df, ahead) + ([] if settled else ["not_converged"])
+    reasons = rejection_reasons(phi=phi, omega=omega, alpha=alpha, beta=beta, df=df, variance=ahead) + ([] if settled else ["not_converged"])
     return Margin("ar_garch_t" if autoregressive else "garch_t", 0, c, phi, omega, alpha, beta, df, ahead, float(r[-1]), -value), reasons
 
 
@@ -177,49 +184,53 @@ def filter_days(margin: Margin, log_returns: np.ndarray) -> tuple[np.ndarray, np
     return means / SCALE, np.sqrt(h) / SCALE
 
 
-REFIT = "group_id string, refit_date date, observations int, method string, level int, constant double, phi double, omega double, alpha double, beta double, df double, next_variance double, last_return double, log_likelihood double"
-DAILY = "group_id string, refit_date date, date date, mean double, volatility double, log_return double, residual double, pit double"
-
-
-TRAINING = "group_id string, refit_date date, date date, residual double, pit double"
-ALL = "kind string, group_id string, refit_date date, date date, df double, mean double, volatility double, log_return double, residual double, pit double"
+REFIT = "refit_id string, group_id string, refit_date date, training_start date, training_end date, observations int, evaluation_days int, method string, level int, constant double, phi double, omega double, alpha double, beta double, df double, next_variance double, last_return double, log_likelihood double, attempts string"
+DAILY = "refit_id string, group_id string, refit_date date, date date, mean double, volatility double, log_return double, residual double, pit double"
+TRAINING = "refit_id string, group_id string, refit_date date, date date, log_return double, residual double, pit double"
+ALL = "kind string, refit_id string, group_id string, refit_date date, date date, df double, mean double, volatility double, log_return double, residual double, pit double"
 
 
 def monthly(returns: DataFrame, first_refit: str | None = None, years: int = 3, least: int = 700, out: str = "refits") -> DataFrame:
-    """returns (group_id, date, log_return) -> per group and month the margin refitted on the years before the month's first
-    day (``refits``), the filtered days of the month (``daily``), the residuals and transforms of the days that the margin
-    was fitted on (``training``), or what forecasts need of the three, told apart by kind (``all``). Every month with
-    ``least`` days to train on has a refit, or those from ``first_refit`` on. A group's series is read once, by one task."""
+    """returns (group_id, date, log_return) -> per group and month the margin refitted on the ``years`` before the month's first
+    day of the group (``refits``), the filtered days of the month (``daily``), the residuals and transforms of the days that the
+    margin was fitted on (``training``), or what forecasts need of the three, told apart by kind (``all``). Every month with
+    ``least`` days to train on has a refit, or those from ``first_refit`` on. Repeated dates of a group fail.
+
+    A return is sent to the months it serves, so each group and month is a task of its own, which fits once."""
     schema = {"refits": REFIT, "daily": DAILY, "training": TRAINING, "all": ALL}[out]
+    names = [x.split()[0] for x in schema.split(", ")]
 
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+    def each(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        dates, r, group = pd.to_datetime(pdf["date"]), pdf["log_return"].to_numpy(float), pdf["group_id"].iloc[0]
+        dates, r, group = pd.to_datetime(pdf["date"]), pdf["log_return"].to_numpy(float), key[0]
+        if dates.duplicated().any():
+            raise ValueError(f"{group}: a date is repeated")
+        own = (dates >= pd.Timestamp(key[1])).to_numpy()
+        if not own.any():
+            return pd.DataFrame(columns=names)
+        refit = dates[own].min()
+        train = ((dates >= refit - pd.DateOffset(years=years)) & (dates < refit)).to_numpy()
+        if train.sum() < least or (first_refit is not None and refit < pd.Timestamp(first_refit)):
+            return pd.DataFrame(columns=names)
+        margin, attempts = select_margin(r[train])
+        head = {"refit_id": f"{group}:{refit:%Y-%m-%d}", "group_id": group, "refit_date": refit.date()}
         rows = []
-        months = dates.dt.to_period("M")
-        for month in sorted(set(months if first_refit is None else months[dates >= pd.Timestamp(first_refit)])):
-            own = (months == month).to_numpy()
-            refit = dates[own].min()
-            train = ((dates >= refit - pd.DateOffset(years=years)) & (dates < refit)).to_numpy()
-            if train.sum() < least:
-                continue
-            margin, _ = select_margin(r[train])
-            key = {"group_id": group, "refit_date": refit.date()}
-            if out in ("refits", "all"):
-                rows.append({"kind": "refits", **key, "observations": int(train.sum()), **asdict(margin)})
-            if out == "refits":
-                continue
+        if out in ("refits", "all"):
+            rows.append({"kind": "refits", **head, "training_start": dates[train].min().date(), "training_end": dates[train].max().date(), "observations": int(train.sum()), "evaluation_days": int(own.sum()), **asdict(margin), "attempts": json.dumps(attempts)})
+        if out != "refits":
             fitted = residuals(margin, r[train])
             if out in ("training", "all"):
                 days = dates[train][-len(fitted) :]  # an autoregressive fit has no residual of its first day
-                for d, zz, u in zip(days, fitted, transform(margin, fitted, fitted)):
-                    rows.append({"kind": "training", **key, "date": d.date(), "residual": zz, "pit": u})
+                for d, x, zz, u in zip(days, r[train][-len(fitted) :], fitted, transform(margin, fitted, fitted)):
+                    rows.append({"kind": "training", **head, "date": d.date(), "log_return": x, "residual": zz, "pit": u})
             if out in ("daily", "all"):
                 means, volatility = filter_days(margin, r[own])
                 z = (r[own] - means) / volatility
                 for d, m, s, x, zz, u in zip(dates[own], means, volatility, r[own], z, transform(margin, z, fitted)):
-                    rows.append({"kind": "daily", **key, "date": d.date(), "mean": m, "volatility": s, "log_return": x, "residual": zz, "pit": u})
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
+                    rows.append({"kind": "daily", **head, "date": d.date(), "mean": m, "volatility": s, "log_return": x, "residual": zz, "pit": u})
+        return pd.DataFrame(rows, columns=names)
 
-    rows = returns.where(F.col("log_return").isNotNull()).select("group_id", "date", "log_return")
-    return rows.groupBy("group_id").applyInPandas(each, schema)
+    month = F.to_date(F.trunc("date", "month"))
+    rows = returns.where(F.col("log_return").isNotNull()).select("group_id", F.to_date("date").alias("date"), "log_return")
+    served = F.sequence(month, F.add_months(month, 12 * years), F.expr("interval 1 month"))
+    return rows.withColumn("month", F.explode(served)).groupBy("group_id", "month").applyInPandas(each, schema)

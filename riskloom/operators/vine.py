@@ -218,6 +218,11 @@ def fit_vine(u: np.ndarray, truncation: int, families: tuple[str, ...] = FAMILIE
     return trees, likelihood
 
 
+def parameters(trees: list[list[Edge]]) -> int:
+    """Free numbers of all pairs: none for independence, two for a Student-t pair, else one."""
+    return sum({"independence": 0, "student": 2}.get(e.pair.family, 1) for edges in trees for e in edges)
+
+
 def log_density(trees: list[list[Edge]], u: np.ndarray) -> np.ndarray:
     known = {(i, frozenset()): _clip(u[:, i]) for i in range(u.shape[1])}
     total = np.zeros(len(u))
@@ -264,6 +269,8 @@ def simulate(trees: list[list[Edge]], independent: np.ndarray) -> np.ndarray:
 
 def vine_or_gaussian(pits: np.ndarray, truncation: int, most_failed: float = 0.1) -> tuple[list[list[Edge]] | None, str | None]:
     """The fitted vine with failing pairs made independent, or None with the reason to fall back to the Gaussian copula."""
+    if not np.isfinite(pits).all():
+        return None, "nonfinite_input"
     try:
         trees, likelihood = fit_vine(pits, truncation)
     except (ArithmeticError, ValueError, np.linalg.LinAlgError) as error:

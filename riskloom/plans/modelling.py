@@ -6,10 +6,11 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import bootstrap, cluster, copula, margins
+from ..operators import bootstrap, chain, cluster, copula, margins
 from ..operators import dependence as dep
 from ..sources import views as v
 from . import protocol
+from .oracles import RETURNS
 
 
 def _pairs(s, d):
@@ -42,14 +43,34 @@ def margin_daily(s, d):
     return margins.monthly(_series(s, d), out="daily")
 
 
+def _group_returns(s, d):
+    """The regions' series on the days that all five have, with equal weights."""
+    rows = _series(s, d)
+    whole = rows.groupBy("date").count().where("count = 5").select("date")
+    return rows.join(whole, "date").withColumn("portfolio_weight", F.lit(0.2))
+
+
 def gaussian_copula_forecasts(s, d):
     """Equal weights over the five regions; each month's copula is fitted on the days that its margins were fitted on."""
-    month = F.trunc("refit_date", "month").alias("refit_date")
-    fitted = margins.monthly(_series(s, d), out="all").persist()  # three parts of one set of fits
-    daily, refits, training = (fitted.where(F.col("kind") == kind) for kind in ("daily", "refits", "training"))
-    counts = daily.groupBy("date").count().where("count = 5").select("date")
-    whole = daily.join(counts, "date").select(month, "date", "group_id", "mean", "volatility", "pit", "log_return", F.lit(0.2).alias("portfolio_weight"))
-    return copula.gaussian_forecasts(whole, refits.select(month, "group_id", "df"), training.select(month, "date", "group_id", "residual", "pit"), "M1")
+    return chain.forecast_chain(_group_returns(s, d), {"M1": {"grouping_id": "gics"}})["forecasts"]
+
+
+def vine_copula_forecasts(s, d):
+    """The same margins under a vine of three trees, with a tenth of the draws."""
+    return chain.forecast_chain(_group_returns(s, d), {"M2": {"grouping_id": "gics", "truncation": 3}}, draws=10_000)["forecasts"]
+
+
+def refit_tasks(s, d):
+    return chain.refit_tasks(_group_returns(s, d))
+
+
+def group_panel_problems(s, d):
+    """Group returns spoilt by date: every fifth of a month one weight is off, every ninth one return is missing."""
+    rows = _group_returns(s, d)
+    off = (F.col("group_id") == "ASIA") & (F.dayofmonth("date") == 5)
+    gone = (F.col("group_id") == "AFRICA") & (F.dayofmonth("date") == 9)
+    rows = rows.withColumns({"portfolio_weight": F.when(off, F.lit(0.3)).otherwise(F.col("portfolio_weight")), "log_return": F.when(gone, F.lit(None)).otherwise(F.col("log_return"))})
+    return chain.group_panel_problems(rows)
 
 
 def vine_pairs(s, d):
@@ -78,5 +99,20 @@ def gap_bootstrap(s, d):
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (hierarchical_clusters, spectral_clusters, profile_clusters, margin_refits, margin_daily, gaussian_copula_forecasts, vine_pairs, gap_bootstrap)
+        for f in (hierarchical_clusters, spectral_clusters, profile_clusters, margin_refits, margin_daily, gaussian_copula_forecasts, vine_copula_forecasts, refit_tasks, group_panel_problems, vine_pairs, gap_bootstrap)
+    }
+
+
+_SERIES = RETURNS + """,
+series AS (SELECT security AS group_id, date, ln(1 + r) / 100 AS log_return FROM returns WHERE r IS NOT NULL AND r > -1),
+panel AS (SELECT * FROM series WHERE date IN (SELECT date FROM series GROUP BY date HAVING count(*) = 5))"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "refit_tasks": f"""WITH {_SERIES}, m AS (SELECT group_id, date_trunc('month', date) AS month, min(date) AS refit_date, CAST(count(*) AS INTEGER) AS evaluation_days FROM panel GROUP BY 1, 2)
+            SELECT m.group_id, m.refit_date, m.evaluation_days, min(p.date) AS training_start, max(p.date) AS training_end, CAST(count(*) AS INTEGER) AS observations
+            FROM m JOIN panel p ON p.group_id = m.group_id AND p.date >= m.refit_date - INTERVAL 3 YEAR AND p.date < m.refit_date GROUP BY 1, 2, 3 HAVING count(*) >= 700""",
+        "group_panel_problems": f"""WITH {_SERIES} SELECT 'nonfinite_return' AS code, date || '|' || group_id AS key FROM panel WHERE group_id = 'AFRICA' AND day(date) = 9
+            UNION ALL SELECT DISTINCT 'weights_do_not_sum_to_one', CAST(date AS VARCHAR) FROM panel WHERE day(date) = 5""",
     }

@@ -283,4 +283,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | assemblies.oracle_sql() | evaluations.oracle_sql() | yearly.oracle_sql()
+    return SQL | assemblies.oracle_sql() | evaluations.oracle_sql() | yearly.oracle_sql() | modelling.oracle_sql()

@@ -205,7 +205,15 @@ def test_copula_forecasts_use_training_days_and_empirical_margins(spark, monkeyp
     caught = []  # the grouped function runs here, where the fits are replaced
     with monkeypatch.context() as patch:
         patch.setattr(margins, "select_margin", fits)
-        patch.setattr("pyspark.sql.GroupedData.applyInPandas", lambda self, f, schema: caught.append(pd.concat([f(x) for _, x in rows.groupby("group_id")])))
+
+        def by_group_and_month(self, f, schema):
+            at, parts = pd.to_datetime(rows["date"]), []
+            for month in sorted(set(at.dt.to_period("M"))):
+                near = rows[(at >= month.start_time - pd.DateOffset(years=3)) & (at <= month.end_time)]
+                parts += [f((g, month.start_time.date()), x) for g, x in near.groupby("group_id")]
+            caught.append(pd.concat([p for p in parts if len(p)]))
+
+        patch.setattr("pyspark.sql.GroupedData.applyInPandas", by_group_and_month)
         margins.monthly(table, out="all")
     every = caught[0].astype(object).where(caught[0].notna(), None)
     fitted = spark.createDataFrame(every.to_dict("records"), margins.ALL)
