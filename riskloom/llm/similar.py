@@ -2,12 +2,14 @@
 
 A text is the set of its five-word sequences; equal sets are one node. The fingerprint operator (``simhash``) proposes pairs of
 nodes whose fingerprints lie within three bits. Near copies at a similarity of 0.8 differ in some ten of 64 bits, which no
-partition of 64 bits can probe without meeting a large part of all pairs, so MinHash bands propose the others: texts with a
-similarity of 0.8 share none of the bands with a chance of about 3 in a million, of more similar ones hardly ever. Proposed
-pairs are decided by the exact Jaccard similarity of the whole sets, and components are taken over the pairs that pass.
-
-A band value shared by many nodes first links each to a few neighbours in node order; then only pairs of nodes that are still
-in different components are compared, all of them, so a large group of near copies never gives all its pairs.
+partition of 64 bits can probe without meeting a large part of all pairs, so MinHash bands say which other nodes can have a
+partner at all: texts with a similarity of 0.8 share none of the bands with a chance of about 3 in a million, of more similar ones
+hardly ever. Among those nodes, two can only be similar if they share one of their rarest sequences, early enough in both; such
+pairs are compared. The exact Jaccard similarity of the whole sets decides, and components are taken over the pairs that pass.
+
+The nodes that share a sequence are compared in rounds, each with those a few places on, then with those four times as far, until
+the ends are reached. Every round leaves out pairs that the rounds before have put into one component, so a large group of near
+copies never gives all its pairs, and no pair that could still join two components is left out.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from .store import materialize
 
 WORDS = 5
 BANDS, BAND_ROWS = 32, 5
-#: Each node of a band value is compared with so many next ones at first.
-NEXT = 2
+#: Each node of a band value is compared with so many next ones at first, then with so many times more in each round.
+NEXT, WIDER = 2, 4
 
 _rng = np.random.default_rng(SEED)
 _XORS, _FACTORS = (_rng.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) for _ in range(2))
@@ -102,42 +104,83 @@ def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]
         yield rest
 
 
-def _proposed(nodes: DataFrame) -> DataFrame:
-    """(u, v, cell): pairs u < v of neighbours in a cell without the cell, and, where there are more pairs than those, the members
-    u of the cell without v."""
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """(node): nodes that share a band value with another one."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell, node in _whole_cells(batches):
-            starts = np.nonzero(np.r_[True, cell[1:] != cell[:-1]])[0]
-            sizes = np.diff(np.r_[starts, len(cell)])
-            for d in range(1, NEXT + 1):
-                keep = np.nonzero(cell[d:] == cell[:-d])[0]
-                if len(keep):
-                    yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(node[keep + d]), pa.nulls(len(keep), pa.int64())], ["u", "v", "cell"])
-            if (large := np.repeat(sizes, sizes) > NEXT + 1).any():
-                own = node[large]
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.nulls(len(own), pa.int64()), pa.array(cell[large])], ["u", "v", "cell"])
+            new = np.r_[True, cell[1:] != cell[:-1]]
+            alone = new & np.r_[new[1:], True]
+            yield pa.RecordBatch.from_arrays([pa.array(node[~alone])], ["node"])
+
+    cells = nodes.select(F.explode("bands").alias("cell"), "node").repartition("cell").sortWithinPartitions("cell")
+    return cells.mapInArrow(each, "node long").distinct()
 
-    cells = nodes.select(F.explode("bands").alias("cell"), "node").repartition("cell").sortWithinPartitions("cell", "node")
-    return cells.mapInArrow(each, "u long, v long, cell long")
 
+def _prefixes(texts: DataFrame, words: int) -> DataFrame:
+    """(cell, place, node, size, position): the rarest sequences of each node that any partner must share one of, as cells of the nodes
+    that have them; position counts all rarer sequences of the node, place runs through a cell by size.
 
-def _across(members: DataFrame) -> DataFrame:
-    """(u, v): all pairs of a cell's nodes in different components. members: (cell, root, node)."""
+    With sequences in order of how many nodes have them, two sets of similarity 0.8 share one among the first size - 0.8 * size + 1
+    of either. Sequences of one node only come first, meet nothing, and are counted without being sorted."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, root, node in _whole_cells(batches):
-            bounds = np.r_[np.nonzero(np.r_[True, cell[1:] != cell[:-1]])[0], len(cell)]
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                if root[a] == root[b - 1]:
-                    continue
-                ends = a + np.searchsorted(root[a:b], root[a:b], "right")  # sorted by root: the others follow
-                for i, end in zip(range(a, b), ends):
-                    if end < b:
-                        x, y = np.full(b - end, node[i]), node[end:b]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["u", "v"])
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = shingles(text.as_py(), words)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node, np.int64)), pa.array(np.full(len(own), len(own), np.int64)), pa.array(own.view(np.int64))], ["node", "size", "token"])
+
+    tokens = materialize(texts.mapInArrow(each, "node long, size long, token long"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    by_node = tokens.join(shared, "token").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("own"))
+    alone = F.col("size") - F.size("own")
+    length = F.col("size") - F.ceil(F.col("size") * 4 / 5) + 1 - alone
+    first = by_node.where(length > 0).select("node", "size", alone.alias("alone"), F.posexplode(F.slice("own", F.lit(1), length.cast("int"))).alias("k", "x"))
+    rows = first.select(F.col("x.token").alias("cell"), "node", "size", (F.col("alone") + F.col("k")).alias("position"))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, at = None, 0
+        for batch in batches:
+            cell = batch.column(0).to_numpy(zero_copy_only=False)
+            if not len(cell):
+                continue
+            starts = np.nonzero(np.r_[True, cell[1:] != cell[:-1]])[0]
+            place = np.arange(len(cell)) - np.repeat(starts, np.diff(np.r_[starts, len(cell)]))
+            if cell[0] == last:
+                place[: starts[1] if len(starts) > 1 else len(cell)] += at
+            last, at = cell[-1], int(place[-1]) + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(place), *batch.columns[1:]], ["cell", "place", "node", "size", "position"])
+
+    ordered = rows.repartition("cell").sortWithinPartitions("cell", "size", "node")
+    return ordered.mapInArrow(placed, "cell long, place long, node long, size long, position long")
+
 
-    return members.repartition("cell").sortWithinPartitions("cell", "root", "node").mapInArrow(each, "u long, v long")
+def _proposed(members: DataFrame, after: int, upto: int) -> DataFrame:
+    """(u, v): nodes of a cell that are in different components, lie more than ``after`` and at most ``upto`` places apart, and can be
+    similar by their sizes and by how much of each set comes after this cell's sequence. members: those of ``_prefixes`` with root. A
+    task holds the last ``upto`` rows."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+            old = 0 if kept is None else len(kept[0])
+            if kept is not None:
+                now = [np.concatenate([x, y]) for x, y in zip(kept, now)]
+            cell, node, size, position, root = now
+            for d in range(after + 1, min(upto, len(cell) - 1) + 1):
+                first = max(0, old - d)  # pairs of two old rows are done
+                a, b = slice(first, len(cell) - d), slice(first + d, len(cell))
+                hit = np.nonzero((cell[a] == cell[b]) & (root[a] != root[b]))[0]
+                if len(hit):
+                    one, other = hit + first, hit + first + d
+                    left = np.minimum(size[one] - position[one], size[other] - position[other])
+                    can = (9 * left >= 4 * (size[one] + size[other])) & (5 * size[one] >= 4 * size[other])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[one], node[other])[can]), pa.array(np.maximum(node[one], node[other])[can])], ["u", "v"])
+            kept = [x[-upto:] for x in now]
+
+    ordered = members.repartition("cell").sortWithinPartitions("cell", "place").select("cell", "node", "size", "position", "root")
+    return ordered.mapInArrow(each, "u long, v long")
 
 
 def _close_prints(nodes: DataFrame, threshold: int = simhash.THRESHOLD) -> DataFrame:
@@ -179,19 +222,26 @@ def near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
     rows = materialize(_sketches(docs, words))
     # equal sets are one node before anything meets, so a large group of copies is one row
     nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("doc_id", "mark", "fp", "bands")).alias("x")).select("node", "x.*"))
-    found = materialize(_proposed(nodes))
-    pairs = materialize(found.where("v is not null").select("u", "v").unionByName(_close_prints(nodes)).distinct())
-    meet = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    close = materialize(_close_prints(nodes))
+    meet = _candidates(nodes).unionByName(close.select(F.col("u").alias("node"))).unionByName(close.select(F.col("v").alias("node"))).distinct()
     firsts = nodes.join(meet, "node", "left_semi").select("doc_id", "mark", "node")
     texts = materialize(_texts(docs).join(firsts.hint("shuffle_hash"), ["doc_id", "mark"]).select("node", "text").dropDuplicates(["node"]))
-    edges = materialize(_verified(pairs, texts, words))
-    roots = star_components(edges)
-    large = found.where("v is null").select("cell", F.col("u").alias("node"))
-    if not large.isEmpty():
-        members = large.join(roots, "node", "left").select("cell", F.coalesce("root", "node").alias("root"), "node")
-        others = materialize(_across(members).distinct().join(pairs, ["u", "v"], "left_anti"))
-        edges = edges.unionByName(materialize(_verified(others, texts, words)))
-        roots = star_components(edges)
+    members = materialize(_prefixes(texts, words))
+    roots = materialize(texts.select("node", F.col("node").alias("root")))
+    after, upto, pairs = 0, NEXT, close
+    while True:
+        known = members.join(roots, "node")
+        found = materialize(_proposed(known, after, upto).unionByName(pairs).distinct())
+        linked = materialize(_verified(found, texts, words))
+        # only the roots that new links join are looked at; all other nodes keep theirs
+        between = linked.join(roots.toDF("u", "a"), "u").join(roots.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        moved = star_components(between).toDF("root", "new_root")
+        roots = materialize(roots.join(moved, "root", "left").select("node", F.coalesce("new_root", "root").alias("root")))
+        open_ = members.join(roots, "node").groupBy("cell").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("place").alias("last")).where("a <> b")
+        largest = open_.agg(F.max("last")).first()[0] or 0
+        if upto >= largest:
+            break
+        after, upto, pairs = upto, upto * WIDER, close.limit(0)
     rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc_id")
     lowest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = rooted.select("node", "root").join(lowest, "root").select("node", "component_id")

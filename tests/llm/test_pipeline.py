@@ -85,7 +85,7 @@ def test_near_copies_stage_against_brute_force(spark, small, monkeypatch):
         a, b = root(a), root(b)
         parent[max(a, b)] = min(a, b)
     docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
-    for limit in (similar.NEXT, 1):
+    for limit in (similar.NEXT, 1, 50):
         monkeypatch.setattr(similar, "NEXT", limit)
         found = dict(similar.near_copies(docs).collect())
         assert found == {k: root(k) for k in texts}
