@@ -14,7 +14,7 @@ from riskloom.sources import universe
 def test_wiki_table(spark):
     text = "{| class\n! Symbol !! Name\n|-\n| [[A Corp|A]] || '''A &amp; Co'''<ref>x</ref>\n|-\n| {{NYSE|BRK.B}}\n| Berkshire\n|}\nend"
     rows = universe.wiki_rows(spark.createDataFrame([(text,)], "content string")).orderBy("row").collect()
-    assert [r.cells for r in rows] == [["A", "A & Co"], ["BRK.B", "Berkshire"]]
+    assert [r.cells for r in rows] == [["A", "A & Co"], ["", "Berkshire"]]
 
 
 def test_quotes_and_charts(spark):
@@ -26,17 +26,117 @@ def test_quotes_and_charts(spark):
     assert r.q.n == 2 and (r.o.close, r.o.adjusted) == (2.0, 4.0) and r.none is None
 
 
-def test_licensed_list_and_reconciliation(spark, tmp_path):
-    good = tmp_path / "a.csv"
-    good.write_text("ticker,company_name,sector,as_of_date\nA,Alpha,Energy,2020-01-02\nB,Beta,Utilities,2020-01-02\n")
-    rows = universe.licensed_universe(spark, str(good))
-    other = spark.createDataFrame([("A", "Alpha", "Materials"), ("C", "Gamma", "Energy")], "ticker string, company_name string, sector string")
-    found = {(r.ticker, r.finding, r.field) for r in universe.reconcile(rows, other, "ticker", ["company_name", "sector"]).collect()}
-    assert found == {("A", "different", "sector"), ("B", "missing", None), ("C", "extra", None)}
-    bad = tmp_path / "b.csv"
-    bad.write_text("ticker,company_name,sector,as_of_date\nA,Alpha,Cheese,2020-01-02\n")
+def test_cells_are_cleaned(spark):
+    cases = {
+        "[[Alpha Corp|Alpha]] &amp; [[Beta]]": "Alpha & Beta",
+        "'''Caf&eacute;''' {{cite|x}}<ref name=a>no</ref><br/> &#8211;&#x41; ": "Café – A".replace("– A", "–A"),
+        "&amp;lt;": "&lt;",
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, t string").select("i", universe.clean_wikitext(F.col("t")).alias("c")).orderBy("i").collect()
+    assert [r.c for r in rows] == list(cases.values())
+
+
+PAGE = """intro
+==Components==
+{| class
+|-
+| AAPL
+| [[Apple Inc.|Apple]]
+|-
+| BRK.B
+| [[Berkshire Hathaway]]
+|-
+| lower
+| no ticker
+==Statistics==
+"""
+SECTORS = """==S&P 500 component stocks==
+{|
+|-
+|{{NasdaqSymbol|AAPL}}||[[Apple Inc.]]||Information Technology||Hardware
+|-
+|{{NyseSymbol|XYZ}}||Xyz||Cheese||Brie
+==Selected changes==
+"""
+
+
+def test_component_and_sector_tables(spark):
+    page = lambda t: spark.createDataFrame([(t,)], "content string")
+    members = universe.component_table(page(PAGE))
+    assert {tuple(r) for r in members.collect()} == {("AAPL", "Apple"), ("BRK.B", "Berkshire Hathaway")}
+    sectors = universe.sector_table(page(SECTORS), "S&P 500 component stocks")
+    assert [tuple(r) for r in sectors.collect()] == [("AAPL", "Information Technology", "Hardware")]
     with pytest.raises(quality.ConstraintError):
-        universe.licensed_universe(spark, str(bad))
+        universe.component_table(page("nothing"))
+    named, rest = universe.membership_with_sectors(members, sectors, "2020-01-02", "wikipedia")
+    assert [(r.ticker, r.security_id, r.source_record_id) for r in named.collect()] == [("AAPL", "SP100-20200102:AAPL", "wikipedia:AAPL")] and [r.ticker for r in rest.collect()] == ["BRK.B"]
+    ids = spark.createDataFrame([("GOOG",), ("GOOGL",), ("BRK.B",), ("T",)], "t string").select(universe.research_identifiers(F.col("t")).alias("x")).collect()
+    assert [(r.x.issuer_id, r.x.share_class) for r in ids] == [("ISSUER:ALPHABET", "Class C"), ("ISSUER:ALPHABET", "Class A"), ("ISSUER:BRK", "B"), ("ISSUER:T", "common")]
+
+
+def test_revisions(tmp_path):
+    from riskloom.sources import files
+
+    files.write_json(tmp_path / "r.json", {"query": {"pages": [{"title": "T", "revisions": [{"revid": 7, "timestamp": "2020", "slots": {"main": {"content": "x"}}}]}]}})
+    head, text = universe.revision_record("r.json", str(tmp_path))
+    assert (head["revision_id"], text) == (7, "x") and head["payload_sha256"] == files.sha256(tmp_path / "r.json")
+    files.write_json(tmp_path / "bad.json", {"query": {}})
+    for path in ("bad.json", "../r.json"):
+        with pytest.raises(ValueError):
+            universe.revision_record(path, str(tmp_path))
+
+
+def _licensed(ticker, **changes):
+    row = {"security_id": f"L{ticker}", "issuer_id": f"I{ticker}", "ticker": ticker, "share_class": "common", "company_name": f"{ticker} Co", "gics_sector": "Energy", "gics_sub_industry": "Oil", "membership_date": "2020-01-02", "as_of_date": "2020-01-02", "source_record_id": f"r{ticker}"}
+    return row | changes
+
+
+def test_licensed_list_and_reconciliation(spark, tmp_path):
+    from riskloom.sources import files
+
+    def written(*rows, columns=universe.LICENSED_COLUMNS):
+        files.write_csv(tmp_path / "a.csv", list(rows), list(columns))
+        return universe.licensed_universe(spark, str(tmp_path / "a.csv"))
+
+    rows = written(_licensed("B", gics_sector="Utilities"), _licensed("A"))
+    assert [r.ticker for r in rows.collect()] == ["A", "B"]
+    other = spark.createDataFrame([("A", "A Co", "Materials"), ("C", "Gamma", "Energy")], "ticker string, company_name string, gics_sector string")
+    found = {(r.ticker, r.finding, r.field) for r in universe.reconcile(rows, other, "ticker", ["company_name", "gics_sector"]).collect()}
+    assert found == {("A", "different", "gics_sector"), ("B", "missing", None), ("C", "extra", None)}
+    for bad in ({"gics_sector": "Cheese"}, {"as_of_date": "2020-13-01"}, {"membership_date": ""}, {"security_id": "LB"}, {"ticker": "B"}):
+        with pytest.raises(quality.ConstraintError):
+            written(_licensed("A") | bad, _licensed("B"))
+    with pytest.raises(Exception):
+        written(_licensed("A"), columns=universe.LICENSED_COLUMNS[::-1]).collect()
+
+
+def test_worksheet_is_filled_and_finalised(spark, tmp_path):
+    from riskloom.sources import files
+
+    files.write_csv(tmp_path / "c.csv", [{"ticker": t, "company_name": f"{t} Co", "gics_sector": "Energy", "gics_sub_industry": "Oil", "as_of_date": "2020-01-02"} for t in "BA"], list(universe.REFERENCE_COLUMNS))
+    candidates = universe.read_candidates(spark, str(tmp_path / "c.csv"))
+    sheet = universe.worksheet(candidates)
+    assert [r["reference_ticker"] for r in sheet] == ["A", "B"] and {r["entry_status"] for r in sheet} == {universe.PENDING}
+    path, out = str(tmp_path / "w.csv"), str(tmp_path / "out.csv")
+
+    def finalise(**changes):
+        rows = [r | {f"licensed_{k}": v for k, v in _licensed(r["reference_ticker"]).items()} for r in sheet]
+        rows[0] |= changes
+        files.write_csv(path, rows, list(universe.WORKSHEET_COLUMNS))
+        return universe.finalised_worksheet(spark, candidates, path, out, "2020-01-02")
+
+    for bad in ({"licensed_ticker": ""}, {"licensed_security_id": "SP100-20200102:A"}, {"licensed_issuer_id": "ISSUER:A"}, {"licensed_source_record_id": "wikipedia:A"}, {"reference_ticker": "Z"}, {"licensed_gics_sector": "Materials"}, {"licensed_as_of_date": "2020-01-03"}):
+        with pytest.raises(ValueError):
+            finalise(**bad)
+        assert not (tmp_path / "out.csv").exists()
+    assert finalise() == 2 and universe.licensed_universe(spark, out).count() == 2
+    manifest = lambda **c: universe.source_manifest({}, "out.csv", str(tmp_path), **({"reconciliation": {"status": "pass"}, "checks": {"x": True}, "source_name": "s", "license_reference": "l"} | c))
+    assert manifest()["provenance_status"] == "pass"
+    for bad in ({"checks": {"x": False}}, {"source_name": None}, {"reconciliation": {"status": "fail"}}):
+        assert manifest(**bad)["provenance_status"] == "pending_licensed_source"
+    files.write_csv(path, [], ["a"])
+    with pytest.raises(ValueError):
+        universe.read_worksheet(path)
 
 
 def test_protocols():
