@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -83,17 +82,17 @@ def vine_pairs(s, d):
 
 
 def gap_bootstrap(s, d):
-    """The gap of the regions' labels less that of the nations' first letters of their keys, over years of monthly returns.
-    Blocks are of 3 rows, not the protocol's 20 days: a year has at most 12 monthly rows, which one block of 20 would only rotate."""
-    wide = v.nation_returns(s, d).toPandas()
-    labels = v.nation_labels(s, d).toPandas().set_index("security")["group_id"]
-    years = {}
-    for year, own in wide.assign(year=[x.year for x in wide["date"]]).groupby("year"):
-        table = own.pivot(index="date", columns="security", values="simple_return").dropna(axis=1)
-        if table.shape[0] >= 6 and table.shape[1] >= 4:
-            codes = labels[table.columns].astype("category").cat.codes.to_numpy()
-            years[int(year)] = (table.to_numpy(float), codes, np.arange(len(codes)) % 3)
-    return bootstrap.paired_gap_bootstrap(s, years, protocol.FROZEN["inference"]["replications"], 3)
+    """The gap of the nations' regions less that of three groups of their keys, over years of monthly returns of the nations that have all
+    of a year's months. Blocks are of 3 rows, not the protocol's 20 days: a year has at most 12 monthly rows, which one block of 20
+    would only rotate."""
+    rows = v.nation_returns(s, d).withColumn("year", F.year("date"))
+    months = rows.groupBy("year").agg(F.countDistinct("date").alias("months")).where("months >= 6")
+    whole = rows.groupBy("year", "security").agg(F.count("simple_return").alias("n")).join(months, "year").where("n = months")
+    several = whole.groupBy("year").count().where("count >= 4").select("year")
+    kept = whole.join(several, "year").select("year", "security")
+    keys = v.table(s, d, "nation").select(F.col("n_name").alias("security"), (F.col("n_nationkey") % 3).cast("string").alias("given"))
+    labels = kept.join(v.nation_labels(s, d).withColumnRenamed("group_id", "cluster"), "security").join(keys, "security")
+    return bootstrap.paired_gap_bootstrap(rows.join(kept, ["year", "security"]), labels, protocol.FROZEN["inference"]["replications"], 3)
 
 
 def queries() -> dict:

@@ -239,6 +239,8 @@ def test_gap_bootstrap_has_the_protocols_replications(spark, monkeypatch):
     from riskloom.operators import bootstrap
     from riskloom.plans import modelling, protocol
 
-    monkeypatch.setattr(bootstrap, "paired_gap_bootstrap", lambda s, years, replications, length: (max(len(x[0]) for x in years.values()), replications))
-    rows, replications = modelling.gap_bootstrap(spark, "/root/testdata/sf0.01")
-    assert replications == protocol.FROZEN["inference"]["replications"] == 10_000 and rows <= 12
+    monkeypatch.setattr(bootstrap, "paired_gap_bootstrap", lambda panel, labels, replications, length: (panel, labels, replications))
+    panel, labels, replications = modelling.gap_bootstrap(spark, "/root/testdata/sf0.01")
+    assert replications == protocol.FROZEN["inference"]["replications"] == 10_000
+    counts = panel.groupBy("year").agg({"date": "max"}).count()
+    assert counts > 0 and panel.count() == panel.join(labels, ["year", "security"]).count()

@@ -166,8 +166,26 @@ def test_bootstrap_stays_within_years_and_repeats(spark):
         drawn = bootstrap.block_indices(years, 3, bootstrap.generator(5110, k))
         assert set(drawn[:2]) <= {0, 1} and set(drawn[2:]) <= {2, 3}
     rng = np.random.default_rng(1)
-    common = rng.standard_normal((60, 2))
-    x = np.column_stack([common[:, [0]] + 0.5 * rng.standard_normal((60, 3)), common[:, [1]] + 0.5 * rng.standard_normal((60, 3))])
-    data = {2020: (x, np.array([0, 0, 0, 1, 1, 1]), np.array([0, 1, 0, 1, 0, 1]))}
-    first, second = (bootstrap.paired_gap_bootstrap(spark, data, 120).first() for _ in range(2))
-    assert first == second and first.replications == 120 and 0 < first.low < first.observed < 1.2
+    common = rng.standard_normal((40, 2))
+    x = np.column_stack([common[:, [0]] + 0.5 * rng.standard_normal((40, 3)), common[:, [1]] + 0.5 * rng.standard_normal((40, 3))])
+    x[:, 5] = np.where(np.arange(40) < 34, 0.0, x[:, 5])  # constant in some candidates
+    cluster, given = np.array([0, 0, 0, 1, 1, 1]), np.array([0, 1, 0, 1, 0, 1])
+    day = lambda y, i: dt.date(y, 1, 1) + dt.timedelta(days=i)
+    panel = spark.createDataFrame([(y, day(y, i), f"s{j}", float(x[i, j])) for y in (2020, 2021) for i in range(40) for j in range(6)], "year int, date date, security string, simple_return double")
+    labels = spark.createDataFrame([(y, f"s{j}", str(cluster[j]), str(given[j])) for y in (2020, 2021) for j in range(6)], "year int, security string, cluster string, given string")
+    first, second = (bootstrap.paired_gap_bootstrap(panel, labels, 60, 10, chunks=c).first() for c in (3, 5))
+    # against a plain version: one stream, whole candidates left out
+    stream, accepted, seen = bootstrap.generator(5110, 1), [], 0
+    while len(accepted) < 60:
+        at = bootstrap.block_indices(np.repeat([2020, 2021], 40), 10, stream)
+        seen += 1
+        samples = [x[at[:40]], x[at[40:] - 40]]
+        if all((np.ptp(v, axis=0) > 0).all() for v in samples):
+            accepted.append(np.mean([bootstrap.gap(v, cluster) - bootstrap.gap(v, given) for v in samples]))
+    assert first.candidates == second.candidates == seen > 60 and first.rejected == seen - 60
+    assert [first.low, first.high] == pytest.approx(np.quantile(accepted, [0.025, 0.975])) and first.standard_error == pytest.approx(np.std(accepted, ddof=1))
+    assert first.observed == pytest.approx(bootstrap.gap(x, cluster) - bootstrap.gap(x, given)) and first.decision == "supported" and first.low == pytest.approx(second.low)
+    with pytest.raises(ValueError):
+        bootstrap.paired_gap_bootstrap(panel.limit(11), labels, 60, 10)
+    with pytest.raises(quality.ConstraintError):
+        bootstrap.paired_gap_bootstrap(panel, labels.where("security <> 's0'"), 60, 10)
