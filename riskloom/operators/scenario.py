@@ -25,6 +25,48 @@ def shock_groups(groups: DataFrame, panel: DataFrame, labels: DataFrame, securit
     return rows.withColumn("simple_return", moved).withColumn("log_return", F.log1p("simple_return")).drop("change")
 
 
+def event_return(previous_close: float, cash: float, value: float) -> float:
+    """The return of a day on which a security turns into cash and a right of some value."""
+    if not previous_close > 0:
+        raise ValueError("the close before the event must be positive")
+    return (cash + value) / previous_close - 1
+
+
+def affected_groups(labels: DataFrame, security: str, year: int) -> DataFrame:
+    """(grouping_id, group_id): the security's one group in each grouping of a year; a grouping without it, or with several, fails."""
+    own = labels.where((F.col("security") == security) & (F.col("year") == year)).groupBy("grouping_id").agg(F.count("*").alias("n"), F.first("group_id").alias("group_id"))
+    every = labels.where(F.col("year") == year).select("grouping_id").distinct()
+    require_none(every.join(own, "grouping_id", "left").where("n is null or n <> 1"), f"{security} is not in one group of each grouping")
+    return own.select("grouping_id", "group_id")
+
+
+def scenario_groups(groups: DataFrame, labels: DataFrame, panel: DataFrame, security: str, date, values: dict[str, float]) -> DataFrame:
+    """(scenario_id, grouping_id, date, group_id, simple_return, log_return, group_size): every grouping's group returns under each scenario.
+    In each, the affected group moves by the change of the stock's return over its size on that one date. values: scenario -> return."""
+    spark = groups.sparkSession
+    day = F.to_date(F.lit(date))
+    old = panel.where((F.col("security") == security) & (F.col("date") == day)).select(F.col("simple_return").alias("old"))
+    require_none(old.agg(F.count("*").alias("n")).where("n <> 1"), f"{security} on {date} is not one cell")
+    hit = affected_groups(labels, security, int(str(date)[:4]))
+    scenarios = spark.createDataFrame(list(values.items()), "scenario_id string, new double")
+    moved = hit.join(scenarios).join(old).select("scenario_id", "grouping_id", "group_id", day.alias("date"), (F.col("new") - F.col("old")).alias("change"))
+    rows = groups.join(F.broadcast(scenarios.select("scenario_id"))).join(moved, ["scenario_id", "grouping_id", "group_id", "date"], "left")
+    simple = F.col("simple_return") + F.coalesce(F.col("change") / F.col("group_size"), F.lit(0.0))
+    return rows.withColumn("simple_return", simple).select("scenario_id", "grouping_id", "date", "group_id", "simple_return", F.log1p("simple_return").alias("log_return"), "group_size")
+
+
+def portfolio_identity(shocked: DataFrame, primary: DataFrame, date, change: DataFrame, tolerance: float = 1e-12) -> DataFrame:
+    """By scenario and grouping: the largest difference between the portfolio of shocked groups and the primary portfolio moved by the
+    stock's change over the number of securities, and the largest difference on other dates, which must be none. shocked, primary
+    (grouping_id, date, simple_return, group_size; shocked also scenario_id); change (scenario_id, change)."""
+    mean = lambda df, *keys: df.groupBy(*keys, "grouping_id", "date").agg((F.sum(F.col("simple_return") * F.col("group_size")) / F.sum("group_size")).alias("r"), F.sum("group_size").alias("n"))
+    both = mean(shocked, "scenario_id").join(mean(primary).withColumnsRenamed({"r": "before", "n": "size"}), ["grouping_id", "date"]).join(change, "scenario_id")
+    day = F.col("date") == F.to_date(F.lit(date))
+    off = F.abs(F.col("r") - F.col("before") - F.when(day, F.col("change") / F.col("n")).otherwise(0.0))
+    out = both.groupBy("scenario_id", "grouping_id").agg(F.max(F.when(day, off)).alias("event_error"), F.max(F.when(~day, off)).alias("other_error"))
+    return out.withColumn("status", F.when((F.col("event_error") <= tolerance) & (F.coalesce("other_error", F.lit(0.0)) <= tolerance), "pass").otherwise("fail"))
+
+
 def scenario_differences(scenario: DataFrame, primary: DataFrame, columns: list[str]) -> DataFrame:
     """By model: mean and largest absolute differences of scores; dates that only one side has are an error."""
     a = scenario.select("date", "model_id", *[F.col(c).alias(f"s_{c}") for c in columns], F.lit(True).alias("in_s"))
