@@ -15,6 +15,7 @@ from ..operators import evaluation as ev
 from ..operators import risk
 from ..sources import views as v
 from .oracles import FORECASTS, _ll
+from .oracles import erfc as _erfc
 
 RISK = ("var_95", "var_975", "var_99", "es_975")
 #: (model or variant, portfolio, truncation level, region, factor) of each family.
@@ -197,12 +198,6 @@ def queries() -> dict:
     return out
 
 
-def _erfc(x: str) -> str:
-    """Simpson's rule with 1,000 steps."""
-    weight = "CASE WHEN i = 0 OR i = 1000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
-    return f"(1 - 2 / sqrt(pi()) * ({x}) / 3000 * list_sum(list_transform(range(0, 1001), lambda i: {weight} * exp(-pow(({x}) * i / 1000, 2)))))"
-
-
 def _members(name: str) -> str:
     family = FAMILIES[name]
     text = lambda x: "NULL" if x is None else f"'{x}'"

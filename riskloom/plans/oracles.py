@@ -117,7 +117,25 @@ l AS (SELECT *, """ + ", ".join(f"lag(c, {k}) OVER (PARTITION BY model_id, basel
 g AS (SELECT model_id, baseline_id, count(*) AS days, avg(d) AS m, (sum(c * c)""" + "".join(f" + 2 * (1 - {k} / 8.0) * coalesce(sum(c * c{k}), 0)" for k in range(1, 8)) + """) / count(*) AS v FROM l GROUP BY 1, 2),
 dm AS (SELECT model_id, baseline_id, days, m AS mean_difference, CASE WHEN v > 0 THEN m / sqrt(v / days) END AS dm_statistic FROM g)"""
 
+def erfc(x: str) -> str:
+    """The complementary error function by Simpson's rule with 1,000 steps."""
+    weight = "CASE WHEN i = 0 OR i = 1000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(1 - 2 / sqrt(pi()) * ({x}) / 3000 * list_sum(list_transform(range(0, 1001), lambda i: {weight} * exp(-pow(({x}) * i / 1000, 2)))))"
+
+
+def _calibrated() -> str:
+    total, p01, p11 = "(n00 + n01 + n10 + n11)", "(CASE WHEN n00 + n01 > 0 THEN n01 / CAST(n00 + n01 AS DOUBLE) ELSE 0 END)", "(CASE WHEN n10 + n11 > 0 THEN n11 / CAST(n10 + n11 AS DOUBLE) ELSE 0 END)"
+    together, apart = _ll("(n01 + n11)", total, f"((n01 + n11) / CAST({total} AS DOUBLE))"), f"{_ll('n01', '(n00 + n01)', p01)} + {_ll('n11', '(n10 + n11)', p11)}"
+    return f"""b AS (SELECT *, lag(hit) OVER (PARTITION BY model_id, level ORDER BY date) AS p FROM series),
+        k AS (SELECT model_id, level, count(*) AS days, CAST(sum(hit) AS BIGINT) AS exceptions, count(*) FILTER (WHERE p = 0 AND hit = 0) AS n00, count(*) FILTER (WHERE p = 0 AND hit = 1) AS n01, count(*) FILTER (WHERE p = 1 AND hit = 0) AS n10, count(*) FILTER (WHERE p = 1 AND hit = 1) AS n11 FROM b GROUP BY 1, 2),
+        r AS (SELECT *, greatest(0, -2 * ({_ll('exceptions', 'days', '(1 - level)')} - {_ll('exceptions', 'days', '(exceptions / CAST(days AS DOUBLE))')})) AS u, greatest(0, -2 * ({together} - ({apart}))) AS i FROM k)"""
+
+
 SQL = {
+    "calibration": f"""WITH {SERIES}, {_calibrated()} SELECT model_id, level, days, exceptions, n00, n01, n10, n11, round(u, 6) AS lr_uc, round(i, 6) AS lr_ind,
+        round({erfc('sqrt(u / 2)')}, 6) AS p_uc, round({erfc('sqrt(i / 2)')}, 6) AS p_ind, round(exp(-(u + i) / 2), 6) AS p_cc FROM r""",
+    "diebold_mariano_p_values": f"""WITH {_DM}, p AS (SELECT *, {erfc('abs(dm_statistic) / sqrt(2)')} AS p_value FROM dm), o AS (SELECT *, row_number() OVER (ORDER BY p_value, model_id, baseline_id) AS i, count(*) OVER () AS m FROM p)
+        SELECT model_id, baseline_id, days, round(mean_difference, 6) AS mean_difference, round(dm_statistic, 5) AS dm_statistic, round(p_value, 6) AS p_value, round(max(least(1, (m - i + 1) * p_value)) OVER (ORDER BY i), 6) AS p_holm FROM o""",
     "region_prices": f"WITH {PRICES} SELECT security, date, ticker, round(close + 1.3e-8, 6) AS close, round(high, 9) AS high, round(low, 9) AS low, volume FROM prices",
     "segment_interval_join": f"WITH {PRICES}, {SEGMENTS} SELECT g.security, p.date, p.ticker, round(p.close + 1.3e-8, 6) AS close FROM prices p JOIN segments g ON p.ticker = g.ticker AND p.date BETWEEN g.s AND g.e",
     "split_factors": f"WITH {EVENTS} SELECT security, date, round(split_factor, 6) AS split_factor, split_events FROM split_days",
@@ -129,7 +147,7 @@ SQL = {
         SELECT ev.event_id, f.security, CASE WHEN f.security IS NULL THEN 'out_of_segment' WHEN NOT f.priced THEN 'unmatched_price' WHEN f.k > 1 THEN 'duplicate_aggregated' ELSE 'applied' END AS disposition
         FROM ev LEFT JOIN fate f ON f.event_id = ev.event_id""",
     "superseded_events": f"WITH {EVENTS} SELECT event_id, security, date, factor FROM splits WHERE event_id NOT IN (SELECT event_id FROM splits WHERE event_id % 3 = 0)",
-    "numeric_integrity": f"WITH {PRICES} SELECT 0 AS non_finite, count(*) FILTER (WHERE high < close OR low > close) AS price_order, count(*) FILTER (WHERE volume < 0) AS negative_volume, count(*) AS n_rows FROM prices",
+    "numeric_integrity": f"WITH {PRICES} SELECT count(*) FILTER (WHERE day(date) = 7) AS non_finite, count(*) FILTER (WHERE day(date) <> 7 AND (high < close OR low > close)) AS price_order, count(*) FILTER (WHERE day(date) = 8 AND volume > 0) AS negative_volume, count(*) AS n_rows FROM prices",
     "coverage": f"""WITH {TOTAL}, n AS (SELECT count(DISTINCT date) AS k FROM prices)
         SELECT security, count(close) AS price_days, count(log_total_return) AS return_days, round(count(close) / CAST(any_value(k) AS DOUBLE), 6) AS price_coverage,
                round(count(log_total_return) / CAST(any_value(k) - 1 AS DOUBLE), 6) AS return_coverage,
@@ -180,13 +198,13 @@ SQL = {
     "transitions": f"""WITH {SERIES}, b AS (SELECT *, lag(hit) OVER (PARTITION BY model_id, level ORDER BY date) AS p FROM series)
         SELECT model_id, level, count(*) FILTER (WHERE p = 0 AND hit = 0) AS n00, count(*) FILTER (WHERE p = 0 AND hit = 1) AS n01, count(*) FILTER (WHERE p = 1 AND hit = 0) AS n10, count(*) FILTER (WHERE p = 1 AND hit = 1) AS n11 FROM b WHERE p IS NOT NULL GROUP BY 1, 2""",
     "diebold_mariano": f"WITH {_DM} SELECT model_id, baseline_id, days, round(mean_difference, 6) AS mean_difference, round(dm_statistic, 5) AS dm_statistic FROM dm",
-    "holm_adjustment": f"""WITH {_DM}, p AS (SELECT model_id, baseline_id, round(exp(-abs(dm_statistic)), 9) AS p FROM dm), s AS (SELECT *, least(1, (count(*) OVER () - row_number() OVER o + 1) * p) AS q, row_number() OVER o AS i FROM p WINDOW o AS (ORDER BY p, model_id, baseline_id)),
+    "holm_adjustment": f"""WITH {_DM}, p AS (SELECT model_id, baseline_id, {erfc('abs(dm_statistic) / sqrt(2)')} AS p FROM dm), s AS (SELECT *, least(1, (count(*) OVER () - row_number() OVER o + 1) * p) AS q, row_number() OVER o AS i FROM p WINDOW o AS (ORDER BY p, model_id, baseline_id)),
         h AS (SELECT *, max(q) OVER (ORDER BY i) AS p_holm, least(1, min(p * (SELECT count(*) FROM p) / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_bh FROM s)
         SELECT model_id, baseline_id, round(p, 6) AS p, round(p_holm, 6) AS p_holm, round(p_bh, 6) AS p_bh FROM h""",
     "calendar_rebalance": f"WITH {EXITS} SELECT CAST(year(date) AS INTEGER) AS year, min(date) AS rebalance_date FROM calendar GROUP BY 1",
     "reshape_wide": f"""WITH {GROUPS} SELECT date, round(max(CASE WHEN group_id = 'AFRICA' THEN r END), 8) AS AFRICA, round(max(CASE WHEN group_id = 'AMERICA' THEN r END), 8) AS AMERICA,
         round(max(CASE WHEN group_id = 'ASIA' THEN r END), 8) AS ASIA, round(max(CASE WHEN group_id = 'EUROPE' THEN r END), 8) AS EUROPE, round(max(CASE WHEN group_id = 'MIDDLE EAST' THEN r END), 8) AS "MIDDLE EAST" FROM groups GROUP BY date""",
-    "key_differences": "SELECT c_mktsegment AS segment, count(*) AS customers FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY 1",
+    "key_differences": "SELECT c_mktsegment AS segment, count(*) AS customers FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000) GROUP BY 1",
     "extreme_days_top": f"WITH {RETURNS} SELECT security, date, round(r, 6) AS simple_return FROM (SELECT *, row_number() OVER (PARTITION BY security ORDER BY r DESC, date) AS k FROM returns WHERE r IS NOT NULL) WHERE k <= 5",
     "stock_shock": f"WITH {NATIONS} SELECT security, date, round(CASE WHEN security = 'NATION_1' AND date = DATE '1996-03-01' THEN 0.5 ELSE r END, 8) AS simple_return FROM panel",
     "group_shock": f"""WITH {NATIONS}, shocked AS (SELECT security, date, CASE WHEN security = 'NATION_1' AND date = DATE '1996-03-01' THEN 0.5 ELSE r END AS r FROM panel)

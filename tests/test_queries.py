@@ -20,21 +20,31 @@ def _plain(rows):
     return sorted(tuple(map(cell, r)) for r in rows)
 
 
+#: Parts of names of queries that need more days than the smallest tables have.
+LONGER = ("rolling", "daily_scores", "risk_model", "coverage", "transitions", "calibration", "diebold", "holm", "best_model", "accuracy", "summaries", "hypothesis", "log_scores", "forecast", "annual_", "refit_tasks")
+
+
 @pytest.fixture(scope="module")
 def duck(small):
-    c = duckdb.connect()
-    for t in TABLES:
-        c.sql(f"create view {t} as select * from '{small}/{t}.parquet'")
-    return c
+    def connected(folder):
+        c = duckdb.connect()
+        for t in TABLES:
+            c.sql(f"create view {t} as select * from '{folder}/{t}.parquet'")
+        return c
+
+    return {folder: connected(folder) for folder in (small, "/root/testdata/sf0.01")}
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_matches_its_sql(spark, small, duck, name):
-    df = registry.queries()[name](spark, small)
+    folder = "/root/testdata/sf0.01" if any(x in name for x in LONGER) else small
+    df = registry.queries()[name](spark, folder)
     columns = sorted(df.columns)
-    expected = duck.sql(registry.oracle_sql()[name])
+    expected = duck[folder].sql(registry.oracle_sql()[name])
     assert sorted(expected.columns) == columns
-    assert _plain(tuple(r) for r in df.select(*[f"`{c}`" for c in columns]).collect()) == _plain(expected.select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall())
+    found = _plain(tuple(r) for r in df.select(*[f"`{c}`" for c in columns]).collect())
+    assert found == _plain(expected.select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall())
+    assert found or folder == small
 
 
 def test_daily_files_and_event_documents(spark, tmp_path):
