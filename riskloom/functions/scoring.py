@@ -6,13 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _accepted(value: Column, ok: Column, what: str) -> Column:
+    """The value where ``ok``, null where it is null, else an error."""
+    return F.when(value.isNull() | ok, value).otherwise(F.raise_error(F.lit(what)).cast("double"))
+
+
 def simple_return(log_return: Column) -> Column:
-    return F.expm1(log_return)
+    """A log return whose simple return is infinite or not a number is an error."""
+    out = F.expm1(log_return)
+    return _accepted(out, ~F.isnan(out) & (out != float("inf")), "a simple return is not finite")
 
 
 def log_return(simple: Column) -> Column:
-    """Null where the return is -1 or less."""
-    return F.when(simple > -1, F.log1p(simple))
+    """A return of -1 or less is an error."""
+    return F.log1p(_accepted(simple, simple > -1, "a simple return is -1 or less"))
 
 
 def realised_loss(simple: Column) -> Column:

@@ -128,12 +128,12 @@ def _calibrated() -> str:
     together, apart = _ll("(n01 + n11)", total, f"((n01 + n11) / CAST({total} AS DOUBLE))"), f"{_ll('n01', '(n00 + n01)', p01)} + {_ll('n11', '(n10 + n11)', p11)}"
     return f"""b AS (SELECT *, lag(hit) OVER (PARTITION BY model_id, level ORDER BY date) AS p FROM series),
         k AS (SELECT model_id, level, count(*) AS days, CAST(sum(hit) AS BIGINT) AS exceptions, count(*) FILTER (WHERE p = 0 AND hit = 0) AS n00, count(*) FILTER (WHERE p = 0 AND hit = 1) AS n01, count(*) FILTER (WHERE p = 1 AND hit = 0) AS n10, count(*) FILTER (WHERE p = 1 AND hit = 1) AS n11 FROM b GROUP BY 1, 2),
-        r AS (SELECT *, greatest(0, -2 * ({_ll('exceptions', 'days', '(1 - level)')} - {_ll('exceptions', 'days', '(exceptions / CAST(days AS DOUBLE))')})) AS u, greatest(0, -2 * ({together} - ({apart}))) AS i FROM k)"""
+        r AS (SELECT *, greatest(0, -2 * ({_ll('exceptions', 'days', '(1 - level)')} - {_ll('exceptions', 'days', '(exceptions / CAST(days AS DOUBLE))')})) AS u, greatest(0, -2 * ({together} - ({apart}))) AS w FROM k)"""
 
 
 SQL = {
-    "calibration": f"""WITH {SERIES}, {_calibrated()} SELECT model_id, level, days, exceptions, n00, n01, n10, n11, round(u, 6) AS lr_uc, round(i, 6) AS lr_ind,
-        round({erfc('sqrt(u / 2)')}, 6) AS p_uc, round({erfc('sqrt(i / 2)')}, 6) AS p_ind, round(exp(-(u + i) / 2), 6) AS p_cc FROM r""",
+    "calibration": f"""WITH {SERIES}, {_calibrated()} SELECT model_id, level, days, exceptions, n00, n01, n10, n11, round(u, 6) AS lr_uc, round(w, 6) AS lr_ind,
+        round({erfc('sqrt(u / 2)')}, 6) AS p_uc, round({erfc('sqrt(w / 2)')}, 6) AS p_ind, round(exp(-(u + w) / 2), 6) AS p_cc FROM r""",
     "diebold_mariano_p_values": f"""WITH {_DM}, p AS (SELECT *, {erfc('abs(dm_statistic) / sqrt(2)')} AS p_value FROM dm), o AS (SELECT *, row_number() OVER (ORDER BY p_value, model_id, baseline_id) AS i, count(*) OVER () AS m FROM p)
         SELECT model_id, baseline_id, days, round(mean_difference, 6) AS mean_difference, round(dm_statistic, 5) AS dm_statistic, round(p_value, 6) AS p_value, round(max(least(1, (m - i + 1) * p_value)) OVER (ORDER BY i), 6) AS p_holm FROM o""",
     "region_prices": f"WITH {PRICES} SELECT security, date, ticker, round(close + 1.3e-8, 6) AS close, round(high, 9) AS high, round(low, 9) AS low, volume FROM prices",

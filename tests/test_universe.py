@@ -189,3 +189,31 @@ def test_bootstrap_stays_within_years_and_repeats(spark):
         bootstrap.paired_gap_bootstrap(panel.limit(11), labels, 60, 10)
     with pytest.raises(quality.ConstraintError):
         bootstrap.paired_gap_bootstrap(panel, labels.where("security <> 's0'"), 60, 10)
+
+
+def test_returns_that_cannot_be_are_errors(spark):
+    from riskloom.functions import scoring
+
+    rows = spark.createDataFrame([(0.1,), (None,)], "x double").select(scoring.simple_return(F.col("x")).alias("s"), scoring.log_return(F.col("x")).alias("l")).collect()
+    assert rows[0].s == pytest.approx(np.expm1(0.1)) and rows[0].l == pytest.approx(np.log1p(0.1)) and rows[1].s is rows[1].l is None
+    for value, f in ((1e6, scoring.simple_return), (-1.0, scoring.log_return), (-2.0, scoring.log_return)):
+        with pytest.raises(Exception, match="simple return"):
+            spark.createDataFrame([(value,)], "x double").select(f(F.col("x"))).collect()
+
+
+def test_a_failed_write_leaves_the_old_file(spark, tmp_path):
+    from riskloom.sources import files
+
+    files.write_text(tmp_path / "a.txt", "old")
+    with pytest.raises(RuntimeError):
+        with files.sibling(tmp_path / "a.txt") as fresh:
+            fresh.write_text("half")
+            raise RuntimeError
+    assert (tmp_path / "a.txt").read_text() == "old" and [p.name for p in tmp_path.iterdir()] == ["a.txt"]
+    path = str(tmp_path / "t")
+    files.write_parquet(spark.range(3), path)
+    with pytest.raises(Exception):
+        files.write_parquet(spark.range(5).selectExpr("raise_error('no') as x"), path)
+    assert spark.read.parquet(path).count() == 3
+    files.write_parquet(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5 and not (tmp_path / "t.old").exists()
