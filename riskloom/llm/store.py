@@ -12,6 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; in local mode, where it is unset, a temporary folder is set once."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,9 +34,19 @@ def write_table(df: DataFrame) -> str:
     """Write the rows below the shared folder and return the path."""
     path = f"{shared_folder(df.sparkSession)}/riskloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return path
 
 
+def clear(spark: SparkSession) -> int:
+    """Deletes the tables that this process has written, once nothing reads them any more; how many there were."""
+    jvm, count = spark._jvm, len(_made)
+    while _made:
+        target = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return count
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """The same rows, read back from a table in the shared folder."""
     return df.sparkSession.read.schema(df.schema).parquet(write_table(df))

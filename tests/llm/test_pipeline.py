@@ -1,6 +1,8 @@
 """The pipeline's stages on a small table, each against what it must keep, and the registered queries."""
 
 import __spark_entry__ as entry
+import pytest
+
 import corpus_pipeline
 from riskloom.llm.store import materialize
 
@@ -91,3 +93,12 @@ def test_near_copies_stage_against_brute_force(spark, small, monkeypatch):
         assert found == {k: root(k) for k in texts}
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, small).collect()}
     assert kept == {k for k in texts if root(k) == k} and not any({a, b} <= kept for a, b in pairs)
+
+
+def test_tables_of_a_session_can_be_cleared(spark):
+    from riskloom.llm import store
+
+    path = store.write_table(spark.range(3))
+    assert spark.read.parquet(path).count() == 3 and store.clear(spark) >= 1 and store.clear(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
