@@ -18,15 +18,18 @@ def variance_filter(stream: DataFrame, smoothing: float = 0.94, start_variance:
 
     def each(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         count, mean, variance = state.get if state.exists else (0, 0.0, start_variance)
-        rows = []
-        for _, r in pd.concat(list(batches)).sort_values("ts").iterrows():
-            error = r["value"] - mean
-            rows.append((key[0], r["ts"], r["value"], mean, variance, error / variance**0.5))
+        pdf = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        means, variances = [], []
+        for value in pdf["value"].tolist():  # a recursion: each value is filtered with what was known before it
+            means.append(mean)
+            variances.append(variance)
+            error = value - mean
             count += 1
             mean += error / count
             variance = smoothing * variance + (1 - smoothing) * error * error
         state.update((count, float(mean), float(variance)))
-        yield pd.DataFrame(rows, columns=[x.split()[0] for x in FILTERED.split(", ")])
+        out = pd.DataFrame({"group_id": key[0], "ts": pdf["ts"].to_numpy(), "value": pdf["value"].to_numpy(float), "mean": means, "variance": variances})
+        yield out.assign(residual=(out["value"] - out["mean"]) / out["variance"] ** 0.5)
 
     return stream.groupBy("group_id").applyInPandasWithState(each, FILTERED, "count long, mean double, variance double", "append", GroupStateTimeout.NoTimeout)
 
@@ -35,6 +38,6 @@ def without_repeats(stream: DataFrame, keys: list[str], ts: str = "ts", delay: s
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def monthly_totals(stream: DataFrame, delay: str = "1 day") -> DataFrame:
+def daily_totals(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     """Tumbling day windows by group, closed by the watermark."""
     return stream.withWatermark("ts", delay).groupBy(F.window("ts", "1 day"), "group_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
