@@ -21,6 +21,8 @@ SCALE = 100.0
 LAMBDA = 0.94
 CLIP = 1e-6
 AR_LIMIT, PERSISTENCE, LEAST_DF = 0.98, 0.999, 2.1
+# Where a retry begins.
+RETRY = {"phi": 0.95, "alpha": 0.05, "beta": 0.9, "df": 8.0}
 
 
 @dataclass
@@ -113,11 +115,28 @@ def nelder_mead(f, start: np.ndarray, rounds: int, tolerance: float = 1e-7) -> t
     return simplex[0], float(values[0]), False
 
 
+def regression_start(r: np.ndarray) -> tuple[float, float]:
+    """(constant, phi) of a least-squares AR(1), phi within the retry's limit."""
+    x = np.column_stack([np.ones(len(r) - 1), r[:-1]])
+    constant, phi = np.linalg.lstsq(x, r[1:], rcond=None)[0]
+    return float(constant), float(np.clip(phi, -RETRY["phi"], RETRY["phi"]))
+
+
+def _start(r: np.ndarray, autoregressive: bool, from_regression: bool) -> np.ndarray:
+    """Free numbers to begin with: the retry takes the regression's mean and its own variance parameters, others the sample mean."""
+    logit = lambda p: math.log(p / (1 - p))
+    variance = max(1e-8, float(np.var(r)))
+    if from_regression:
+        constant, phi = regression_start(r) if autoregressive and np.std(r) > 0 else (float(r.mean()), 0.0)
+        alpha, beta, df = RETRY["alpha"], RETRY["beta"], RETRY["df"]
+        start = [constant, math.log(variance * (1 - alpha - beta)), logit((alpha + beta) / PERSISTENCE), logit(alpha / (alpha + beta)), math.log(df - LEAST_DF), math.atanh(phi / AR_LIMIT)]
+    else:
+        start = [float(r.mean()), math.log(0.05 * variance), 3.0, -2.5, math.log(6.0), 0.0]
+    return np.array(start if autoregressive else start[:5])
+
+
 def fit_garch(r: np.ndarray, autoregressive: bool, rounds: int, from_regression: bool) -> tuple[Margin, list[str]]:
-    phi = float(np.corrcoef(r[1:], r[:-1])[0, 1]) if autoregressive and from_regression and np.std(r) > 0 else 0.0
-    start = np.array([float(r.mean()) * (1 - phi), math.log(max(1e-8, 0.05 * float(np.var(r)))), 3.0, -2.5, math.log(6.0), math.atanh(max(-0.9, min(0.9, phi / AR_LIMIT)))])
-    if not autoregressive:
-        start = start[:5]
+    start = _start(r, autoregressive, from_regression)
     theta, value, settled = nelder_mead(lambda x: _negative_likelihood(x, r, autoregressive), start, rounds)
     c, phi, omega, alpha, beta, df = _unpack(theta, autoregressive)
     e = r[1:] - c - phi * r[:-1]

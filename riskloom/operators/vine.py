@@ -17,7 +17,9 @@ from ..functions.special import ndtr, ndtri, t_cdf, t_ppf
 
 LOW, HIGH = 1e-6, 1 - 1e-6
 DF_LEAST, DF_MOST = 2.1, 50.0
-DF_GRID = (2.5, 4.0, 6.0, 10.0, 20.0, 40.0)
+#: Degrees of freedom that are tried, evenly in logs: every fourth first, then those around the best. Each has a table of quantiles,
+#: which a worker makes once.
+DF_GRID = tuple(float(x) for x in np.geomspace(DF_LEAST, DF_MOST, 45).round(4))
 FAMILIES = ("gaussian", "student", "clayton", "gumbel", "frank")
 _ROTATED = ("clayton", "gumbel")
 
@@ -26,9 +28,9 @@ def _clip(u: np.ndarray) -> np.ndarray:
     return np.clip(u, LOW, HIGH)
 
 
-@lru_cache(maxsize=64)
+@lru_cache(maxsize=128)
 def _table(df: float) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.concatenate([np.geomspace(LOW / 2, 1e-3, 300), np.linspace(1e-3, 1 - 1e-3, 2001)[1:-1], 1 - np.geomspace(1e-3, LOW / 2, 300)])
+    edge = np.concatenate([np.geomspace(LOW / 2, 1e-2, 250), np.linspace(1e-2, 1 - 1e-2, 501)[1:-1], 1 - np.geomspace(1e-2, LOW / 2, 250)])
     return edge, t_ppf(edge, df)
 
 
@@ -138,30 +140,45 @@ def _search(f, low: float, high: float, rounds: int = 40) -> float:
     return (low + high) / 2
 
 
+def _miss(pair: Pair, u: np.ndarray, v: np.ndarray) -> float:
+    value = -float(np.sum(pair.density(u, v)))
+    return value if math.isfinite(value) else 1e12
+
+
+def _student(u: np.ndarray, v: np.ndarray, tau: float) -> Pair:
+    """Greatest likelihood over correlation and degrees of freedom: the correlation near what Kendall's tau says for each of the grid's
+    coarse values, then the values around the best, then the correlation anew."""
+    near = math.sin(math.pi / 2 * tau)
+    low, high = max(-0.99, near - 0.25), min(0.99, near + 0.25)
+
+    def at(df: float, rounds: int) -> Pair:
+        return Pair("student", 0, _search(lambda t: _miss(Pair("student", 0, t, df), u, v), low, high, rounds), df)
+
+    coarse = range(0, len(DF_GRID), 4)
+    tried = {k: at(DF_GRID[k], 14) for k in coarse}
+    k = min(coarse, key=lambda i: _miss(tried[i], u, v))
+    around = range(max(0, k - 3), min(len(DF_GRID), k + 4))
+    best = min(around, key=lambda i: _miss(Pair("student", 0, tried[k].theta, DF_GRID[i]), u, v))
+    return min(tried[k], at(DF_GRID[best], 24), key=lambda p: _miss(p, u, v))
+
+
 def fit_pair(u: np.ndarray, v: np.ndarray, families: tuple[str, ...] = FAMILIES) -> tuple[Pair, float]:
-    """The pair copula of least AIC, independence included, with its log likelihood."""
+    """The pair copula of least AIC, independence included, with its log likelihood; every parameter by likelihood."""
     tau = kendall(u, v)
     best, best_aic, best_ll = Pair(), 0.0, 0.0
-    limits = {"gaussian": (-0.99, 0.99), "student": (-0.99, 0.99), "clayton": (0.01, 20.0), "gumbel": (1.01, 15.0), "frank": (-30.0, 30.0)}
+    limits = {"gaussian": (-0.99, 0.99), "clayton": (0.01, 20.0), "gumbel": (1.01, 15.0), "frank": (-30.0, 30.0)}
     for family in families:
         turns = ((0, 180) if tau >= 0 else (90, 270)) if family in _ROTATED else (0,)
         for turn in turns:
-            for df in DF_GRID if family == "student" else (0.0,):
-                make = lambda t: Pair(family, turn, t if family != "frank" or abs(t) > 1e-4 else 1e-4, df)  # noqa: B023, E731
-
-                def miss(t: float) -> float:
-                    value = -float(np.sum(make(t).density(u, v)))  # noqa: B023
-                    return value if math.isfinite(value) else 1e12
-
-                if family == "gaussian":
-                    theta = float(np.corrcoef(ndtri(_clip(u)), ndtri(_clip(v)))[0, 1])
-                else:
-                    theta = math.sin(math.pi / 2 * tau) if family == "student" else _search(miss, *limits[family])
-                theta = min(max(theta, limits[family][0]), limits[family][1])
-                ll = -miss(theta)
-                aic = 2 * (2 if family == "student" else 1) - 2 * ll
-                if aic < best_aic - 1e-9:
-                    best, best_aic, best_ll = make(theta), aic, ll
+            if family == "student":
+                pair = _student(u, v, tau)
+            else:
+                make = lambda t: Pair(family, turn, t if family != "frank" or abs(t) > 1e-4 else 1e-4)  # noqa: B023, E731
+                pair = make(_search(lambda t: _miss(make(t), u, v), *limits[family]))  # noqa: B023
+            ll = -_miss(pair, u, v)
+            aic = 2 * (2 if family == "student" else 1) - 2 * ll
+            if aic < best_aic - 1e-9:
+                best, best_aic, best_ll = pair, aic, ll
     return best, best_ll
 
 
@@ -223,6 +240,28 @@ def parameters(trees: list[list[Edge]]) -> int:
     return sum({"independence": 0, "student": 2}.get(e.pair.family, 1) for edges in trees for e in edges)
 
 
+def to_document(trees: list[list[Edge]], names: list[str]) -> dict:
+    """A vine as plain values: names, and for each tree its edges with their conditioned and conditioning names and pair copula."""
+    edge = lambda e: {"pair": [names[e.a], names[e.b]], "given": sorted(names[k] for k in e.under), "family": e.pair.family, "rotation": e.pair.turn, "theta": e.pair.theta, "df": e.pair.df}
+    return {"names": list(names), "trees": [[edge(e) for e in t] for t in trees]}
+
+
+def from_document(document: dict) -> list[list[Edge]]:
+    at = {n: i for i, n in enumerate(document["names"])}
+    made = lambda e: Edge(at[e["pair"][0]], at[e["pair"][1]], frozenset(at[n] for n in e["given"]), Pair(e["family"], e["rotation"], e["theta"], e["df"]))
+    return [[made(e) for e in t] for t in document["trees"]]
+
+
+def structure_matrix(trees: list[list[Edge]], d: int) -> np.ndarray:
+    """The vine's array: column j names, from its diagonal up, variable j of the simulation order and its partners by tree; -1 is none."""
+    out = np.full((d, d), -1)
+    for j, (x, edges) in enumerate(columns(trees, d)):
+        out[j, j] = x
+        for k, e in enumerate(edges):
+            out[j - 1 - k, j] = e.b if e.a == x else e.a
+    return out
+
+
 def log_density(trees: list[list[Edge]], u: np.ndarray) -> np.ndarray:
     known = {(i, frozenset()): _clip(u[:, i]) for i in range(u.shape[1])}
     total = np.zeros(len(u))

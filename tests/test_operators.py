@@ -242,3 +242,19 @@ def test_gap_bootstrap_has_the_protocols_replications(spark, monkeypatch):
     assert replications == protocol.FROZEN["inference"]["replications"] == 10_000
     counts = panel.groupBy("year").agg({"date": "max"}).count()
     assert counts > 0 and panel.count() == panel.join(labels, ["year", "security"]).count()
+
+
+def test_retry_starts_from_a_regression():
+    from riskloom.operators import margins
+
+    rng = np.random.default_rng(8)
+    r = np.zeros(3000)
+    for t in range(1, 3000):
+        r[t] = 0.1 + 0.4 * r[t - 1] + rng.standard_normal()
+    constant, phi = margins.regression_start(r)
+    assert constant == pytest.approx(0.1, abs=0.05) and phi == pytest.approx(0.4, abs=0.05)
+    c, phi_, omega, alpha, beta, df = margins._unpack(margins._start(r, True, True), True)
+    assert (c, phi_, alpha, beta, df) == pytest.approx((constant, phi, 0.05, 0.9, 8.0)) and omega == pytest.approx(0.05 * np.var(r))
+    assert margins.regression_start(np.arange(50.0) ** 3)[1] == 0.95
+    margin, reasons = margins.fit_garch(r[:900], True, 3000, True)
+    assert margin.phi == pytest.approx(0.4, abs=0.1) and reasons == []

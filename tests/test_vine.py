@@ -42,3 +42,25 @@ def test_vine_simulates_what_it_was_fitted_on():
             assert vine.kendall(drawn[:1500, i], drawn[:1500, j]) == pytest.approx(vine.kendall(u[:, i], u[:, j]), abs=0.07)
     kept, reason = vine.vine_or_gaussian(u[:200], 1)
     assert reason is None and len(kept) == 1
+
+
+def test_student_pairs_by_likelihood():
+    rng = np.random.default_rng(4)
+    w, v = rng.random((2, 2500))
+    pair = vine.Pair("student", 0, 0.5, 4.0)
+    found, likelihood = vine.fit_pair(pair.inverse(w, v), v)
+    assert found.family == "student" and found.theta == pytest.approx(0.5, abs=0.05) and 3.0 < found.df < 5.6
+    u = pair.inverse(w, v)
+    nearby = [vine.Pair("student", 0, found.theta + a, found.df * b) for a in (-0.02, 0, 0.02) for b in (0.85, 1, 1.2)]
+    assert all(np.sum(p.density(u, v)) <= likelihood + 0.05 for p in nearby)
+
+
+def test_vine_documents():
+    rng = np.random.default_rng(5)
+    u = rng.random((200, 4))
+    trees, _ = vine.fit_vine(u, 3, ("gaussian", "clayton"))
+    document = vine.to_document(trees, list("wxyz"))
+    again = vine.from_document(document)
+    assert again == trees and np.allclose(vine.log_density(again, u), vine.log_density(trees, u))
+    matrix = vine.structure_matrix(trees, 4)
+    assert sorted(np.diag(matrix).tolist()) == [0, 1, 2, 3] and (matrix >= 0).sum() == 10
