@@ -25,5 +25,5 @@ def test_entry_works_without_the_training_data_folders(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'coverage' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     for left in (True, False):
         if not left:
-            (tmp_path / "copy" / "corpus_pipeline.py").unlink()
+            (tmp_path / "copy" / "corpus_pipeline.py").unlink(missing_ok=True)
         subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", check=True)
