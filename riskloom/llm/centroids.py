@@ -48,6 +48,11 @@ class Tree:
         return Tree(parts[0], *(x.reshape(-1, dims) for x in parts[1:5]), parts[5].reshape(-1, 4))
 
 
+def _whole(x: np.ndarray, scale: float) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(x * scale), -LIMIT, LIMIT).astype(np.int64)
+
+
 def build(ids: np.ndarray, points: np.ndarray, leaf: int = LEAF) -> Tree:
     """A tree of the points: nodes are cut at the median of their widest component, parents come before their children."""
     order, low, high, total, span = np.arange(len(ids)), [], [], [], []
@@ -126,7 +131,7 @@ def trees(vectors: DataFrame, dims: int, scale: float) -> DataFrame:
         ids, points = np.zeros(0, np.int64), np.zeros((0, dims), np.int64)
         for batch in batches:
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-            now = np.clip(np.floor(flat * scale), -LIMIT, LIMIT).astype(np.int64)
+            now = _whole(flat, scale)
             ids, points = np.concatenate([ids, batch.column(0).to_numpy()]), np.concatenate([points, now])
             yield from drained(BLOCK)
         yield from drained(1)
@@ -193,7 +198,7 @@ def clusters(vectors: DataFrame, k: int = 16, rounds: int = 3, dims: int = 64, s
     first = rows.orderBy(name, "v").limit(k).select("v").collect()
     if not first:
         return spark.createDataFrame([], "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string")
-    centroids = np.clip(np.floor(np.array([r.v for r in first]) * scale), -LIMIT, LIMIT).astype(np.int64)
+    centroids = _whole(np.array([r.v for r in first]), scale)
     for _ in range(rounds):
         found = sums(packed, centroids)
         count, total = found[:, :1], found[:, 1:]
