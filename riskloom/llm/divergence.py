@@ -23,7 +23,7 @@ DOCUMENTS, TERMS = 30, 50
 #: What every count is raised by, and the unit of shares.
 RAISE, UNIT = 5, 1_000_000_000
 #: Terms that a task holds before it sends their counts on.
-HELD = 200_000
+HELD = 400_000
 #: Sources of a term's postings that meet those of another such block in one row.
 POSTINGS = 64
 #: Letters as they are, A-Z as a-z, all other ASCII as blanks.
@@ -43,9 +43,9 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
         def drained() -> Iterator[pa.RecordBatch]:
             for (lang, source), own in words.items():
-                names, n = list(own), len(own)
+                n, spread = len(own), rows[lang, source]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(names, pa.binary()).cast(pa.string()), pa.array(list(own.values()), pa.int64()), pa.array([rows[lang, source][x] for x in names], pa.int64())],
+                    [pa.repeat(lang, n), pa.repeat(source, n), pa.array(own, pa.binary()).cast(pa.string()), pa.array(own.values(), pa.int64()), pa.array(map(spread.__getitem__, own), pa.int64())],
                     ["lang", "source", "term", "n", "docs"],
                 )
             words.clear()
@@ -63,7 +63,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     parted = docs.select(_named("lang"), _named("source"), F.col("text").cast("string").cast("binary").alias("text"))
     counted = parted.mapInArrow(each, "lang string, source string, term string, n long, docs long")
-    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # a term's rows are few, as tasks have counted them, so one shuffle serves these sums and those of the language
+    return counted.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _named(column: str) -> Column:
@@ -79,7 +80,7 @@ def index(docs: DataFrame, documents: int = DOCUMENTS) -> tuple[DataFrame, DataF
     """(groups, postings). groups (lang, source, i, v, zero): the sources of each language, numbered; how many terms the language
     keeps; the share of a term that the source lacks (null if no term is kept). postings (lang, i, source, term, p, q): the share
     of each kept term that the source has, there and in the language."""
-    counts = materialize(occurrences(docs))
+    counts = occurrences(docs)
     own = Window.partitionBy("lang", "term")
     with_totals = counts.withColumn("spread", F.sum("docs").over(own)).withColumn("total", F.sum("n").over(own))
     kept = materialize(with_totals.where(F.col("spread") >= documents).select("lang", "source", "term", "n", "total"))
