@@ -10,8 +10,9 @@ frequent, all shared ones are, and the first J of them lie in prefixes extended
 other both sets together have a gap of at most 2 + (E + E') / (J - 1). So combinations of two frequent tokens that lie so near are indexed, a
 number in proportion to the set's size, in place of the long lists of frequent tokens.
 
-Members of an index cell that can be similar by their sizes and by what is left of both sets are proposed: first those next to each other,
-then those some places on, then chunks of the cell against chunks, each time without pairs that links have joined already.
+Members of an index cell that can be similar by their sizes and by what is left of both sets are proposed: first those next to each other in a
+few cells of each set, then those next to each other in all, those some places on, and chunks of a cell against chunks, each time without
+pairs that links have joined or that were compared already.
 Whole texts decide. A cell's chunks meet in tasks of their own, and rows of one size and place are ruled out as one.
 """
 
@@ -37,22 +38,19 @@ RARE = 64
 EXTEND = 10
 #: Rows of a cell that follow in the first two rounds; rows of a chunk in the last.
 NEAR, CHUNK = (2, 32), 1024
+#: Cells of a set that are looked at before all others; pairs that a task holds before it sends them on.
+ANCHORS, PAIRS = 4, 1_000_000
 #: Tokens and sets that a task holds before it packs them, and about how many a range of token values has.
 HELD, HELD_SETS, RANGE = 4_000_000, 60_000, 2_000_000
-#: Bits of a token's value within its range; words that a task keeps the hashes of.
-BITS, CACHED = 28, 1_000_000
+#: Bits of a token's value within its range, as long as there are fewer than 2^20 ranges.
+BITS = 28
+#: Bytes of a text that are hashed at once.
+PIECE = 1 << 20
 
-_FACTOR, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
-
-
-class _Words(dict):
-    """Hashes of words, as they are met."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHED:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word, SEED)
-        return value
+_FACTOR, _TURN, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(29), np.uint64(0xD6E8FEB86659FD93)
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_BYTES = np.random.default_rng(SEED).integers(1, np.iinfo(np.uint64).max, 256, np.uint64)
+_BYTES[ord("A") : ord("Z") + 1] = _BYTES[ord("a") : ord("z") + 1]
 
 
 def _mixed(state: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -60,17 +58,52 @@ def _mixed(state: np.ndarray, value: np.ndarray) -> np.ndarray:
     return out ^ (out >> _TURN)
 
 
-def tokens(text: bytes | None, known: _Words, words: int = WORDS) -> np.ndarray:
+class _Powers:
+    """Powers of the factor and of its inverse modulo 2^64, as many as were needed."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            self.up, self.down = (np.cumprod(np.r_[np.uint64(1), np.full(2 * n, x, np.uint64)]) for x in (_STEP, np.uint64(pow(int(_STEP), -1, 1 << 64))))
+        return self.up[:n], self.down[:n]
+
+
+_POWERS = _Powers()
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A hash of each word: what its bytes add to a running polynomial, taken back to the word's start. A-Z count as a-z."""
+    out, at = [], 0
+    while at < len(text):
+        end = at + PIECE
+        while end < len(text) and not _BLANK[text[end]]:  # a piece ends between words
+            end += 1
+        piece = np.frombuffer(text, np.uint8)[at:end]
+        inside = np.zeros(len(piece) + 2, np.int8)
+        inside[1:-1] = ~_BLANK[piece]
+        turns = np.diff(inside)
+        starts, ends = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
+        up, down = _POWERS.upto(len(piece))
+        running = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(_BYTES[piece] * up, out=running[1:])
+        out.append(_mixed((running[ends] - running[starts]) * down[starts], (ends - starts).astype(np.uint64)))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def tokens(text: bytes | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the word sequences of UTF-8 text, only A-Z lower-cased; fewer words are one sequence, none give none."""
-    parts = text.lower().split() if text else []
-    if not parts:
-        return np.zeros(0, np.uint64)
-    own = np.fromiter(map(known.__getitem__, parts), np.uint64, len(parts))
-    many = max(len(parts) - words + 1, 1)
-    state = np.full(many, min(len(parts), words), np.uint64)
-    for j in range(min(len(parts), words)):
+    own = word_hashes(text) if text else np.zeros(0, np.uint64)
+    if not len(own):
+        return own
+    many, length = max(len(own) - words + 1, 1), min(len(own), words)
+    state = np.full(many, length, np.uint64)
+    for j in range(length):
         state = _mixed(state, own[j : j + many])
-    return np.unique(state)
+    state.sort()
+    return state[np.r_[True, state[1:] != state[:-1]]]
 
 
 def misses(n, percent: int = PERCENT):
@@ -113,11 +146,10 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
     """(doc_id, mark, node, n): the hash of each text's set and its size."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
         for batch in batches:
             nodes, sizes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for i, text in enumerate(batch.column(2)):
-                own = tokens(text.as_py(), known, words)
+                own = tokens(text.as_py(), words)
                 nodes[i], sizes[i] = _node(own), len(own)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array(sizes)], ["doc_id", "mark", "node", "n"])
 
@@ -131,32 +163,35 @@ def _node(own: np.ndarray) -> int:
 def _packed(texts: DataFrame, words: int, bits: int) -> DataFrame:
     """(bucket, nodes, who, value, wide): for each of 2^bits ranges of token values, the sets of a task that have tokens in it, whose
     each token is, and the steps from value to value."""
+    within = min(BITS, 48 - bits)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, names = _Words(), {}, ["bucket", "nodes", "who", "value", "wide"]
+        held, names = {}, ["bucket", "nodes", "who", "value", "wide"]
 
         def drained() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            nodes, sets = np.fromiter(held, np.int64, len(held)), list(held.values())
-            every, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-            order = np.argsort(every)
-            every, who = every[order], who[order]
-            value = (every >> np.uint64(64 - bits - BITS)).astype(np.int64)
-            cuts = np.searchsorted(value >> BITS, np.arange((1 << bits) + 1))
+            nodes, sizes = np.fromiter(held, np.int64, len(held)), [len(x) for x in held.values()]
+            # a token's value and whose it is in one number, which sorts much faster than rows
+            rows = np.concatenate(list(held.values())) >> np.uint64(64 - bits - within) << np.uint64(16)
+            held.clear()
+            rows |= np.repeat(np.arange(len(nodes), dtype=np.uint64), sizes)
+            rows.sort()
+            cuts = np.searchsorted(rows >> np.uint64(within + 16), np.arange((1 << bits) + 1, dtype=np.uint64))
             for bucket in np.nonzero(np.diff(cuts))[0]:
-                part = slice(cuts[bucket], cuts[bucket + 1])
-                there, index = np.unique(who[part], return_inverse=True)
-                steps = np.diff(value[part] & ((1 << BITS) - 1), prepend=0)
+                part = rows[cuts[bucket] : cuts[bucket + 1]]
+                who, value = (part & np.uint64(0xFFFF)).astype(np.int64), (part >> np.uint64(16) & np.uint64((1 << within) - 1)).astype(np.int64)
+                met = np.zeros(len(nodes), bool)
+                met[who] = True
+                steps = np.diff(value, prepend=0)
                 wide = bool(steps.max() >= 1 << 16)
-                row = [int(bucket), nodes[there].astype("<i8").tobytes(), index.astype("<u2").tobytes(), steps.astype("<u4" if wide else "<u2").tobytes(), wide]
+                row = [int(bucket), nodes[met].astype("<i8").tobytes(), (np.cumsum(met) - 1)[who].astype("<u2").tobytes(), steps.astype("<u4" if wide else "<u2").tobytes(), wide]
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names)
-            held.clear()
 
         size = 0
         for batch in batches:
             for text in batch.column(2):
-                own = tokens(text.as_py(), known, words)
+                own = tokens(text.as_py(), words)
                 if len(own) < 2 or (node := _node(own)) in held:
                     continue
                 held[node], size = own, size + len(own)
@@ -173,14 +208,17 @@ def _common(packed: DataFrame) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def counted(parts: list) -> pa.RecordBatch:
-            value, node = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
-            order = np.lexsort((node, value))
-            value, node = value[order], node[order]
-            first = np.r_[True, (value[1:] != value[:-1]) | (node[1:] != node[:-1])]
-            value, node = value[first], node[first]  # a set that several tasks met
+            names, place = np.unique(np.concatenate([nodes for _, nodes, _ in parts]), return_inverse=True)
+            starts = np.cumsum([0, *(len(nodes) for _, nodes, _ in parts)])
+            who = np.concatenate([place[start + own] for start, (_, _, own) in zip(starts, parts)]).astype(np.uint64)
+            width = np.uint64(max(len(names) - 1, 1).bit_length())
+            rows = np.concatenate([value for value, _, _ in parts]).astype(np.uint64) << width | who
+            rows.sort()
+            rows = rows[np.r_[True, rows[1:] != rows[:-1]]]  # a set that several tasks met counts once
+            value = rows >> width
             same = value[1:] == value[:-1]
-            found, m = np.unique(node[np.r_[False, same] | np.r_[same, False]], return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(m.astype(np.int64))], ["node", "m"])
+            m = np.bincount((rows[np.r_[False, same] | np.r_[same, False]] & ((np.uint64(1) << width) - np.uint64(1))).astype(np.int64), minlength=len(names))
+            return pa.RecordBatch.from_arrays([pa.array(names[m > 0]), pa.array(m[m > 0].astype(np.int64))], ["node", "m"])
 
         last, parts = None, []
         for batch in batches:
@@ -190,7 +228,7 @@ def _common(packed: DataFrame) -> DataFrame:
                     parts = []
                 last = bucket
                 steps = np.frombuffer(value, "<u4" if wide else "<u2").astype(np.int64)
-                parts.append((np.cumsum(steps), np.frombuffer(nodes, "<i8")[np.frombuffer(who, "<u2")]))
+                parts.append((np.cumsum(steps), np.frombuffer(nodes, "<i8"), np.frombuffer(who, "<u2").astype(np.int64)))
         if parts:
             yield counted(parts)
 
@@ -199,13 +237,13 @@ def _common(packed: DataFrame) -> DataFrame:
 
 
 def _members(texts: DataFrame, words: int, percent: int, rare: int) -> DataFrame:
-    """(cell, place, node, n, before, left): index cells of two members or more; place runs through a cell by size."""
+    """(cell, place, node, n, before, left, anchor): index cells of two members or more; place runs through a cell by size. anchor: the cell is
+    one of the set's few with the smallest hashes, which similar sets often share."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
         for batch in batches:
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = tokens(text.as_py(), known, words)
+                own = tokens(text.as_py(), words)
                 n = len(own)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, node, np.int64)), pa.array(np.full(n, n, np.int64)), pa.array(own.view(np.int64))], ["node", "n", "token"])
 
@@ -215,21 +253,23 @@ def _members(texts: DataFrame, words: int, percent: int, rare: int) -> DataFrame
                 spread, own = (x.to_numpy(zero_copy_only=False) for x in items.values.flatten())
                 cells, before, left = signatures(n, spread, own.view(np.uint64), percent, rare)
                 size = len(cells)
-                columns = [cells.view(np.int64), np.full(size, node, np.int64), np.full(size, n, np.int64), before, left]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["cell", "node", "n", "before", "left"])
+                anchor = np.zeros(size, bool)
+                anchor[np.argsort(cells)[:ANCHORS]] = True
+                columns = [cells.view(np.int64), np.full(size, node, np.int64), np.full(size, n, np.int64), before, left, anchor]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["cell", "node", "n", "before", "left", "anchor"])
 
     every = texts.mapInArrow(split, "node long, n long, token long")
     shared = every.groupBy("token").agg(F.count("*").alias("spread")).where("spread > 1")
     lists = every.join(shared, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("spread", "token"))).alias("own"))
-    cells = lists.mapInArrow(signed, "cell long, node long, n long, before long, left long")
+    cells = lists.mapInArrow(signed, "cell long, node long, n long, before long, left long, anchor boolean")
     ordered = cells.repartition("cell").sortWithinPartitions("cell", "n", "node")
-    return ordered.mapInArrow(_placed, "cell long, place long, node long, n long, before long, left long")
+    return ordered.mapInArrow(_placed, "cell long, place long, node long, n long, before long, left long, anchor boolean")
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by cell, numbered within their cell; cells of one row go."""
     last, at, rest = None, 0, None
-    names = ["cell", "place", "node", "n", "before", "left"]
+    names = ["cell", "place", "node", "n", "before", "left", "anchor"]
 
     def out(now: list[np.ndarray], following: int | None) -> pa.RecordBatch:
         nonlocal last, at
@@ -267,7 +307,7 @@ def _neighbours(known: DataFrame, after: int, upto: int, percent: int) -> DataFr
     the last ``upto`` rows. known: members with root."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
+        kept, held = None, []
         for batch in batches:
             now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             old = 0 if kept is None else len(kept[0])
@@ -280,16 +320,28 @@ def _neighbours(known: DataFrame, after: int, upto: int, percent: int) -> DataFr
                 i = i[(cell[i] == cell[i + d]) & (root[i] != root[i + d])]
                 i = i[possible(n[i], before[i], left[i], n[i + d], before[i + d], left[i + d], percent)]
                 if len(i):
-                    yield _pairs(node[i], node[i + d])
+                    held.append(_pairs(node[i], node[i + d]))
             kept = [x[-upto:] for x in now]
+            if sum(map(len, held)) > PAIRS:
+                yield _sent(held)
+        if held:
+            yield _sent(held)
 
     ordered = known.repartition("cell").sortWithinPartitions("cell", "place").select("cell", "node", "n", "before", "left", "root")
     return ordered.mapInArrow(each, "u long, v long")
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    both = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.minimum(a, b), np.maximum(a, b)])
+
+
+def _sent(held: list[np.ndarray]) -> pa.RecordBatch:
+    """Each pair once; what was held is empty then."""
+    both = np.concatenate(held)
+    held.clear()
+    both = both[np.lexsort((both[:, 0], both[:, 1]))]
+    both = both[np.r_[True, (both[1:] != both[:-1]).any(axis=1)]]
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["u", "v"])
 
 
 def _chunk_pairs(known: DataFrame, last: DataFrame, percent: int, chunk: int) -> DataFrame:
@@ -297,7 +349,7 @@ def _chunk_pairs(known: DataFrame, last: DataFrame, percent: int, chunk: int) ->
     two chunks of a cell are a task's group, which holds no more than them."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def met(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        def met(rows: list[np.ndarray]) -> Iterator[np.ndarray]:
             side, same = rows[3], rows[1][0] == rows[2][0]
             one = np.nonzero(side == rows[1])[0]
             two = one if same else np.nonzero(side == rows[2])[0]
@@ -313,7 +365,7 @@ def _chunk_pairs(known: DataFrame, last: DataFrame, percent: int, chunk: int) ->
                 if len(x):
                     yield _pairs(node[i[x]], node[j[y]])
 
-        rest = None
+        rest, held = None, []
         for batch in batches:
             now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if rest is not None:
@@ -322,10 +374,14 @@ def _chunk_pairs(known: DataFrame, last: DataFrame, percent: int, chunk: int) ->
                 continue
             cuts = np.nonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]) | (now[2][1:] != now[2][:-1]))[0] + 1
             for start, end in zip(np.r_[0, cuts][:-1], cuts):
-                yield from met([x[start:end] for x in now])
+                for pairs in met([x[start:end] for x in now]):
+                    held.append(pairs)
+                    if sum(map(len, held)) > PAIRS:
+                        yield _sent(held)
             rest = [x[cuts[-1] if len(cuts) else 0 :] for x in now]
-        if rest is not None:
-            yield from met(rest)
+        held += [] if rest is None else met(rest)
+        if held:
+            yield _sent(held)
 
     own = F.floor(F.col("place") / chunk)
     rows = known.join(last, "cell").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / chunk))))
@@ -334,23 +390,26 @@ def _chunk_pairs(known: DataFrame, last: DataFrame, percent: int, chunk: int) ->
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets are similar."""
-    one, two = (texts.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("u", "a"), ("v", "b")))
+    """The pairs whose whole sets are similar. A text v comes once, followed by the texts u that are compared with it."""
+    other = pairs.join(texts, pairs["u"] == texts["node"]).select("v", "u", "text")
+    own = texts.join(pairs.select("v").distinct(), texts["node"] == F.col("v"), "left_semi").select(F.col("node").alias("v"), F.lit(None).cast("long").alias("u"), "text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, last, right = _Words(), None, None
+        right = None
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (v, a, b) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3))):
-                if v != last:
-                    last, right = v, tokens(b.as_py(), known, words)
-                left = tokens(a.as_py(), known, words)
+            us, vs, keep = batch.column(1).to_pylist(), batch.column(0), np.zeros(batch.num_rows, bool)
+            for i, text in enumerate(batch.column(2)):
+                left = tokens(text.as_py(), words)
+                if us[i] is None:
+                    right = left
+                    continue
                 both = len(np.intersect1d(left, right, assume_unique=True))
                 keep[i] = 100 * both >= percent * (len(left) + len(right) - both)
             mask = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(1).filter(mask), vs.filter(mask)], ["u", "v"])
 
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(each, "u long, v long")
+    every = own.unionByName(other).repartition("v").sortWithinPartitions("v", F.col("u").asc_nulls_first())
+    return every.mapInArrow(each, "u long, v long")
 
 
 def _roots(roots: DataFrame, linked: DataFrame) -> DataFrame:
@@ -381,22 +440,23 @@ def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rare: i
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must lie above 50, up to 100")
-    texts = _texts(docs)
+    spark, texts = docs.sparkSession, _texts(docs)
     sets = materialize(_sets(texts, words))
     some = materialize(candidates(texts, sets, words, percent))
     members = materialize(_members(some, words, percent, rare))
     roots = materialize(some.select("node", F.col("node").alias("root")))
-    after = 0
-    for upto in (*near, None):
-        known = members.join(roots, "node")
+    tested = spark.createDataFrame([], "u long, v long")
+    for part, after, upto in ((F.col("anchor"), 0, 1), *((F.lit(True), a, b) for a, b in zip((0, *near), (*near, None)))):
+        known = members.where(part).join(roots, "node").drop("anchor")
         open_ = known.groupBy("cell").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("place").alias("last")).where("a <> b")
         cells = materialize(open_.where(F.col("last") > after).select("cell", "last"))
         if cells.isEmpty():
-            break
+            continue
         left = known.join(cells.select("cell"), "cell", "left_semi")
         found = _neighbours(left, after, upto, percent) if upto else _chunk_pairs(known, cells, percent, chunk)
-        roots = _roots(roots, materialize(_verified(materialize(found.distinct()), some, words, percent)))
-        after = upto
+        found = materialize(found.distinct().join(tested, ["u", "v"], "left_anti"))
+        roots = _roots(roots, materialize(_verified(found, some, words, percent)))
+        tested = materialize(tested.unionByName(found))
     named = sets.where("n > 0").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.select("node", "root").distinct().join(lowest, "root").select("node", "component_id")
