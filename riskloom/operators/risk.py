@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import math
-from bisect import bisect_left, insort
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,30 +33,37 @@ def rolling_forecasts(losses: DataFrame, years: int = 3, least: int = 700, level
     calendar years before it, the date itself left out; dates with fewer than ``least`` losses have no forecast, and a
     model has one loss a date.
 
-    A loss is sent to the calendar years whose windows it can lie in, its own and the ``years`` after, so each model and year
-    is a task of its own with at most ``years`` + 1 years of losses, in which one ordered window moves along the dates."""
-    names = [f"var_{level_name(c)}" for c in levels] + [f"es_{level_name(es_level)}"]
-
-    def each(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        dates, values = pd.to_datetime(pdf["date"]), pdf["loss"].to_numpy(float).tolist()
-        own = np.nonzero((dates.dt.year == key[1]).to_numpy())[0]
-        starts = np.searchsorted(dates.to_numpy(), (dates.iloc[own] - pd.DateOffset(years=years)).to_numpy())
-        window, first, last, rows = [], 0, 0, []
-        for at, start in zip(own.tolist(), starts.tolist()):
-            for x in values[last:at]:
-                insort(window, x)
-            for x in values[first:start]:
-                del window[bisect_left(window, x)]
-            first, last = start, at
-            if len(window) >= least:
-                rows.append((key[0], dates.iloc[at].date(), len(window), *empirical_var_es(window, levels, es_level), values[at]))
-        return pd.DataFrame(rows, columns=["model_id", "date", "observations", *names, "realised_loss"])
-
+    Losses are ranked once over all of a model's dates, and ranks are cut into buckets of about the root of their number. A bucket's counts
+    up to each date, at both ends of a window, say how many of the window's losses it has, and their sums over buckets in which one an
+    order statistic lies; only the losses of that bucket and those above it are looked at."""
+    by_date, by_loss, own = Window.partitionBy("model_id").orderBy("date"), Window.partitionBy("model_id").orderBy("loss", "date"), Window.partitionBy("model_id")
     known = losses.where("loss is not null").select("model_id", F.to_date("date").alias("date"), F.col("loss").cast("double").alias("loss"))
-    spread = known.withColumn("year", F.explode(F.sequence(F.year("date"), F.year("date") + years)))
-    schema = "model_id string, date date, observations int, " + ", ".join(f"{x} double" for x in names) + ", realised_loss double"
-    return spread.groupBy("model_id", "year").applyInPandas(each, schema)
+    within = F.expr(f"count(*) OVER (PARTITION BY model_id ORDER BY date RANGE BETWEEN INTERVAL '{years}' YEAR PRECEDING AND CURRENT ROW)")
+    placed = known.withColumns({"at": F.row_number().over(by_date), "rank": F.row_number().over(by_loss) - 1, "observations": (within - 1).cast("int"), "width": F.ceil(F.sqrt(F.count("*").over(own))).cast("int")})
+    days = placed.withColumns({"bucket": F.floor(F.col("rank") / F.col("width")).cast("int"), "start": F.col("at") - 1 - F.col("observations")})
+
+    # how many losses of each bucket there are up to each date
+    every = days.withColumn("b", F.explode(F.sequence(F.lit(0), F.ceil(F.count("*").over(own) / F.col("width")).cast("int") - 1)))
+    hit = (F.col("bucket") == F.col("b")).cast("int")
+    upto = every.withColumn("upto", F.sum(hit).over(Window.partitionBy("model_id", "b").orderBy("at")).cast("int")).withColumn("before", F.col("upto") - hit)
+    ends = upto.where(F.col("observations") >= least).select("model_id", "at", "date", "loss", "start", "observations", "b", "before")
+    starts = upto.select("model_id", "b", F.col("at").alias("start"), F.col("upto").alias("gone"))
+    counts = ends.join(starts, ["model_id", "b", "start"], "left").withColumn("inside", F.col("before") - F.coalesce("gone", F.lit(0)))
+
+    # the bucket of the lowest order statistic, and how many losses lie below it
+    place = lambda level: F.ceil(F.col("observations") * F.lit(level))
+    lowest = place(min(*levels, es_level))
+    through = counts.withColumn("through", F.sum("inside").over(Window.partitionBy("model_id", "at").orderBy("b")))
+    upper = through.where((F.col("through") >= lowest) & (F.col("inside") > 0)).withColumn("below", F.min(F.col("through") - F.col("inside")).over(Window.partitionBy("model_id", "at")))
+    members = days.select("model_id", F.col("bucket").alias("b"), "rank", F.col("at").alias("of"), F.col("loss").alias("x"))
+    met = upper.select("model_id", "at", "date", "loss", "start", "observations", "b", "below").join(members, ["model_id", "b"]).where("of > start AND of < at")
+    ranked = met.withColumn("k", F.col("below") + F.row_number().over(Window.partitionBy("model_id", "at").orderBy("rank")))
+    at_level = lambda level: F.max(F.when(F.col("k") == place(level), F.col("x")))
+    share, edge = F.col("observations") * F.lit(es_level), place(es_level)
+    shortfall = (F.sum(F.when(F.col("k") > edge, F.col("x")).otherwise(0.0)) + F.max(F.when(F.col("k") == edge, (F.col("k") - share) * F.col("x")))) / F.max(F.col("observations") * F.lit(1 - es_level))
+    return ranked.groupBy("model_id", "date", "observations", F.col("loss").alias("realised_loss")).agg(
+        *[at_level(c).alias(f"var_{level_name(c)}") for c in levels], shortfall.alias(f"es_{level_name(es_level)}")
+    ).select("model_id", "date", "observations", *[f"var_{level_name(c)}" for c in levels], f"es_{level_name(es_level)}", "realised_loss")
 
 
 def daily_scores(forecasts: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators import panel as pan
 from ..operators import portfolio as por
 from ..operators import quality, risk, scenario
 from ..sources import views as v
-from . import assemblies, evaluations, modelling, yearly
+from . import assemblies, evaluations, modelling, records, storage, yearly
 from .oracles import SQL
 
 
@@ -284,8 +284,8 @@ _QUERIES = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _QUERIES} | assemblies.queries() | evaluations.queries() | yearly.queries() | modelling.queries()
+    return {f.__name__: f for f in _QUERIES} | assemblies.queries() | evaluations.queries() | yearly.queries() | modelling.queries() | records.queries() | storage.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | assemblies.oracle_sql() | evaluations.oracle_sql() | yearly.oracle_sql() | modelling.oracle_sql()
+    return SQL | assemblies.oracle_sql() | evaluations.oracle_sql() | yearly.oracle_sql() | modelling.oracle_sql() | records.oracle_sql() | storage.oracle_sql()

@@ -158,7 +158,7 @@ def test_quality_gates(spark, fitted):
     found = chain.margin_quality(refits, fitted["daily"], fitted["training"])
     assert found["issues"] == ["ewma_fit_fraction_exceeds_limit"] and found["aligned_days"] == [782, 782]
     found = chain.margin_quality(refits.withColumn("method", F.lit("garch_t")), fitted["daily"].withColumn("pit", F.lit(0.0)), fitted["training"], 800)
-    assert found["issues"] == ["pit_outside_frozen_bounds", "insufficient_aligned_training_pit_dates"]
+    assert found["issues"] == ["insufficient_aligned_training_pit_dates", "pit_outside_frozen_bounds"]
     assert codes(chain.refit_calendar_problems(fitted["refits"])) == {"incomplete_annual_refit_schedule"}
     matched = chain.matched_gaussian(records.where("model_id = 'M2'"), records.where("model_id = 'M1'"), {"M2": "M1"})
     assert matched.first().gaussian_refit_id == "M1:2020-01"

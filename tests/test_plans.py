@@ -133,35 +133,6 @@ def test_scopes_audits_and_run_manifest(tmp_path):
         manifest(seed=1)
 
 
-CHECKS = dict.fromkeys(("universe_files_current", "market_pass", "market_file_current", "construction_pass", "construction_universe_bound", "construction_market_bound", "construction_files_current", "arithmetic_pass", "arithmetic_bound", "arithmetic_files_current"), True)
-AMENDMENT = {"status": "active", "amendment_id": "PA", "modelling_allowed": True, "licensed_provenance_claim_allowed": False, "reporting_scope": "provisional_research_results", "expected_public_universe_sha256": "u", "expected_universe_source_manifest_sha256": "m", "minimum_metadata_matches": 9, "minimum_price_matches": 9, "accepted_missing_tickers": ["Z"]}
-POLICY = {"provenance": {"amendment_id": "PA", "reporting_scope": "provisional_research_results", "allow_modelling_with_provisional_universe": True, "licensed_provenance_claim_allowed": False}, "quality_gates": {"allow_provisional_universe_provenance": True}, "protocol_status": lineage.FROZEN_STATUS}
-UNIVERSE = {"status": "blocked", "blockers": [lineage.WAIVED], "public_universe_sha256": "u", "source_manifest_sha256": "m"}
-REFERENCE = {"status": "provisional_non_licensed", "row_count": 10, "metadata_found_count": 9, "price_found_count": 9, "request_failures": [{"ticker": "Z"}], "gate_eligibility": {"foundation_v2_universe_provenance": False}, "output_sha256": "o"}
-
-
-def test_foundation_gate():
-    status = lambda checks=CHECKS, universe=UNIVERSE, model=POLICY, amendment=AMENDMENT, reference=REFERENCE: lineage.foundation_status(checks, universe, model, amendment, reference, 10, "o")
-    assert status()["foundation_v2"] == {"status": "provisional_pass", "blockers": [], "reporting_scope": "provisional_research_results"}
-    assert lineage.reporting_scope(status()) == "provisional_research_results"
-    assert status(universe={"status": "pass"})["foundation_v2"]["status"] == "pass"
-    for name in CHECKS:
-        assert status(CHECKS | {name: False})["foundation_v2"]["status"] == "blocked"
-    assert status(model=POLICY | {"protocol_status": "open"})["foundation_v2"]["blockers"] == ["method_freeze_not_passed"]
-    for config, changes in (
-        (AMENDMENT, {"status": "draft", "amendment_id": "X", "modelling_allowed": False, "licensed_provenance_claim_allowed": True, "reporting_scope": "confirmatory", "expected_public_universe_sha256": "x", "expected_universe_source_manifest_sha256": "x", "minimum_price_matches": 10, "accepted_missing_tickers": []}),
-        (REFERENCE, {"status": "licensed", "row_count": 9, "metadata_found_count": 1, "gate_eligibility": {}, "output_sha256": "x"}),
-        (UNIVERSE, {"blockers": [lineage.WAIVED, "other"]}),
-    ):
-        for k, v in changes.items():
-            broken = config | {k: v}
-            found = status(**{"amendment" if config is AMENDMENT else "reference" if config is REFERENCE else "universe": broken})["foundation_v2"]
-            assert found["status"] == "blocked" and lineage.WAIVED in found["blockers"], k
-    for k in ("allow_modelling_with_provisional_universe", "reporting_scope"):
-        assert status(model=edited(POLICY, f"provenance.{k}", None))["foundation_v2"]["status"] == "blocked"
-    assert status(amendment=None)["foundation_v2"]["blockers"][-1] == "provisional_amendment_absent"
-
-
 def test_report_is_written_whole_and_the_same_each_time(spark, tmp_path):
     summary = spark.createDataFrame([("M1", 0.1, 0.2, -3.0, 1.5, 2.0), ("M0", 0.2, 0.3, -2.0, 1.0, 1.0)], "model_id string, mean_quantile_loss_95 double, mean_quantile_loss_99 double, mean_fz0_975 double, average_primary_score_rank double, overall_rank double")
     performance = reports.performance_rows(summary, {"M0": "history", "M1": "copula"}, ["M0", "M1"])
