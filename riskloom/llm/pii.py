@@ -12,12 +12,14 @@ Every pattern matches in one pass: runs are possessive, and a match starts only
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import materialize
+
 KINDS = ("email", "ip", "card", "phone")
 
 # The strict patterns, and the looser ones that propose.
@@ -33,6 +35,8 @@ LOOSE = {
     "ip": r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])",
     "phone": r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
 }
+#: What a text with a match surely has.
+MARKS = {("email", True): "@", ("phone", True): "+", ("ip", False): ":"}
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IP_PARTS = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 
@@ -96,12 +100,12 @@ def _once(name: str, use: Column) -> Column:
     return F.when(F.col(name).isNotNull(), use)
 
 
-def with_running_totals(frame: DataFrame, names: dict[str, str]) -> DataFrame:
-    """For each (steps, totals) a column of the sums of the first 1, 2, ... items of the long array ``steps``, by blocks of
+def with_running(frame: DataFrame, names: dict[str, str], combine: Callable[[Column, Column], Column]) -> DataFrame:
+    """For each (steps, results) a column of the first 1, 2, ... items of the long array ``steps``, combined from zero, by blocks of
     about the root of its size."""
 
     def total(items: Column) -> Column:
-        return F.aggregate(items, F.lit(0).cast("long"), lambda x, y: x + y)
+        return F.aggregate(items, F.lit(0).cast("long"), combine)
 
     def block(steps: str) -> Column:
         return F.ceil(F.sqrt(F.size(steps))).cast("int")
@@ -117,7 +121,7 @@ def with_running_totals(frame: DataFrame, names: dict[str, str]) -> DataFrame:
     def totals(steps: str) -> Column:
         n, start = F.col(f"{steps}_n"), F.col(f"{steps}_b")
         within = F.transform(
-            steps, lambda _, i: start[(i / n).cast("int")] + total(F.slice(F.col(steps), (i / n).cast("int") * n + 1, i % n + 1))
+            steps, lambda _, i: combine(start[(i / n).cast("int")], total(F.slice(F.col(steps), (i / n).cast("int") * n + 1, i % n + 1)))
         )
         return _once(f"{steps}_b", _once(f"{steps}_n", within))
 
@@ -127,6 +131,10 @@ def with_running_totals(frame: DataFrame, names: dict[str, str]) -> DataFrame:
     return frame.withColumns({out: totals(x) for x, out in names.items()})
 
 
+def _larger(x: Column, y: Column) -> Column:
+    return F.greatest(x, y)
+
+
 def _vote(yes: Column, no: Column | None = None) -> Column:
     out = F.when(yes, 1)
     return (out.when(no, -1) if no is not None else out).otherwise(0 if no is not None else -1)
@@ -145,28 +153,35 @@ def _votes(kind: str, match: Column, before: Column, after: Column, strict: Colu
     )
 
 
+def _held(docs: DataFrame) -> Column:
+    """The caller's row as one column, so that no name of it meets those made here."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row")
+
+
 def proposals(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_spans``: an array of (start, kind number, end, strict, votes) of every match and proposal, in order;
-    code points, end exclusive. A null text has none."""
+    """(row, spans): the rows of ``docs``, each with an array of (start, kind number, end, strict, votes) of every match and proposal, in
+    order; code points, end exclusive. A null text has none."""
     sources = [(k, STRICT[k], True) for k in KINDS] + [(k, p, False) for k, p in LOOSE.items()]
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    kept = docs.columns
-    frame = docs.withColumn("_text", text)
+    frame = docs.select(_held(docs), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     empty = F.array().cast("array<string>")
-    frame = frame.withColumns(
-        {f"_piece{i}": F.when(F.col("_text").rlike(p), F.split("_text", p, -1)).otherwise(empty) for i, (_, p, _) in enumerate(sources)}
-        | {f"_match{i}": F.when(F.col("_text").rlike(p), F.regexp_extract_all("_text", F.lit(p), F.lit(0))).otherwise(empty) for i, (_, p, _) in enumerate(sources)}
-    )
+
+    def matches(kind: str, pattern: str, strict: bool) -> Column:
+        found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+        mark = MARKS.get((kind, strict))
+        return F.when(F.col("text").contains(mark), found).otherwise(empty) if mark else found
+
+    frame = frame.withColumns({f"match{i}": matches(*x) for i, x in enumerate(sources)})
+    frame = frame.withColumns({f"piece{i}": F.when(F.size(f"match{i}") > 0, F.split("text", p, -1)).otherwise(empty) for i, (_, p, _) in enumerate(sources)})
 
     def steps(i: int) -> Column:
-        return F.transform(f"_match{i}", lambda m, k: (F.length(F.col(f"_piece{i}")[k]) + F.length(m)).cast("long"))
+        return F.transform(f"match{i}", lambda m, k: (F.length(F.col(f"piece{i}")[k]) + F.length(m)).cast("long"))
 
-    frame = frame.withColumns({f"_step{i}": steps(i) for i in range(len(sources))})
-    frame = with_running_totals(frame, {f"_step{i}": f"_end{i}" for i in range(len(sources))})
+    frame = frame.withColumns({f"step{i}": steps(i) for i in range(len(sources))})
+    frame = with_running(frame, {f"step{i}": f"end{i}" for i in range(len(sources))}, lambda x, y: x + y)
 
     def spans(i: int, kind: str, strict: bool) -> Column:
         def placed(match: Column, k: Column) -> Column:
-            piece, end = F.col(f"_piece{i}"), F.col(f"_end{i}")[k]
+            piece, end = F.col(f"piece{i}"), F.col(f"end{i}")[k]
             return F.struct(
                 (end - F.length(match)).alias("start"),
                 F.lit(KINDS.index(kind)).alias("kind"),
@@ -182,16 +197,23 @@ def proposals(docs: DataFrame) -> DataFrame:
             votes = _votes(kind, s["match"], s["before"], s["after"], s["strict"])
             return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["strict"].alias("strict"), votes.alias("votes"))
 
-        return F.transform(F.filter(F.transform(F.col(f"_match{i}"), placed), lambda s: s["strict"] | s["proposed"]), voted)
+        return F.transform(F.filter(F.transform(F.col(f"match{i}"), placed), lambda s: s["strict"] | s["proposed"]), voted)
 
     every = F.concat(*[spans(i, kind, strict) for i, (kind, _, strict) in enumerate(sources)])
-    frame = frame.select(*kept, every.alias("_every"))
-    frame = frame.withColumn("_strict", F.filter("_every", lambda s: s["strict"]))
+    frame = frame.select("row", F.array_sort(every).alias("every"))
+    # a proposal meets a strict span where one that starts no later reaches beyond its start, or one that starts no earlier does so before its end
+    far = 1 << 40
+    frame = frame.withColumns({
+        "stop": F.transform("every", lambda s: F.when(s["strict"], s["end"]).otherwise(F.lit(0)).cast("long")),
+        "near": F.reverse(F.transform("every", lambda s: F.when(s["strict"], F.lit(far) - s["start"]).otherwise(F.lit(0)).cast("long"))),
+    })
+    frame = with_running(frame, {"stop": "reached", "near": "coming"}, _larger)
 
-    def apart(s: Column) -> Column:
-        return s["strict"] | ~F.exists("_strict", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    def apart(s: Column, i: Column) -> Column:
+        reached, coming = F.col("reached")[i], F.lit(far) - F.col("coming")[F.size("coming") - 1 - i]
+        return s["strict"] | ((reached <= s["start"]) & (coming >= s["end"]))
 
-    return frame.select(*kept, _once("_strict", F.array_sort(F.filter("_every", apart))).alias("_spans"))
+    return frame.select("row", _once("reached", _once("coming", F.filter("every", apart))).alias("spans"))
 
 
 @dataclass
@@ -268,15 +290,19 @@ def train(patterns: list[tuple[tuple[int, ...], int]], steps: int = 400, rate: f
 
 def learn(docs: DataFrame) -> SpanClassifier:
     """Vote patterns of all proposals in all rows; at most 3 to the power of the labelers' number reach the driver."""
+    return _learned(proposals(docs.select("text")))
+
+
+def _learned(proposed: DataFrame) -> SpanClassifier:
     # explode_outer: from a plain explode the optimizer infers a filter and copies all of the above into it
-    counted = proposals(docs.select("text")).select(F.explode_outer("_spans").alias("s")).groupBy("s.votes").count().collect()
+    counted = proposed.select(F.explode_outer("spans").alias("s")).groupBy("s.votes").count().collect()
     return train(sorted((tuple(r.votes), r["count"]) for r in counted if r.votes))
 
 
 def found(docs: DataFrame, classifier: SpanClassifier | None = None) -> DataFrame:
-    """``docs`` with ``_spans``: the strict spans and the proposals that the classifier accepts."""
+    """(row, spans): the rows of ``docs``, each with its strict spans and the proposals that the classifier accepts."""
     classifier = classifier or learn(docs)
-    return proposals(docs).withColumn("_spans", F.filter("_spans", classifier.accepts))
+    return proposals(docs).withColumn("spans", F.filter("spans", classifier.accepts))
 
 
 def _joined(spans: Column) -> Column:
@@ -290,28 +316,29 @@ def personal_data(docs: DataFrame) -> DataFrame:
     Null and empty texts have no spans. Strict spans of different kinds may overlap; proposals that overlap a strict span
     are left out. Repeated rows repeat their result; an empty table gives an empty result.
     """
-    rows = found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("_base", F.filter("_spans", lambda s: s["strict"]))
+    proposed = materialize(proposals(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).select("row.doc_id", "spans"))
+    rows = proposed.withColumn("spans", F.filter("spans", _learned(proposed).accepts)).withColumn("base", F.filter("spans", lambda s: s["strict"]))
 
     def of_kind(k: int) -> Column:
-        return F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long")
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
 
     counts = [of_kind(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return rows.select("doc_id", *counts, F.sha2(_joined(F.col("_base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("_spans")).alias("spans"))
+    return rows.select("doc_id", *counts, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
 def redacted(docs: DataFrame, classifier: SpanClassifier | None = None) -> DataFrame:
-    """``docs`` with each span of ``text`` replaced by its kind in capitals between angle brackets; other columns, and texts
-    without spans, as they are."""
-    rows = found(docs, classifier)
-    text, spans = F.col("text").cast("string"), F.col("_spans")
+    """``docs`` with each span of ``text`` replaced by its kind in capitals between angle brackets; other columns, whatever their names, and
+    texts without spans, as they are."""
+    rows = found(docs, classifier).withColumn("stop", F.transform("spans", lambda s: s["end"].cast("long")))
+    rows = with_running(rows, {"stop": "reached"}, _larger)
+    text, spans = F.col("row.text").cast("string"), F.col("spans")
     marks = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    reach = lambda i: F.aggregate(F.slice(spans, F.lit(1), i), F.lit(0).cast("long"), lambda a, s: F.greatest(a, s["end"]))
 
     def piece(span: Column, i: Column) -> Column:
-        before = reach(i)
+        before = F.when(i > 0, F.col("reached")[i - 1]).otherwise(F.lit(0).cast("long"))
         gap = F.substring(text, (before + 1).cast("int"), (span["start"] - before).cast("int"))
         return F.when(span["start"] >= before, F.concat(gap, marks[span["kind"]])).when(span["end"] <= before, "").otherwise(marks[span["kind"]])
 
-    tail = F.substring(text, (reach(F.size(spans)) + 1).cast("int"), F.length(text))
-    masked = F.when(F.size(spans) > 0, F.concat(F.array_join(F.transform(spans, piece), ""), tail)).otherwise(text)
-    return rows.withColumn("text", masked).select(docs.columns)
+    tail = F.substring(text, (F.element_at("reached", -1) + 1).cast("int"), F.length(text))
+    masked = F.when(F.size("spans") > 0, F.concat(F.array_join(_once("reached", F.transform(spans, piece)), ""), tail)).otherwise(text)
+    return rows.select(*[masked.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -176,8 +177,30 @@ def test_pii_base_spans_match_plain_version(spark, documents):
 
 
 def test_pii_stays_native(documents):
-    plan = pii.personal_data(documents)._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+    for made in (pii.proposals(documents), pii.personal_data(documents), pii.redacted(documents)):
+        plan = made._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_pii_leaves_other_columns_whatever_their_names(spark):
+    """No name of the caller's meets those made on the way, and none brings the text back."""
+    names = ["row", "spans", "every", "stop", "near", "reached", "coming", "base", "match0", "piece0", "step0", "end0", "stop_n", "_text", "_spans", "a.b", "back`tick"]
+    typed = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    rows = spark.createDataFrame([(1, "mail a@b.org now", *names), (2, None, *names)], f"doc_id long, text string, {typed}")
+    found = pii.redacted(rows)
+    assert found.columns == rows.columns
+    assert [tuple(r) for r in found.orderBy("doc_id").collect()] == [(1, "mail <EMAIL> now", *names), (2, None, *names)]
+    assert [r.spans for r in pii.personal_data(rows).orderBy("doc_id").collect()] == ["email:5:12", ""]
+
+
+def test_pii_takes_texts_of_many_spans(spark):
+    """20,000 spans in one text, which overlap in part: linear-time merging, and the plain version's marks."""
+    text = " ".join(f"a{i}@b.org 4111111111111111 +1 499 555 65{i % 90 + 10}" for i in range(7000))
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.monotonic()
+    found, clean = pii.personal_data(rows).first(), pii.redacted(rows).first().text
+    assert found.n_email == 7000 and found.n_card == 7000 and found.n_phone == 7000 and time.monotonic() - began < 120
+    assert clean.count("<EMAIL>") == 7000 and "@" not in clean and "4111" not in clean
 
 
 def test_pii_redaction_and_odd_rows(spark, odd):
