@@ -38,12 +38,12 @@ def rolling_forecasts(losses: DataFrame, years: int = 3, least: int = 700, level
     order statistic lies; only the losses of that bucket and those above it are looked at."""
     by_date, by_loss, own = Window.partitionBy("model_id").orderBy("date"), Window.partitionBy("model_id").orderBy("loss", "date"), Window.partitionBy("model_id")
     known = losses.where("loss is not null").select("model_id", F.to_date("date").alias("date"), F.col("loss").cast("double").alias("loss"))
-    within = F.expr(f"count(*) OVER (PARTITION BY model_id ORDER BY date RANGE BETWEEN INTERVAL '{years}' YEAR PRECEDING AND CURRENT ROW)")
-    placed = known.withColumns({"at": F.row_number().over(by_date), "rank": F.row_number().over(by_loss) - 1, "observations": (within - 1).cast("int"), "width": F.ceil(F.sqrt(F.count("*").over(own))).cast("int")})
+    framed = known.select("*", F.expr(f"count(*) OVER (PARTITION BY model_id ORDER BY date RANGE BETWEEN INTERVAL '{years}' YEAR PRECEDING AND CURRENT ROW)").alias("within"), F.count("*").over(own).alias("size"))
+    placed = framed.select("model_id", "date", "loss", (F.col("within") - 1).cast("int").alias("observations"), F.ceil(F.sqrt("size")).cast("int").alias("width"), "size", F.row_number().over(by_date).alias("at"), (F.row_number().over(by_loss) - 1).alias("rank"))
     days = placed.withColumns({"bucket": F.floor(F.col("rank") / F.col("width")).cast("int"), "start": F.col("at") - 1 - F.col("observations")})
 
     # how many losses of each bucket there are up to each date
-    every = days.withColumn("b", F.explode(F.sequence(F.lit(0), F.ceil(F.count("*").over(own) / F.col("width")).cast("int") - 1)))
+    every = days.withColumn("b", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / F.col("width")).cast("int") - 1)))
     hit = (F.col("bucket") == F.col("b")).cast("int")
     upto = every.withColumn("upto", F.sum(hit).over(Window.partitionBy("model_id", "b").orderBy("at")).cast("int")).withColumn("before", F.col("upto") - hit)
     ends = upto.where(F.col("observations") >= least).select("model_id", "at", "date", "loss", "start", "observations", "b", "before")

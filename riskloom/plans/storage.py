@@ -39,7 +39,7 @@ HISTORY, LEAST = 7, 10
 def streaming_refits(s, d):
     """Daily refits over the events of each user, as a stream over the table gives them."""
     events = v.table(s, d, "events")
-    stream = s.readStream.schema(events.schema).parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("group_id"), "ts", "value")
+    stream = s.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]").select(F.col("user_id").cast("string").alias("group_id"), "ts", "value")
     path = files.workspace(s)
     refits.run_available(refits.rolling_refits(stream, "day", HISTORY, LEAST), f"{path}/out", f"{path}/checkpoint")
     found = s.read.schema(refits.OUT).parquet(f"{path}/out").where(F.col("kind") == refits.ACCEPTED)
