@@ -71,7 +71,7 @@ class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str, compression: str, overwrite: bool) -> None:
         self.path, self.compression, self.overwrite, self.version = path.rstrip("/"), compression, overwrite, uuid.uuid4().hex
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Part | None:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
         store, root = _store(self.path)
         place, writer, rows = TaskContext.get().partitionId(), None, 0
         file = f"{self.version}/part-{place:05d}-{uuid.uuid4().hex}.parquet"
@@ -83,7 +83,7 @@ class _Writer(DataSourceArrowWriter):
             writer.write_batch(batch)
             rows += batch.num_rows
         if writer is None:
-            return None
+            return Part(place, "", 0, 0, "")  # no rows, no part
         writer.close()
         sink.close()
         return Part(place, file, rows, sink.size, sink.digest.hexdigest())
@@ -92,7 +92,7 @@ class _Writer(DataSourceArrowWriter):
         store, root = _store(self.path)
         store.create_dir(root, recursive=True)
         before = [] if self.overwrite else _record(self.path, [])
-        parts = before + [vars(p) for p in sorted((m for m in messages if m), key=lambda p: p.place)]
+        parts = before + [vars(p) for p in sorted((m for m in messages if m and m.file), key=lambda p: p.place)]
         temporary = f"{root}/{RECORD}-{self.version}"
         with store.open_output_stream(temporary) as out:
             out.write(json.dumps({"version": self.version, "parts": parts}).encode())
@@ -125,6 +125,17 @@ def _record(path: str, otherwise: list | None = None) -> list[dict]:
         return json.loads(f.read())["parts"]
 
 
+def vacuum(path: str) -> int:
+    """Deletes versions of which the record names no part, and says how many there were: what tasks that went on after their run had failed
+    have left, and what was replaced. For times when nothing writes or reads an older version."""
+    store, root = _store(path.rstrip("/"))
+    named = {p["file"].split("/", 1)[0] for p in _record(path)}
+    folders = [f for f in store.get_file_info(fs.FileSelector(root)) if f.type == fs.FileType.Directory and f.base_name not in named]
+    for f in folders:
+        store.delete_dir(f.path)
+    return len(folders)
+
+
 def in_order(df: DataFrame, *keys: str) -> DataFrame:
     """The rows in the order of the keys, through all partitions: ranges of keys, sorted each."""
     return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
