@@ -100,8 +100,8 @@ def _leaves(path: Column) -> Column:
 
 def hash_status(records: DataFrame, files: DataFrame) -> DataFrame:
     """records (document, place, path, sha256) against files (path, sha256), one row a path -> the records with their status: current,
-    or what is wrong with them, the first of ISSUES."""
-    known = files.select(F.col("path").alias("path"), F.col("sha256").alias("found"))
+    or what is wrong with them, the first of ISSUES. Files are as many as records, so they are sorted and never broadcast, however small they look."""
+    known = files.select(F.col("path").alias("path"), F.col("sha256").alias("found")).hint("merge")
     wrong = F.col("path").isNull() | (F.col("path") == "") | F.col("sha256").isNull() | ~F.col("sha256").rlike("^[0-9a-f]{64}$")
     status = (
         F.when(wrong, "malformed").when(_leaves(F.col("path")), "outside").when(F.col("found").isNull(), "missing").when(F.col("found") != F.col("sha256"), "stale").otherwise(CURRENT)

@@ -90,11 +90,18 @@ DOCUMENTS = ("universe", "model", "amendment", "reference")
 def amendment_issues(runs: DataFrame) -> DataFrame:
     """runs (run, universe, model, amendment, reference: JSON; n_rows, current_sha256) -> (run, issues): codes, in order, of what keeps each
     run's amendment from standing in for a licensed universe. Without an amendment or a reference, that is the issue."""
-    parsed = runs.select("run", "n_rows", "current_sha256", *[F.parse_json(x).alias(x) for x in DOCUMENTS])
+    return _parsed(runs).select("run", _issues().alias("issues"))
+
+
+def _parsed(runs: DataFrame) -> DataFrame:
+    return runs.select("run", "n_rows", "current_sha256", *[F.parse_json(x).alias(x) for x in DOCUMENTS])
+
+
+def _issues() -> Column:
     # one name, one condition: the plan evaluates all of them over a row
     codes = F.array_sort(F.array_compact(F.array(*[F.when(~F.coalesce(F.expr(ok), F.lit(False)), F.lit(code)) for code, ok in RULES.items()])))
     absent = F.when(F.col("amendment").isNull(), F.array(F.lit("provisional_amendment_absent"))).when(F.col("reference").isNull(), F.array(F.lit("reference_manifest_absent")))
-    return parsed.select("run", F.coalesce(absent, codes).alias("issues"))
+    return F.coalesce(absent, codes)
 
 
 def file_facts(documents: DataFrame, files: DataFrame) -> DataFrame:
@@ -115,14 +122,13 @@ def foundation_status(runs: DataFrame, facts: DataFrame) -> DataFrame:
     (run, status, blockers, reporting_scope, readiness). pass, provisional_pass (only the waived blocker, by a valid amendment) or blocked;
     blockers are the codes of the facts that fail and are asked, with the universe's own and the amendment's issues where the universe is not
     accepted. A fact that is not given fails."""
-    issues = amendment_issues(runs).withColumn("waived", F.size("issues") == 0)
-    parsed = runs.select("run", F.parse_json("universe").alias("u"), F.parse_json("model").alias("m"))
-    own = parsed.join(issues, "run").select(
-        "run", "waived", "issues",
-        F.expr("try_variant_get(u, '$.status', 'string') <=> 'pass'").alias("licensed"),
-        F.expr(f"try_variant_get(m, '$.protocol_status', 'string') <=> '{FROZEN_STATUS}'").alias("frozen"),
-        F.expr(f"coalesce(try_variant_get(u, '$.blockers', 'array<string>'), array('{CODES['universe_accepted']}'))").alias("own"),
-    )
+    # issues stand beside what else a run's documents say: no run is joined with itself, which would broadcast its documents where they look small
+    own = _parsed(runs.where("run IS NOT NULL")).select(
+        "run", _issues().alias("issues"),
+        F.expr(_same(_at("universe", "status"), "'pass'")).alias("licensed"),
+        F.expr(_same(_at("model", "protocol_status"), f"'{FROZEN_STATUS}'")).alias("frozen"),
+        F.expr(f"coalesce(try_variant_get(universe, '$.blockers', 'array<string>'), array('{CODES['universe_accepted']}'))").alias("own"),
+    ).withColumn("waived", F.size("issues") == 0)
     stated = own.select("run", F.explode(F.create_map(F.lit("universe_accepted"), F.col("licensed") | F.col("waived"), F.lit("method_frozen"), F.col("frozen"))).alias("fact", "holds"))
     every = own.select("run", F.explode(F.array(*[F.lit(x) for x in CODES])).alias("fact"))
     given = facts.select("run", "fact", "holds").unionByName(stated)

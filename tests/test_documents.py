@@ -4,10 +4,11 @@ import hashlib
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.operators import documents as doc
 from riskloom.operators import groupings as gr
-from riskloom.plans import gates
+from riskloom.plans import gates, records
 
 LABELS = "book string, year int, security string, group_id string"
 RUN = "run long, universe string, model string, amendment string, reference string, n_rows long, current_sha256 string"
@@ -167,3 +168,25 @@ def test_file_facts(spark):
     documents = spark.createDataFrame([(1, "universe", body("a", "a" * 64)), (2, "universe", body("a", "b" * 64)), (1, "arithmetic", "{}"), (1, "notes", body("a", "a" * 64))], "run long, kind string, body string")
     found = {(r.run, r.fact): r.holds for r in gates.file_facts(documents, spark.createDataFrame([("a", "a" * 64)], "path string, sha256 string")).collect()}
     assert found == {(1, "universe_files_current"): True, (2, "universe_files_current"): False, (1, "arithmetic_files_current"): False}
+
+
+def test_foundation_gate_broadcasts_no_run_however_small_it_looks(spark, tmp_path):
+    """Keys pack so well that Spark takes what is made of them for small: no join may hang on that."""
+    path = str(tmp_path / "customer.parquet")
+    spark.range(20_000).select(F.col("id").alias("c_custkey"), F.lit("n").alias("c_name"), F.lit(1).alias("c_nationkey"), F.lit(1.0).alias("c_acctbal"), F.lit("m").alias("c_mktsegment")).coalesce(1).write.parquet(path)
+    size = sum(x.stat().st_size for x in (tmp_path / "customer.parquet").glob("*.parquet"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(size * 5 // 2))
+    try:
+        plan = records.foundation_status(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    files = spark.createDataFrame([("a", "a" * 64)], "path string, sha256 string")
+    checked = doc.hash_status(spark.createDataFrame([(1, "$", "a", "a" * 64), (1, "$", "b", "a" * 64)], "document long, place string, path string, sha256 string"), files)
+    assert "SortMergeJoin" in checked._jdf.queryExecution().executedPlan().toString() and {(r.path, r.status) for r in checked.collect()} == {("a", "current"), ("b", "missing")}
+
+
+def test_runs_without_a_name_take_no_part(spark):
+    rows = [_run(0), (None, *_run(0)[1:])]
+    assert [r.run for r in gates.foundation_status(spark.createDataFrame(rows, RUN), spark.createDataFrame([], "run long, fact string, holds boolean")).collect()] == [0]
