@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import ceil, floor
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,9 @@ from .store import materialize
 ORDER = 4
 #: Log probabilities that the tasks hold at most: sequences times languages.
 TABLE = 16_000_000
-#: Learning texts on which rejection is calibrated, at most, and the share of them that it would reject.
-CALIBRATION = 4_000
+#: Share of the learning texts that rejection is calibrated to reject, and bins a round in which their cross-entropies are counted.
 REJECTED = 0.001
+BINS = 1024
 UNDECIDED = "und"
 #: Characters per step; longer texts are read in pieces, each with the letters before it.
 STEP = 1_000_000
@@ -313,14 +314,39 @@ def cross_entropies(rows: DataFrame, models: Models) -> DataFrame:
     return materialize(read.drop("keys", "n").join(more, "row", "left").select("doc_id", "own", both.alias("totals"), "steps", "letters"))
 
 
+def percentiles(values: DataFrame, share: float, bins: int = BINS) -> dict[int, float]:
+    """(at, x) -> by at, the exact percentile of all its rows' x, between two of them where it lies there. Each round counts rows in ``bins``
+    equal steps between the bounds that hold what is looked for, and goes on within one bin; the driver gets a count a bin."""
+    first = values.groupBy("at").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()
+    place = {r["at"]: share * (r.n - 1) for r in first}
+    # by at and rank: the bounds that hold it, and its rank between them
+    held = {(r["at"], k): (r.low, r.high, k) for r in first for k in (floor(place[r["at"]]), ceil(place[r["at"]]))}
+    while open_ := {(at, low, high) for (at, _), (low, high, _) in held.items() if low < high}:
+        bounds = values.sparkSession.createDataFrame(sorted(open_), "at int, low double, high double")
+        inside = values.join(F.broadcast(bounds), "at").where("x BETWEEN low AND high")
+        step = F.least(F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1))
+        counted = inside.groupBy("at", "low", "high", step.alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
+        found: dict[tuple, list] = {}
+        for r in sorted(counted.collect(), key=lambda r: r.bin):
+            found.setdefault((r["at"], r.low, r.high), []).append(r)
+        for name, (low, high, k) in held.items():
+            for r in found.get((name[0], low, high), ()) if low < high else ():
+                if k < r.n:
+                    held[name] = (r.least, r.most, k)
+                    break
+                k -= r.n
+    ends = {at: (held[at, floor(x)][0], held[at, ceil(x)][0]) for at, x in place.items()}
+    return {at: one + (place[at] - floor(place[at])) * (two - one) for at, (one, two) in ends.items()}
+
+
 def calibrated(models: Models, found: DataFrame) -> Models:
-    """``models`` with the cross-entropy above which a text is rejected: what nearly all learning texts of a bounded sample by
-    hash of the id stay below, and a twentieth."""
-    sample = found.where("own is not null and letters > 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION)
+    """``models`` with the cross-entropy above which a text is rejected: what nearly all learning texts stay below, and a twentieth. Every
+    learning text counts."""
     at = F.array_position(F.array(*map(F.lit, models.names)), F.col("own")).cast("int")
     entropy = -F.element_at("totals", at) / F.greatest("steps", F.lit(1))
-    for r in sample.groupBy(at.alias("at")).agg(F.percentile(entropy, F.lit(1 - REJECTED)).alias("limit")).collect():
-        models.limit[r["at"] - 1] = r.limit * 1.05
+    learned = found.where("own is not null and letters > 0").select(at.alias("at"), entropy.alias("x"))
+    for place, limit in percentiles(learned, 1 - REJECTED).items():
+        models.limit[place - 1] = limit * 1.05
     return models
 
 

@@ -276,6 +276,26 @@ def test_language_results_do_not_depend_on_what_tasks_hold(documents):
         assert (r.lang_pred, r.rejected) == (bare[i].lang_pred, bare[i].rejected) and r.score == pytest.approx(bare[i].score, abs=1e-4)
 
 
+def test_language_rejection_is_calibrated_on_every_learning_text(spark):
+    draw = np.random.default_rng(5)
+    rows = [(i, "ab"[i % 2], [-float(x), -float(y)], 2, int(i % 50 > 0)) for i, (x, y) in enumerate(zip(draw.gamma(2, 3, 9000), draw.gamma(3, 2, 9000)))]
+    rows += [(9000, None, [-1e6, -1e6], 2, 5), (9001, "a", [-20.0, -20.0], 0, 1)]
+    found = spark.createDataFrame(rows, "doc_id long, own string, totals array<double>, steps long, letters long")
+    models = langid.Models(["a", "b", "c"], 5, limit=np.full(3, np.inf))
+    every = [[-t[k] / max(s, 1) for _, own, t, s, n in rows if own == name and n] for k, name in enumerate("ab")]
+    assert langid.calibrated(models, found).limit.tolist() == pytest.approx([1.05 * np.percentile(x, 99.9) for x in every] + [np.inf], rel=1e-12)
+
+
+def test_percentiles_are_exact(spark):
+    draw = np.random.default_rng(6)
+    groups = {1: draw.normal(size=500).tolist(), 2: [1.5] * 40, 3: [2.0], 4: [0.0] * 90 + [1e-300, 1.0, 1e12], 5: draw.integers(0, 4, 101).astype(float).tolist()}
+    values = spark.createDataFrame([(at, x) for at, own in groups.items() for x in own], "at int, x double")
+    for share, bins in ((0.999, 8), (0.5, 2), (0.0, 64), (1.0, 64)):
+        found = langid.percentiles(values, share, bins)
+        assert found == {at: pytest.approx(np.percentile(own, 100 * share), rel=1e-12, abs=1e-300) for at, own in groups.items()}
+    assert langid.percentiles(values.limit(0), 0.5) == {}
+
+
 def test_sequences_of_long_texts_do_not_depend_on_pieces(monkeypatch):
     text = "The cat, the DOG -- and  the éléphant 12 ran; " * 7
 
