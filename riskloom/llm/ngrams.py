@@ -24,7 +24,7 @@ from math import ceil, log2
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import star_components
@@ -44,6 +44,8 @@ ANCHORS, PAIRS = 4, 1_000_000
 HELD, HELD_SETS, RANGE = 4_000_000, 60_000, 2_000_000
 #: Bits of a token's value within its range, as long as there are fewer than 2^20 ranges.
 BITS = 28
+#: Bitmaps that say which texts may be candidates, and the bits of one.
+BITMAPS, BITMAP = 2048, 32768
 #: Bytes of a text that are hashed at once.
 PIECE = 1 << 20
 
@@ -134,7 +136,10 @@ def signatures(n: int, spread: np.ndarray, own: np.ndarray, percent: int = PERCE
         cells.append(_mixed(_mixed(np.uint64(2), own[one]), own[two]))
         before.append(one - often[0] + 1)
         left.append(n - place[two] - 1)
-    return np.concatenate(cells), np.concatenate(before), np.concatenate(left)
+    cells, before, left = np.concatenate(cells), np.concatenate(before), np.concatenate(left)
+    # a partner has ceil(n * percent / 100) tokens or more: a cell after which too few are left to share with it is in no possible pair
+    open_ = (100 + percent) * (before + 1 + left) >= percent * (n + -(-n * percent // 100))
+    return cells[open_], before[open_], left[open_]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -345,8 +350,8 @@ def _sent(held: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _chunk_pairs(known: DataFrame, last: DataFrame, percent: int, chunk: int) -> DataFrame:
-    """(u, v): all possible pairs of different roots in cells. last (cell, last): the highest place of the cells that are looked at. Each
-    two chunks of a cell are a task's group, which holds no more than them."""
+    """(u, v): all possible pairs of different roots in cells. last (cell, lowest): the cells that are looked at and their lowest root. Each
+    two chunks of a cell, not both of its lowest root, are a task's group, which holds no more than them."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def met(rows: list[np.ndarray]) -> Iterator[np.ndarray]:
@@ -383,10 +388,30 @@ def _chunk_pairs(known: DataFrame, last: DataFrame, percent: int, chunk: int) ->
         if held:
             yield _sent(held)
 
-    own = F.floor(F.col("place") / chunk)
-    rows = known.join(last, "cell").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / chunk))))
-    dealt = rows.select("cell", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "n", "before", "left", "root")
-    return dealt.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b").mapInArrow(each, "u long, v long")
+    return _dealt(known, last, percent, chunk).repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b").mapInArrow(each, "u long, v long")
+
+
+def _dealt(known: DataFrame, last: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """(cell, a, b, own, node, n, before, left, root): each row as often as its chunk meets another; chunks of the lowest root count down from -1."""
+    # members of a cell's lowest root, mostly those of its largest component, need not meet each other
+    rows = known.join(last.select("cell", "lowest"), "cell").withColumn("home", F.col("root") == F.col("lowest"))
+    away = lambda x: F.when(~F.col("home"), F.col(x))
+    ends = [f(x(c)).alias(f"{name}_{c}_{f.__name__}") for name, x in (("away", away), ("every", F.col)) for c, f in (("n", F.min), ("n", F.max), ("before", F.max), ("left", F.max))]
+    size = rows.groupBy("cell").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("aways"), *ends)
+    rows = rows.join(size, "cell").where(F.when(F.col("home"), _meets("away", percent)).otherwise(_meets("every", percent)))
+    place = F.row_number().over(Window.partitionBy("cell", "home").orderBy("n", "node")) - 1
+    own = F.floor(place / chunk)
+    chunks = lambda x: F.floor((F.col(x) + chunk - 1) / chunk)
+    rows = rows.withColumn("own", F.when(F.col("home"), -1 - own).otherwise(own))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.when(F.col("home"), F.lit(0)).otherwise(-chunks("homes")), chunks("aways") - 1)))
+    return rows.select("cell", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "n", "before", "left", "root")
+
+
+def _meets(whom: str, percent: int) -> Column:
+    """Whether a row can be similar to one of ``whom``, by the least and the most that they have."""
+    n, fewest = F.col("n"), F.greatest(F.col(f"{whom}_n_min"), F.ceil(F.col("n") * percent / 100))
+    most = F.least(F.least("before", f"{whom}_before_max") + 1 + F.least("left", f"{whom}_left_max"), n)
+    return (fewest <= F.col(f"{whom}_n_max")) & ((100 + percent) * most >= percent * (n + fewest))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -419,6 +444,22 @@ def _roots(roots: DataFrame, linked: DataFrame) -> DataFrame:
     return materialize(roots.join(moved, "root", "left").select("node", F.coalesce("new_root", "root").alias("root")))
 
 
+def _slot() -> tuple[Column, Column]:
+    """The bitmap and the bit in it that a row's doc_id and mark fall on."""
+    slot = F.pmod(F.xxhash64("doc_id", "mark"), F.lit(BITMAPS * BITMAP))
+    return F.floor(slot / BITMAP).cast("int"), F.pmod(slot, F.lit(BITMAP))
+
+
+def _maybe(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``texts`` that can be among ``chosen`` (doc_id, mark): all that are, and few others while chosen are fewer than bits. What
+    follows need not shuffle the rest. The bits, BITMAPS times BITMAP at any size, are broadcast."""
+    which, bit = _slot()
+    bitmaps = chosen.groupBy(which.alias("which")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    rows = texts.withColumn("which", which).join(F.broadcast(bitmaps), "which")
+    return rows.where((F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))), F.lit(2)) == 1)).select(texts.columns)
+
+
 def candidates(texts: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, text), once each: sets of which enough tokens are in others to have a partner."""
     nodes = sets.where("n > 1").groupBy("node", "n").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
@@ -426,7 +467,8 @@ def candidates(texts: DataFrame, sets: DataFrame, words: int, percent: int) -> D
     bits = max(4, ceil(log2(max(total, 1) / RANGE)))
     enough = nodes.join(_common(_packed(texts, words, bits)), "node").where(100 * F.col("m") >= percent * F.col("n"))
     chosen = materialize(enough.select("node", F.col("first.doc_id").alias("own_id"), F.col("first.mark").alias("own_mark")))
-    met = texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["own_id"]) & (texts["mark"] == chosen["own_mark"]))
+    some = _maybe(texts, chosen.select(F.col("own_id").alias("doc_id"), F.col("own_mark").alias("mark")))
+    met = some.join(chosen, some["doc_id"].eqNullSafe(chosen["own_id"]) & (some["mark"] == chosen["own_mark"]))
     return met.select("node", "text").dropDuplicates(["node"])
 
 
@@ -448,8 +490,8 @@ def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rare: i
     tested = spark.createDataFrame([], "u long, v long")
     for part, after, upto in ((F.col("anchor"), 0, 1), *((F.lit(True), a, b) for a, b in zip((0, *near), (*near, None)))):
         known = members.where(part).join(roots, "node").drop("anchor")
-        open_ = known.groupBy("cell").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("place").alias("last")).where("a <> b")
-        cells = materialize(open_.where(F.col("last") > after).select("cell", "last"))
+        open_ = known.groupBy("cell").agg(F.min("root").alias("lowest"), F.max("root").alias("b"), F.max("place").alias("last")).where("lowest <> b")
+        cells = materialize(open_.where(F.col("last") > after).select("cell", "lowest"))
         if cells.isEmpty():
             continue
         left = known.join(cells.select("cell"), "cell", "left_semi")

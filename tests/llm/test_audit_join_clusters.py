@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.llm import centroids, divergence, ngrams
 
@@ -250,3 +251,36 @@ def test_nodes_are_pruned_and_assigned_whole():
     assert (truth[places] == nearest).all()
     same = np.zeros((1, 3, 2), np.int64)
     assert not centroids.dominated(same[0, :1], same[0, :1], np.ones((1, 2), bool), np.array([[1, 0], [0, 1]])).any()
+
+
+def test_join_looks_only_at_texts_that_may_be_candidates(spark):
+    texts = spark.range(-3000, 3000).select(F.when(F.col("id") != 7, F.col("id")).alias("doc_id"), F.xxhash64("id").alias("mark"))
+    chosen = texts.where("doc_id % 10 = 0 OR doc_id IS NULL").select("doc_id", "mark")
+    found = {tuple(r) for r in ngrams._maybe(texts, chosen).collect()}
+    own = {tuple(r) for r in chosen.collect()}
+    assert own <= found and len(found) < len(own) + 30 and ngrams._maybe(texts, chosen.limit(0)).count() == 0
+
+
+def test_join_cells_of_one_component_and_few_others_grow_with_their_rows(spark):
+    """A large component's members are sent once to what is not of it, and every possible pair of different roots is found."""
+    draw = np.random.default_rng(8)
+    rows = [(cell, int(100 * cell + i) * 7 % 100_003, int(draw.integers(80, 110)), int(draw.integers(0, 60)), int(draw.integers(40, 80))) for cell, size in ((1, 400), (2, 90), (3, 3)) for i in range(size)]
+    rows = [(*r, 0 if r[0] == 1 and i > 5 or r[0] == 2 and i % 2 else r[1]) for i, r in enumerate(rows)]
+    known = spark.createDataFrame(rows, "cell long, node long, n long, before long, left long, root long")
+    last = known.groupBy("cell").agg(F.min("root").alias("lowest"))
+    assert ngrams._dealt(known.where("cell = 1"), last, 80, 10).count() <= 400 + 6 * 41
+    found = [tuple(sorted((r.u, r.v))) for r in ngrams._chunk_pairs(known, last, 80, 10).collect()]
+    plain = set()
+    for i, (cell, u, n, b, left, root) in enumerate(rows):
+        for other, v, m, c, right, its in rows[:i]:
+            if cell == other and root != its and 180 * min(min(b, c) + 1 + min(left, right), n, m) >= 80 * (n + m):
+                plain.add(tuple(sorted((u, v))))
+    assert set(found) == plain and len(plain) > 100
+
+
+def test_join_drops_cells_after_which_too_little_is_left():
+    own, often = np.arange(1, 101, dtype=np.uint64), np.full(100, 1000)
+    n = np.int64(100)
+    cells, before, left = ngrams.signatures(int(n), often, own)
+    assert len(cells) and (180 * (before + 1 + left) >= 80 * 180).all()
+    assert not len(ngrams.signatures(100, often[:79], own[:79])[0])
