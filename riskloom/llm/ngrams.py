@@ -1,8 +1,8 @@
 """N-gram Jaccard join: token-combination prefixes, then verification of whole sets.
 
 A text is the set of its distinct five-word sequences (tokens). Equal sets are one node. A set of n tokens may miss E = n - ceil(0.8 n) of
-them in a partner, so most texts fall out at once: fewer than n - E of their tokens are in any other set. How many are is counted
-exactly, or too high where two tokens share a value, over packed ranges of token values; none is counted too low.
+them in a partner, so most texts fall out at once: more than E of those of their tokens that have a low value are in no other set. How
+many are is counted exactly, or too low where two tokens share a value, over packed ranges of values; none is counted too high.
 
 The tokens of the others are ordered by how many sets hold them, rarest first. The j-th token that two similar sets share is among the
 first E + j of each. If the first one is rare, it is among the first E + 1, and single tokens are indexed there. If it is
@@ -12,7 +12,9 @@ number in proportion to the set's size, in place of the long lists of frequent t
 
 Members of an index cell that can be similar by their sizes and by what is left of both sets are proposed: first those next to each other in a
 few cells of each set, then those next to each other in all, those some places on, and chunks of a cell against chunks, each time without
-pairs that links have joined or that were compared already.
+pairs that links have joined or that were compared already. The last two have a sketch of each set, whether an odd number of its tokens
+falls on each of some bits: the bits in which two sketches differ are at most the tokens that only one set has, so a pair with too many is
+in no need of its texts, and is not proposed again by every cell that both are in.
 Whole texts decide. A cell's chunks meet in tasks of their own, and rows of one size and place are ruled out as one.
 """
 
@@ -44,6 +46,10 @@ ANCHORS, PAIRS = 4, 1_000_000
 HELD, HELD_SETS, RANGE = 4_000_000, 60_000, 2_000_000
 #: Bits of a token's value within its range, as long as there are fewer than 2^20 ranges.
 BITS = 28
+#: Values below LOW / 16 of all are counted to find candidates, all tokens of which are looked at then.
+LOW = 8
+#: A sketch has the power of two of bits that follows SKETCH times the set's size, within these powers.
+SKETCH, SKETCH_BITS = 2.0, (6, 13)
 #: Bitmaps that say which texts may be candidates, and the bits of one.
 BITMAPS, BITMAP = 2048, 32768
 #: Bytes of a text that are hashed at once.
@@ -148,17 +154,22 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
-    """(doc_id, mark, node, n): the hash of each text's set and its size."""
+    """(doc_id, mark, node, n, low): the hash of each text's set, its size and how many of its tokens have a low value."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            nodes, sizes, low = np.zeros((3, batch.num_rows), np.int64)
             for i, text in enumerate(batch.column(2)):
                 own = tokens(text.as_py(), words)
-                nodes[i], sizes[i] = _node(own), len(own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array(sizes)], ["doc_id", "mark", "node", "n"])
+                nodes[i], sizes[i], low[i] = _node(own), len(own), _low(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, (nodes, sizes, low))], ["doc_id", "mark", "node", "n", "low"])
 
-    return texts.mapInArrow(each, "doc_id long, mark long, node long, n long")
+    return texts.mapInArrow(each, "doc_id long, mark long, node long, n long, low long")
+
+
+def _low(own: np.ndarray) -> int:
+    """How many of the sorted tokens have a low value."""
+    return len(own) if LOW >= 16 else int(np.searchsorted(own, np.uint64(LOW << 60)))
 
 
 def _node(own: np.ndarray) -> int:
@@ -166,8 +177,8 @@ def _node(own: np.ndarray) -> int:
 
 
 def _packed(texts: DataFrame, words: int, bits: int) -> DataFrame:
-    """(bucket, nodes, who, value, wide): for each of 2^bits ranges of token values, the sets of a task that have tokens in it, whose
-    each token is, and the steps from value to value."""
+    """(bucket, nodes, who, value, wide): for each of 2^bits ranges of token values that has low ones, the sets of a task that have tokens
+    in it, whose each token is, and the steps from value to value."""
     within = min(BITS, 48 - bits)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +210,8 @@ def _packed(texts: DataFrame, words: int, bits: int) -> DataFrame:
                 own = tokens(text.as_py(), words)
                 if len(own) < 2 or (node := _node(own)) in held:
                     continue
-                held[node], size = own, size + len(own)
+                held[node] = own[: _low(own)].copy()
+                size += len(held[node])
                 if size > HELD or len(held) > HELD_SETS:
                     yield from drained()
                     size = 0
@@ -209,7 +221,7 @@ def _packed(texts: DataFrame, words: int, bits: int) -> DataFrame:
 
 
 def _common(packed: DataFrame) -> DataFrame:
-    """(node, m): how many tokens of each set are in another set too; values that tokens share make it larger, never smaller."""
+    """(node, m): how many packed tokens of each set are in another set too; values that tokens share make it larger, never smaller."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def counted(parts: list) -> pa.RecordBatch:
@@ -241,31 +253,91 @@ def _common(packed: DataFrame) -> DataFrame:
     return ranges.mapInArrow(each, "node long, m long").groupBy("node").agg(F.sum("m").alias("m"))
 
 
-def _members(texts: DataFrame, words: int, percent: int, rare: int) -> DataFrame:
-    """(cell, place, node, n, before, left, anchor): index cells of two members or more; place runs through a cell by size. anchor: the cell is
-    one of the set's few with the smallest hashes, which similar sets often share."""
+def _ranges(texts: DataFrame, words: int, bits: int) -> DataFrame:
+    """(bucket, node, n, sizes, token), the last four packed: the sets of a task, and how many and which tokens each has in the range."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, np.ndarray]] = []
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def drained() -> Iterator[pa.RecordBatch]:
+            nodes, n = np.array([x for x, _ in held], "<i8"), np.array([len(x) for _, x in held], "<i8")
+            edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+            cuts = np.array([[0, *np.searchsorted(own, edges), len(own)] for _, own in held])
+            for bucket in range(1 << bits):
+                sizes = (cuts[:, bucket + 1] - cuts[:, bucket]).astype("<i4")
+                its = np.concatenate([own[x:y] for (_, own), x, y in zip(held, cuts[:, bucket], cuts[:, bucket + 1])])
+                some = sizes > 0
+                if len(its):
+                    row = [bucket, *(x.tobytes() for x in (nodes[some], n[some], sizes[some], its.astype("<u8")))]
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["bucket", "node", "n", "sizes", "token"])
+            held.clear()
+
+        size = 0
         for batch in batches:
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = tokens(text.as_py(), words)
-                n = len(own)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, node, np.int64)), pa.array(np.full(n, n, np.int64)), pa.array(own.view(np.int64))], ["node", "n", "token"])
+                held.append((node, tokens(text.as_py(), words)))
+                size += len(held[-1][1])
+                if size > HELD or len(held) > HELD_SETS:
+                    yield from drained()
+                    size = 0
+        if held:
+            yield from drained()
+
+    return texts.select("node", "text").mapInArrow(each, "bucket long, node binary, n binary, sizes binary, token binary")
+
+
+def _shared(ranges: DataFrame) -> DataFrame:
+    """(node, n, spread, token): the tokens, packed, of each set in a range that other sets have too, and how many sets have them."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(parts: list) -> Iterator[pa.RecordBatch]:
+            nodes, n, sizes, token = map(np.concatenate, zip(*parts))
+            order = np.argsort(token)
+            new = np.r_[True, token[order[1:]] != token[order[:-1]]]
+            spread = np.empty(len(token), np.int32)
+            spread[order] = np.repeat(np.diff(np.r_[np.flatnonzero(new), len(token)]), np.diff(np.r_[np.flatnonzero(new), len(token)]))
+            ends = np.cumsum(sizes, dtype=np.int64)
+            for at in range(0, len(nodes), 1024):
+                rows = []
+                for k in range(at, min(at + 1024, len(nodes))):
+                    its = spread[ends[k] - sizes[k] : ends[k]]
+                    if len(kept := np.flatnonzero(its > 1)):
+                        rows.append((int(nodes[k]), int(n[k]), its[kept].tobytes(), token[ends[k] - sizes[k] : ends[k]][kept].tobytes()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["node", "n", "spread", "token"])
+
+        last, parts = None, []
+        for batch in batches:
+            for bucket, *packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != last and parts:
+                    yield from counted(parts)
+                    parts = []
+                last = bucket
+                parts.append([np.frombuffer(x, kind) for x, kind in zip(packed, ("<i8", "<i8", "<i4", "<u8"))])
+        if parts:
+            yield from counted(parts)
+
+    return ranges.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(each, "node long, n long, spread binary, token binary")
+
+
+def _members(texts: DataFrame, words: int, percent: int, rare: int) -> DataFrame:
+    """(cell, place, node, n, before, left, anchor): index cells of two members or more; place runs through a cell by size. anchor: the cell is
+    one of the set's few with the smallest hashes, which similar sets often share. texts: (node, n, text)."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, n, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                spread, own = (x.to_numpy(zero_copy_only=False) for x in items.values.flatten())
-                cells, before, left = signatures(n, spread, own.view(np.uint64), percent, rare)
+            for node, n, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                spread, own = (np.frombuffer(b"".join(x[name] for x in items), kind) for name, kind in (("spread", "<i4"), ("token", "<u8")))
+                order = np.lexsort((own, spread))
+                cells, before, left = signatures(n, spread[order], own[order], percent, rare)
                 size = len(cells)
                 anchor = np.zeros(size, bool)
                 anchor[np.argsort(cells)[:ANCHORS]] = True
                 columns = [cells.view(np.int64), np.full(size, node, np.int64), np.full(size, n, np.int64), before, left, anchor]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["cell", "node", "n", "before", "left", "anchor"])
 
-    every = texts.mapInArrow(split, "node long, n long, token long")
-    shared = every.groupBy("token").agg(F.count("*").alias("spread")).where("spread > 1")
-    lists = every.join(shared, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("spread", "token"))).alias("own"))
+    bits = max(4, ceil(log2(max(texts.agg(F.sum("n")).first()[0] or 0, 1) / RANGE)))
+    lists = _shared(_ranges(texts, words, bits)).groupBy("node", "n").agg(F.collect_list(F.struct("spread", "token")).alias("own"))
     cells = lists.mapInArrow(signed, "cell long, node long, n long, before long, left long, anchor boolean")
     ordered = cells.repartition("cell").sortWithinPartitions("cell", "n", "node")
     return ordered.mapInArrow(_placed, "cell long, place long, node long, n long, before long, left long, anchor boolean")
@@ -307,9 +379,61 @@ def possible(n: np.ndarray, before: np.ndarray, left: np.ndarray, m: np.ndarray,
     return (100 + percent) * most >= percent * (n + m)
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """For each bit whether an odd number of tokens falls on it."""
+    bits = 1 << max(SKETCH_BITS[0], min(SKETCH_BITS[1], ceil(log2(max(SKETCH * len(own), 1)))))
+    counts = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+class _Sketches:
+    """Sketches of rows. Those of pairs of which one is twice as long are compared once its halves are laid over each other."""
+
+    def __init__(self, items: np.ndarray) -> None:
+        self.items, self.bytes = items, np.fromiter(map(len, items), np.int64, len(items))
+        self.laid: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _of(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        if length not in self.laid:
+            place, words, at = np.zeros(len(self.items), np.int64), [], 0
+            for many in (1, 2):
+                rows = np.flatnonzero(self.bytes == many * length)
+                bits = np.frombuffer(b"".join(self.items[rows]), "<u8").reshape(len(rows), many, length // 8)
+                words.append(np.bitwise_xor.reduce(bits, axis=1))
+                place[rows], at = at + np.arange(len(rows)), at + len(rows)
+            self.laid[length] = place, np.concatenate(words)
+        return self.laid[length]
+
+    def fit(self, i: np.ndarray, j: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+        """Whether rows i and j, whose sizes are possible, do not differ in more bits than similar sets of their sizes have tokens apart."""
+        sizes, out = n[i] + n[j], np.ones(len(i), bool)
+        apart = sizes - 2 * -(-percent * sizes // (100 + percent))
+        shorter = np.minimum(self.bytes[i], self.bytes[j])
+        alike = np.maximum(self.bytes[i], self.bytes[j]) <= 2 * shorter
+        for length in np.unique(shorter):
+            place, words = self._of(int(length))
+            rows = np.flatnonzero((shorter == length) & alike)
+            for at in range(0, len(rows), 1 << 15):
+                k = rows[at : at + (1 << 15)]
+                out[k] = np.bitwise_count(words[place[i[k]]] ^ words[place[j[k]]]).sum(axis=1, dtype=np.int64) <= apart[k]
+        return out
+
+
+def _sketches(texts: DataFrame, words: int) -> DataFrame:
+    """(node, sketch) of (node, n, text)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([sketch(tokens(x.as_py(), words)) for x in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), made], ["node", "sketch"])
+
+    return texts.select("node", "text").mapInArrow(each, "node long, sketch binary")
+
+
 def _neighbours(known: DataFrame, after: int, upto: int, percent: int) -> DataFrame:
     """(u, v): possible pairs of different roots that lie more than ``after`` and at most ``upto`` places apart in a cell. A task holds
-    the last ``upto`` rows. known: members with root."""
+    the last ``upto`` rows. known: members with root, and with sketch or without."""
+    columns = ["cell", "node", "n", "before", "left", "root", *(c for c in known.columns if c == "sketch")]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, held = None, []
@@ -318,12 +442,15 @@ def _neighbours(known: DataFrame, after: int, upto: int, percent: int) -> DataFr
             old = 0 if kept is None else len(kept[0])
             if kept is not None:
                 now = [np.concatenate([x, y]) for x, y in zip(kept, now)]
-            cell, node, n, before, left, root = now
+            cell, node, n, before, left, root = now[:6]
+            marks = _Sketches(now[6]) if len(now) > 6 else None
             for d in range(after + 1, min(upto, len(cell) - 1) + 1):
                 first = max(0, old - d)  # pairs of two old rows are done
                 i = np.arange(first, len(cell) - d)
                 i = i[(cell[i] == cell[i + d]) & (root[i] != root[i + d])]
                 i = i[possible(n[i], before[i], left[i], n[i + d], before[i + d], left[i + d], percent)]
+                if marks is not None:
+                    i = i[marks.fit(i, i + d, n, percent)]
                 if len(i):
                     held.append(_pairs(node[i], node[i + d]))
             kept = [x[-upto:] for x in now]
@@ -332,7 +459,7 @@ def _neighbours(known: DataFrame, after: int, upto: int, percent: int) -> DataFr
         if held:
             yield _sent(held)
 
-    ordered = known.repartition("cell").sortWithinPartitions("cell", "place").select("cell", "node", "n", "before", "left", "root")
+    ordered = known.repartition("cell").sortWithinPartitions("cell", "place").select(*columns)
     return ordered.mapInArrow(each, "u long, v long")
 
 
@@ -360,15 +487,20 @@ def _chunk_pairs(known: DataFrame, last: DataFrame, percent: int, chunk: int) ->
             two = one if same else np.nonzero(side == rows[2])[0]
             if not len(one) or not len(two):
                 return
-            node, n, before, left, root = rows[4:]
-            kinds = np.column_stack([n, before, left])
-            (a, of_a), (b, of_b) = (np.unique(kinds[x], axis=0, return_inverse=True) for x in (one, two))
-            fits = possible(*(a[:, None, k] for k in range(3)), *(b[None, :, k] for k in range(3)), percent)
-            for kind in np.nonzero(fits.any(axis=1))[0]:
-                i, j = one[of_a.ravel() == kind], two[fits[kind][of_b.ravel()]]
-                x, y = np.nonzero((root[i][:, None] != root[j][None, :]) & ((i[:, None] < j[None, :]) if same else True))
-                if len(x):
-                    yield _pairs(node[i[x]], node[j[y]])
+            node, n, before, left, root = rows[4:9]
+            (a, of_a), (b, of_b) = (_kinds(n[x], before[x], left[x]) for x in (one, two))
+            fits = possible(*(x[a][:, None] for x in (n[one], before[one], left[one])), *(x[b][None, :] for x in (n[two], before[two], left[two])), percent)
+            if not fits.any():
+                return
+            x, y = np.nonzero(fits[of_a][:, of_b] & (root[one][:, None] != root[two][None, :]))
+            i, j = one[x], two[y]
+            if same:
+                i, j = i[x < y], j[x < y]
+            if len(rows) > 9 and len(i):
+                fit = _Sketches(rows[9]).fit(i, j, n, percent)
+                i, j = i[fit], j[fit]
+            if len(i):
+                yield _pairs(node[i], node[j])
 
         rest, held = None, []
         for batch in batches:
@@ -391,8 +523,17 @@ def _chunk_pairs(known: DataFrame, last: DataFrame, percent: int, chunk: int) ->
     return _dealt(known, last, percent, chunk).repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b").mapInArrow(each, "u long, v long")
 
 
+def _kinds(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row of each kind that the columns make, and each row's kind."""
+    key = np.zeros(len(columns[0]), np.int64)
+    for column in columns:
+        values, place = np.unique(column, return_inverse=True)
+        key = np.unique(key * len(values) + place, return_inverse=True)[1]
+    return np.unique(key, return_index=True)[1], key
+
+
 def _dealt(known: DataFrame, last: DataFrame, percent: int, chunk: int) -> DataFrame:
-    """(cell, a, b, own, node, n, before, left, root): each row as often as its chunk meets another; chunks of the lowest root count down from -1."""
+    """(cell, a, b, own, node, n, before, left, root, sketch where known has it): each row as often as its chunk meets another; chunks of the lowest root count down from -1."""
     # members of a cell's lowest root, mostly those of its largest component, need not meet each other
     rows = known.join(last.select("cell", "lowest"), "cell").withColumn("home", F.col("root") == F.col("lowest"))
     away = lambda x: F.when(~F.col("home"), F.col(x))
@@ -404,7 +545,7 @@ def _dealt(known: DataFrame, last: DataFrame, percent: int, chunk: int) -> DataF
     chunks = lambda x: F.floor((F.col(x) + chunk - 1) / chunk)
     rows = rows.withColumn("own", F.when(F.col("home"), -1 - own).otherwise(own))
     rows = rows.withColumn("other", F.explode(F.sequence(F.when(F.col("home"), F.lit(0)).otherwise(-chunks("homes")), chunks("aways") - 1)))
-    return rows.select("cell", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "n", "before", "left", "root")
+    return rows.select("cell", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "n", "before", "left", "root", *(c for c in known.columns if c == "sketch"))
 
 
 def _meets(whom: str, percent: int) -> Column:
@@ -461,15 +602,17 @@ def _maybe(texts: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def candidates(texts: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, text), once each: sets of which enough tokens are in others to have a partner."""
-    nodes = sets.where("n > 1").groupBy("node", "n").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    """(node, n, text), once each: sets of whose low tokens not more are in no other set than may be missing in a partner."""
+    nodes = sets.where("n > 1").groupBy("node", "n", "low").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
     total = sets.agg(F.sum("n")).first()[0] or 0
     bits = max(4, ceil(log2(max(total, 1) / RANGE)))
-    enough = nodes.join(_common(_packed(texts, words, bits)), "node").where(100 * F.col("m") >= percent * F.col("n"))
-    chosen = materialize(enough.select("node", F.col("first.doc_id").alias("own_id"), F.col("first.mark").alias("own_mark")))
+    alone = F.col("low") - F.coalesce("m", F.lit(0))
+    enough = nodes.join(_common(_packed(texts, words, bits)), "node", "left").where(100 * alone <= (100 - percent) * F.col("n"))
+    chosen = materialize(enough.select("node", "n", F.col("first.doc_id").alias("own_id"), F.col("first.mark").alias("own_mark")))
     some = _maybe(texts, chosen.select(F.col("own_id").alias("doc_id"), F.col("own_mark").alias("mark")))
-    met = some.join(chosen, some["doc_id"].eqNullSafe(chosen["own_id"]) & (some["mark"] == chosen["own_mark"]))
-    return met.select("node", "text").dropDuplicates(["node"])
+    # one key of 64 bits, as texts and sets have: rows that are repeated are where the join brings them, no second shuffle of texts finds them
+    met = some.withColumn("key", F.xxhash64("doc_id", "mark")).join(chosen.withColumn("key", F.xxhash64("own_id", "own_mark")), "key")
+    return met.select("key", "node", "n", "text").dropDuplicates(["key", "node"]).drop("key")
 
 
 def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rare: int = RARE, near: tuple[int, ...] = NEAR, chunk: int = CHUNK) -> DataFrame:
@@ -488,14 +631,18 @@ def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rare: i
     members = materialize(_members(some, words, percent, rare))
     roots = materialize(some.select("node", F.col("node").alias("root")))
     tested = spark.createDataFrame([], "u long, v long")
+    marks = materialize(_sketches(some, words))
     for part, after, upto in ((F.col("anchor"), 0, 1), *((F.lit(True), a, b) for a, b in zip((0, *near), (*near, None)))):
-        known = members.where(part).join(roots, "node").drop("anchor")
+        known = members.where(part).join(roots.join(marks, "node") if after or not upto else roots, "node")
         open_ = known.groupBy("cell").agg(F.min("root").alias("lowest"), F.max("root").alias("b"), F.max("place").alias("last")).where("lowest <> b")
         cells = materialize(open_.where(F.col("last") > after).select("cell", "lowest"))
         if cells.isEmpty():
             continue
         left = known.join(cells.select("cell"), "cell", "left_semi")
-        found = _neighbours(left, after, upto, percent) if upto else _chunk_pairs(known, cells, percent, chunk)
+        if after or upto != 1:  # cells that are closed stay so
+            left = materialize(left)
+            members = left.drop("root", "sketch")
+        found = _neighbours(left, after, upto, percent) if upto else _chunk_pairs(left, cells, percent, chunk)
         found = materialize(found.distinct().join(tested, ["u", "v"], "left_anti"))
         roots = _roots(roots, materialize(_verified(found, some, words, percent)))
         tested = materialize(tested.unionByName(found))

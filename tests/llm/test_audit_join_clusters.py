@@ -284,3 +284,40 @@ def test_join_drops_cells_after_which_too_little_is_left():
     cells, before, left = ngrams.signatures(int(n), often, own)
     assert len(cells) and (180 * (before + 1 + left) >= 80 * 180).all()
     assert not len(ngrams.signatures(100, often[:79], own[:79])[0])
+
+
+def test_sketches_show_only_pairs_that_are_not_similar():
+    """Bits in which two sketches differ are at most the tokens that one set alone has, also where one sketch is twice as long."""
+    rng, out = np.random.default_rng(12), 0
+    for _ in range(400):
+        n, m = int(rng.integers(2, 1500)), 0
+        m = int(rng.integers(-(-n * 4 // 5), n * 5 // 4 + 1))
+        least = -(-80 * (n + m) // 180)
+        shared = min(least if rng.random() < 0.5 else int(least * rng.uniform(0.5, 1)), n, m)
+        every = rng.integers(0, 1 << 63, n + m - shared).astype(np.uint64)
+        marks = ngrams._Sketches(np.array([ngrams.sketch(every[:n]), ngrams.sketch(every[n - shared :])], object))
+        fit = marks.fit(np.array([0]), np.array([1]), np.array([n, m]), 80)[0]
+        assert fit or shared < least, (n, m, shared)
+        out += not fit
+    assert out > 60
+
+
+def test_cells_propose_no_pairs_that_sketches_rule_out(spark):
+    """200 texts, three fifths of which are one passage, are in each other's cells and may be similar by size and place, but by no sketch."""
+    rng = np.random.default_rng(13)
+    passage, rows = rng.integers(0, 1 << 63, 180).astype(np.uint64), []
+    for node in range(200):
+        own = np.r_[passage, rng.integers(0, 1 << 63, 120).astype(np.uint64)]
+        rows += [(cell, place, node, 300, 0, 299, node, ngrams.sketch(own)) for cell in range(20) for place in [node]]
+    known = spark.createDataFrame(rows, "cell long, place long, node long, n long, before long, left long, root long, sketch binary")
+    last = known.groupBy("cell").agg(F.min("root").alias("lowest"))
+    assert ngrams._neighbours(known.drop("sketch"), 2, 32, 80).count() > 5000
+    assert ngrams._neighbours(known, 2, 32, 80).count() < 20 and ngrams._chunk_pairs(known, last, 80, 64).count() < 200
+
+
+def test_join_packs_only_low_tokens(spark):
+    rng = np.random.default_rng(14)
+    texts = ngrams._texts(_docs(spark, [(k, " ".join(f"u{x}" for x in rng.integers(0, 10**9, 300)), "l", "s") for k in range(20)]))
+    packed = sum(len(r.who) // 2 for r in ngrams._packed(texts, 5, 4).collect())
+    sets = ngrams._sets(texts, 5).agg(F.sum("low"), F.sum("n")).first()
+    assert packed == sets[0] < 0.6 * sets[1]
