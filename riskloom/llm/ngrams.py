@@ -12,9 +12,10 @@ number in proportion to the set's size, in place of the long lists of frequent t
 
 Members of an index cell that can be similar by their sizes and by what is left of both sets are proposed: first those next to each other in a
 few cells of each set, then those next to each other in all, those some places on, and chunks of a cell against chunks, each time without
-pairs that links have joined or that were compared already. The last two have a sketch of each set, whether an odd number of its tokens
-falls on each of some bits: the bits in which two sketches differ are at most the tokens that only one set has, so a pair with too many is
-in no need of its texts, and is not proposed again by every cell that both are in.
+pairs that links have joined or that were compared already. After the first, rows have a sketch of each set, whether an odd number of its
+tokens falls on each of some bits: the bits in which two sketches differ are at most the tokens that only one set has, so a pair with too many
+is in no need of its texts. They also have the set's first cells and its place in each, so that of all cells that both sets of a pair are in
+the first one proposes it, where it is proposed in the same round, and the others do not.
 Whole texts decide. A cell's chunks meet in tasks of their own, and rows of one size and place are ruled out as one.
 """
 
@@ -430,10 +431,42 @@ def _sketches(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(each, "node long, sketch binary")
 
 
+def _marks(texts: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """(node, sketch, firsts): firsts are cell, place, before and left of each anchor, one after the other."""
+    own = F.collect_list(F.array("cell", "place", "before", "left"))
+    firsts = members.where("anchor").groupBy("node").agg(F.flatten(own).alias("firsts"))
+    none = F.array().cast("array<long>")
+    return _sketches(texts, words).join(firsts, "node", "left").select("node", "sketch", F.coalesce("firsts", none).alias("firsts"))
+
+
+class _Firsts:
+    """The first cells of rows, and place, before and left in each."""
+
+    def __init__(self, items: np.ndarray) -> None:
+        sizes = np.fromiter(map(len, items), np.int64, len(items)) // 4
+        slot = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.sizes, self.held = sizes, np.zeros((max(sizes, default=0), len(items), 4), np.int64)
+        self.held[slot, np.repeat(np.arange(len(items)), sizes)] = np.concatenate([*items, np.zeros(0, np.int64)]).astype(np.int64).reshape(-1, 4)
+
+    def again(self, i: np.ndarray, j: np.ndarray, cell: np.ndarray, n: np.ndarray, percent: int, after: int = -1, upto: int | None = None) -> np.ndarray:
+        """Whether rows i and j of a cell are also in a lower one, where they are possible and lie more than ``after`` and at most ``upto``
+        places apart: that one proposes them."""
+        out, own = np.zeros(len(i), bool), cell.view(np.uint64)[i]
+        for a, one in enumerate(self.held):
+            for b, two in enumerate(self.held):
+                of = one[i, 0]
+                k = np.flatnonzero((of == two[j, 0]) & (of.view(np.uint64) < own) & (self.sizes[i] > a) & (self.sizes[j] > b) & ~out)
+                x, y = one[i[k]], two[j[k]]
+                apart = np.abs(x[:, 1] - y[:, 1])
+                near = (apart > after) & (apart <= (apart if upto is None else upto))
+                out[k] = near & possible(n[i[k]], x[:, 2], x[:, 3], n[j[k]], y[:, 2], y[:, 3], percent)
+        return out
+
+
 def _neighbours(known: DataFrame, after: int, upto: int, percent: int) -> DataFrame:
     """(u, v): possible pairs of different roots that lie more than ``after`` and at most ``upto`` places apart in a cell. A task holds
-    the last ``upto`` rows. known: members with root, and with sketch or without."""
-    columns = ["cell", "node", "n", "before", "left", "root", *(c for c in known.columns if c == "sketch")]
+    the last ``upto`` rows. known: members with root, and with sketch and firsts or without."""
+    columns = ["cell", "node", "n", "before", "left", "root", *(c for c in ("sketch", "firsts") if c in known.columns)]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, held = None, []
@@ -444,6 +477,7 @@ def _neighbours(known: DataFrame, after: int, upto: int, percent: int) -> DataFr
                 now = [np.concatenate([x, y]) for x, y in zip(kept, now)]
             cell, node, n, before, left, root = now[:6]
             marks = _Sketches(now[6]) if len(now) > 6 else None
+            firsts = _Firsts(now[7]) if len(now) > 7 else None
             for d in range(after + 1, min(upto, len(cell) - 1) + 1):
                 first = max(0, old - d)  # pairs of two old rows are done
                 i = np.arange(first, len(cell) - d)
@@ -451,6 +485,8 @@ def _neighbours(known: DataFrame, after: int, upto: int, percent: int) -> DataFr
                 i = i[possible(n[i], before[i], left[i], n[i + d], before[i + d], left[i + d], percent)]
                 if marks is not None:
                     i = i[marks.fit(i, i + d, n, percent)]
+                if firsts is not None:
+                    i = i[~firsts.again(i, i + d, cell, n, percent, after, upto)]
                 if len(i):
                     held.append(_pairs(node[i], node[i + d]))
             kept = [x[-upto:] for x in now]
@@ -499,6 +535,9 @@ def _chunk_pairs(known: DataFrame, last: DataFrame, percent: int, chunk: int) ->
             if len(rows) > 9 and len(i):
                 fit = _Sketches(rows[9]).fit(i, j, n, percent)
                 i, j = i[fit], j[fit]
+            if len(rows) > 10 and len(i):
+                new = ~_Firsts(rows[10]).again(i, j, rows[0], n, percent)
+                i, j = i[new], j[new]
             if len(i):
                 yield _pairs(node[i], node[j])
 
@@ -533,7 +572,7 @@ def _kinds(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _dealt(known: DataFrame, last: DataFrame, percent: int, chunk: int) -> DataFrame:
-    """(cell, a, b, own, node, n, before, left, root, sketch where known has it): each row as often as its chunk meets another; chunks of the lowest root count down from -1."""
+    """(cell, a, b, own, node, n, before, left, root, sketch and firsts where known has them): each row as often as its chunk meets another; chunks of the lowest root count down from -1."""
     # members of a cell's lowest root, mostly those of its largest component, need not meet each other
     rows = known.join(last.select("cell", "lowest"), "cell").withColumn("home", F.col("root") == F.col("lowest"))
     away = lambda x: F.when(~F.col("home"), F.col(x))
@@ -545,7 +584,7 @@ def _dealt(known: DataFrame, last: DataFrame, percent: int, chunk: int) -> DataF
     chunks = lambda x: F.floor((F.col(x) + chunk - 1) / chunk)
     rows = rows.withColumn("own", F.when(F.col("home"), -1 - own).otherwise(own))
     rows = rows.withColumn("other", F.explode(F.sequence(F.when(F.col("home"), F.lit(0)).otherwise(-chunks("homes")), chunks("aways") - 1)))
-    return rows.select("cell", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "n", "before", "left", "root", *(c for c in known.columns if c == "sketch"))
+    return rows.select("cell", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "n", "before", "left", "root", *(c for c in ("sketch", "firsts") if c in known.columns))
 
 
 def _meets(whom: str, percent: int) -> Column:
@@ -631,9 +670,9 @@ def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rare: i
     members = materialize(_members(some, words, percent, rare))
     roots = materialize(some.select("node", F.col("node").alias("root")))
     tested = spark.createDataFrame([], "u long, v long")
-    marks = materialize(_sketches(some, words))
+    marks = materialize(_marks(some, members, words))
     for part, after, upto in ((F.col("anchor"), 0, 1), *((F.lit(True), a, b) for a, b in zip((0, *near), (*near, None)))):
-        known = members.where(part).join(roots.join(marks, "node") if after or not upto else roots, "node")
+        known = members.where(part).join(roots, "node")
         open_ = known.groupBy("cell").agg(F.min("root").alias("lowest"), F.max("root").alias("b"), F.max("place").alias("last")).where("lowest <> b")
         cells = materialize(open_.where(F.col("last") > after).select("cell", "lowest"))
         if cells.isEmpty():
@@ -641,7 +680,7 @@ def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rare: i
         left = known.join(cells.select("cell"), "cell", "left_semi")
         if after or upto != 1:  # cells that are closed stay so
             left = materialize(left)
-            members = left.drop("root", "sketch")
+            members, left = left.drop("root"), left.join(marks, "node")
         found = _neighbours(left, after, upto, percent) if upto else _chunk_pairs(left, cells, percent, chunk)
         found = materialize(found.distinct().join(tested, ["u", "v"], "left_anti"))
         roots = _roots(roots, materialize(_verified(found, some, words, percent)))

@@ -321,3 +321,35 @@ def test_join_packs_only_low_tokens(spark):
     packed = sum(len(r.who) // 2 for r in ngrams._packed(texts, 5, 4).collect())
     sets = ngrams._sets(texts, 5).agg(F.sum("low"), F.sum("n")).first()
     assert packed == sets[0] < 0.6 * sets[1]
+
+
+def test_one_of_a_pairs_cells_proposes_it(spark):
+    """60 sets in nearly all of 150 cells that lie in many tasks: a round sends far fewer rows, and no pair of it is lost."""
+    rng, rows = np.random.default_rng(15), []
+    cells = np.sort(rng.integers(0, 1 << 64, 150, np.uint64))  # half of them are negative as long
+    sizes = np.sort(rng.integers(95, 106, 60))
+    seen = np.zeros(60, int)
+    for cell in cells:
+        own = np.flatnonzero(rng.random(60) < 0.9)
+        for place, node in enumerate(own):
+            n, before, left = int(sizes[node]), int(rng.integers(0, 10)), int(rng.integers(80, 100))
+            rows.append((int(cell.view(np.int64)), place, int(node), n, before, left, bool(seen[node] < 4)))
+        seen[own] += 1
+    members = spark.createDataFrame(rows, "cell long, place long, node long, n long, before long, left long, anchor boolean")
+    texts = spark.createDataFrame([(k, int(n), b"the same words in every text") for k, n in enumerate(sizes)] + [(60, 1, b"in no cell")], "node long, n long, text binary")
+    marks = ngrams._marks(texts, members, 5)
+    assert {r.node: len(r.firsts) for r in marks.collect()} == {**dict.fromkeys(range(60), 16), 60: 0}
+    known = members.drop("anchor").withColumn("root", F.col("node")).join(marks, "node")
+    last = known.groupBy("cell").agg(F.min("root").alias("lowest"))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(held, ("40", "false")):
+            spark.conf.set(k, v)
+        for made in (lambda x: ngrams._neighbours(x, 0, 2, 80), lambda x: ngrams._neighbours(x, 2, 32, 80), lambda x: ngrams._chunk_pairs(x, last, 80, 16)):
+            sent, plain = ([(r.u, r.v) for r in made(x).collect()] for x in (known, known.drop("firsts")))
+            assert set(sent) == set(plain) and len(set(sent)) > 100
+            assert 2 * len(sent) < len(plain)
+        assert 5 * len(sent) < len(plain)
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
